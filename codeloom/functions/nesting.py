@@ -1,7 +1,7 @@
-"""Prefix sums and bracket pairing over per-file token arrays.
+"""Prefix sums and nesting over per-file token arrays.
 
-Both take arrays of small integers, one array per file, and run vectorised
-over whole Arrow batches: the text itself never leaves the JVM.
+The inputs are arrays of small integers or tag names, one array per file, so
+the text itself never leaves the JVM.
 """
 
 from __future__ import annotations
@@ -41,36 +41,76 @@ def running_before(counts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(_INTS)
 def closing_partner(steps: pa.Array) -> pa.Array:
-    """For each +1 the index of its -1 (last index if never closed), else -1."""
+    """For each +1 the index of its -1 (last index if never closed), else -1.
+
+    A bracket and its partner sit at the same depth with nothing of that depth
+    between them, so sorting the brackets by (row, depth, position) makes
+    partners neighbours.
+    """
     values, offsets = _rows(steps)
+    at = np.flatnonzero(values)
+    at = at[(at >= offsets[0]) & (at < offsets[-1])]
+    row = np.searchsorted(offsets, at, side="right") - 1
+    opens = values[at] > 0
+    depth = np.cumsum(values[at], dtype=np.int64) + ~opens
+    order = np.lexsort((at, depth, row))
+    row, depth, opens, at = row[order], depth[order], opens[order], at[order]
+    paired = np.zeros(len(at), dtype=bool)
+    paired[:-1] = opens[:-1] & ~opens[1:] & (row[:-1] == row[1:]) & (depth[:-1] == depth[1:])
+    partner = np.where(paired, np.append(at[1:], -1), offsets[row + 1] - 1) - offsets[row]
     out = np.full(len(values), -1, dtype=np.int32)
-    for lo, hi in zip(offsets[:-1], offsets[1:]):
-        open_at: list[int] = []
-        row = values[lo:hi]
-        for i in np.flatnonzero(row).tolist():
-            if row[i] > 0:
-                open_at.append(i)
-            elif open_at:
-                out[lo + open_at.pop()] = i
-        out[lo + np.array(open_at, dtype=np.int64)] = hi - lo - 1
+    out[at[opens]] = partner[opens]
     return _lists(out, offsets)
 
 
-@F.arrow_udf(_INTS)
-def enclosing_open(steps: pa.Array) -> pa.Array:
-    """For each element the index of the +1 it lies in, or -1 at top level."""
-    values, offsets = _rows(steps)
-    out = np.full(len(values), -1, dtype=np.int32)
-    for lo, hi in zip(offsets[:-1], offsets[1:]):
-        open_at = [-1]
-        done = 0
-        row = values[lo:hi]
-        for i in np.flatnonzero(row).tolist():
-            out[lo + done : lo + i + 1] = open_at[-1]
-            done = i + 1
-            if row[i] > 0:
-                open_at.append(i)
-            elif len(open_at) > 1:
-                open_at.pop()
-        out[lo + done : hi] = open_at[-1]
-    return _lists(out, offsets)
+_SPANS = T.ArrayType(
+    T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+)
+
+
+def top_level_spans(ended_by: dict[str, list[str]]):
+    """Arrow UDF: token ranges of the outermost elements of each document.
+
+    A token is ``name`` (start tag), ``/name`` (end tag), ``name/`` (start and
+    end in one) or empty. ``ended_by`` tells which children end an element
+    whose end tag is missing. What is still open at the end runs to the end.
+    """
+    rules = {parent: frozenset(children) for parent, children in ended_by.items()}
+
+    def outermost(tags: list[str]) -> list[dict]:
+        found: list[dict] = []
+        open_names: list[str] = []
+        begin = 0
+        for i, tag in enumerate(tags):
+            if not tag:
+                continue
+            if tag[0] == "/":
+                name = tag[1:]
+                if name in open_names:
+                    while open_names.pop() != name:
+                        pass
+                    if not open_names:
+                        found.append({"first": begin, "last": i})
+                continue
+            name = tag.rstrip("/")
+            nested = bool(open_names)
+            while open_names and name in rules.get(open_names[-1], ()):
+                open_names.pop()
+            if nested and not open_names:
+                found.append({"first": begin, "last": i - 1})
+            if not open_names:
+                begin = i
+            if tag[-1] != "/":
+                open_names.append(name)
+            elif not open_names:
+                found.append({"first": i, "last": i})
+        if open_names:
+            found.append({"first": begin, "last": len(tags) - 1})
+        return found
+
+    @F.arrow_udf(_SPANS)
+    def spans(documents: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        return pa.array([outermost(tags) for tags in documents.to_pylist()], kind)
+
+    return spans

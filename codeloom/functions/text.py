@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,12 @@ def none_if_blank(text: Column) -> Column:
 def join_slice(parts: Column, first: Column, last: Column, glue: str) -> Column:
     """Join array elements ``first..last`` (0-based, inclusive)."""
     return F.array_join(F.slice(parts, first + 1, last - first + 1), glue)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and let ``use`` refer to it any number of times.
+
+    Needed inside lambdas, where the optimizer would otherwise copy a column's
+    definition to every place it is used.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

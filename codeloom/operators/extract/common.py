@@ -32,10 +32,14 @@ def carried(df: DataFrame) -> list[str]:
 
 
 def explode_spans(df: DataFrame, spans: str, keep_empty: bool) -> DataFrame:
-    """One row per span struct; with ``keep_empty`` a file without spans keeps one NULL row."""
-    explode = F.posexplode_outer if keep_empty else F.posexplode
+    """One row per span struct; with ``keep_empty`` a file without spans keeps one NULL row.
+
+    Always an outer explode: for an inner one the optimizer would add a filter
+    that computes all spans a second time.
+    """
     keep = [c for c in df.columns if c != spans]
-    return df.select(*keep, explode(spans).alias("ordinal", "__span"))
+    rows = df.select(*keep, F.posexplode_outer(spans).alias("ordinal", "__span"))
+    return rows if keep_empty else rows.where(F.col("__span").isNotNull())
 
 
 def finish(df: DataFrame, keep: list[str], **columns: Column | None) -> DataFrame:

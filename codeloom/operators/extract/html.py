@@ -1,8 +1,7 @@
 """HTML: top-level elements of a document.
 
-Tags are folded left to right over a stack of open element names. Only the
-stack and the finished top-level spans are state, so a document costs one
-pass however large it is.
+The text is cut into tags and text by one expression; the tag names alone are
+then paired with a stack, which gives the ranges of the outermost elements.
 """
 
 from __future__ import annotations
@@ -10,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.nesting import running_before
-from codeloom.functions.text import join_slice
+from codeloom.functions.nesting import running_before, top_level_spans
+from codeloom.functions.text import join_slice, newlines
 from codeloom.operators.extract.common import (
     carried,
     explode_spans,
@@ -54,121 +53,48 @@ LEXER = (
 )
 
 
-def _tag(token: Column, i: Column) -> Column:
-    """Kind and name of a token: open, close, single (void or self-closing) or other."""
-    name = F.lower(F.regexp_extract(token, r"\A</?([A-Za-z][^\s/>]*+)", 1))
-    kind = (
-        F.when((name == "") | token.rlike(r"(?i)\A<(script|style)\b"), "other")
-        .when(token.startswith("</"), "close")
-        .when(token.endswith("/>") | name.isin(VOID), "single")
-        .otherwise("open")
-    )
-    return F.struct(i.alias("i"), kind.alias("kind"), name.alias("name"))
-
+_OUTERMOST = top_level_spans(ENDED_BY)
 
-def _top(stack: Column) -> Column:
-    return F.try_element_at(stack, F.lit(-1))
 
-
-def _drop_ended(stack: Column, name: Column) -> Column:
-    """Pop the innermost element if a ``name`` child cannot be inside it."""
-    top = _top(stack)
-    ended = F.lit(False)
-    for parent, children in ENDED_BY.items():
-        ended = ended | ((top == parent) & name.isin(children))
-    return F.when(F.coalesce(ended, F.lit(False)), F.slice(stack, 1, F.size(stack) - 1)).otherwise(
-        stack
+def _tag(token: Column) -> Column:
+    """``name``, ``/name`` or ``name/`` of a tag token; empty for any other token."""
+    name = F.lower(F.regexp_extract(token, r"\A<(/?[A-Za-z][^\s/>]*+)", 1))
+    single = token.endswith("/>") | name.isin(VOID)
+    return (
+        F.when(~token.startswith("<") | token.rlike(r"(?i)\A<(script|style)\b"), "")
+        .when(single & ~token.startswith("</"), F.concat(name, F.lit("/")))
+        .otherwise(name)
     )
 
 
-def _top_level(tags: Column, last: Column) -> Column:
-    span = "struct<first:int,last:int>"
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"),
-        F.lit(0).alias("begin"),
-        F.array().cast(f"array<{span}>").alias("out"),
+def html_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Elements directly below the document; nested ones are part of their content."""
+    keep = carried(files)
+    toks, line = F.col("__toks"), F.col("__line")
+    cut = files.select(*keep, tokens(F.col("text"), LEXER).alias("__toks")).select(
+        *keep,
+        "__toks",
+        running_before(line_counts(toks)).alias("__line"),
+        _OUTERMOST(F.transform(toks, _tag)).alias("__found"),
     )
 
-    def spans(first: Column, end: Column) -> Column:
-        return F.array(F.struct(first.alias("first"), end.alias("last")))
-
-    def opened(state: Column, tag: Column) -> Column:
-        # A cell inside a row may end both the cell and the row.
-        left = _drop_ended(_drop_ended(state["stack"], tag["name"]), tag["name"])
-        outer_ended = (F.size(state["stack"]) > 0) & (F.size(left) == 0)
-        begin = F.when(F.size(left) == 0, tag["i"]).otherwise(state["begin"])
-        out = F.when(
-            outer_ended, F.concat(state["out"], spans(state["begin"], tag["i"] - 1))
-        ).otherwise(state["out"])
-        single = tag["kind"] == "single"
+    def block(span: Column) -> Column:
         return F.struct(
-            F.when(single, left).otherwise(F.array_append(left, tag["name"])).alias("stack"),
-            begin.alias("begin"),
-            F.when(
-                single & (F.size(left) == 0), F.concat(out, spans(tag["i"], tag["i"]))
-            ).otherwise(out).alias("out"),
+            join_slice(toks, span["first"], span["last"], "").alias("content"),
+            F.get(line, span["first"]).alias("before"),
         )
 
-    def closed(state: Column, tag: Column) -> Column:
-        depth = F.size(state["stack"]) - F.array_position(F.reverse(state["stack"]), tag["name"])
-        left = F.slice(state["stack"], F.lit(1), depth.cast("int"))
-        known = F.array_contains(state["stack"], tag["name"])
-        return F.when(
-            known,
-            F.struct(
-                left.alias("stack"),
-                state["begin"].alias("begin"),
-                F.when(
-                    F.size(left) == 0, F.concat(state["out"], spans(state["begin"], tag["i"]))
-                ).otherwise(state["out"]).alias("out"),
-            ),
-        ).otherwise(state)
-
-    def step(state: Column, tag: Column) -> Column:
-        return F.when(tag["kind"] == "close", closed(state, tag)).otherwise(opened(state, tag))
-
-    def done(state: Column) -> Column:
-        # Whatever is still open runs to the end of the input.
-        return F.when(
-            F.size(state["stack"]) > 0, F.concat(state["out"], spans(state["begin"], last))
-        ).otherwise(state["out"])
-
-    return F.aggregate(tags, start, step, done)
-
-
-def html_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """Elements directly below the document; nested ones are part of their content."""
-    keep = carried(files)
-    toks = F.col("__toks")
-    cut = (
-        files.select(*keep, tokens(F.col("text"), LEXER).alias("__toks"))
-        .select(*keep, "__toks", running_before(line_counts(toks)).alias("__line"))
-        .withColumn("__tags", F.filter(F.transform(toks, _tag), lambda t: t["kind"] != "other"))
-    )
     rows = explode_spans(
-        cut.select(
-            *keep,
-            "__toks",
-            "__line",
-            _top_level(F.col("__tags"), F.size(toks) - 1).alias("__spans"),
-        ),
-        "__spans",
-        keep_empty,
+        cut.select(*keep, F.transform("__found", block).alias("__spans")), "__spans", keep_empty
     )
-    first, last = F.col("__span.first"), F.col("__span.last")
-    text = join_slice(toks, first, last, "")
-    present = first.isNotNull()
-    line = F.col("__line")
-    closing = F.get(toks, last)
+    content, start = F.col("__span.content"), F.col("__span.before") + 1
+    present = content.isNotNull()
     return finish(
         rows,
         keep,
         node_type=F.when(present, F.lit("element")),
         language=F.when(present, F.lit("html")),
-        content=text,
-        start_line=F.get(line, first) + 1,
-        end_line=F.get(line, last)
-        + F.length(closing)
-        - F.length(F.replace(closing, F.lit("\n"), F.lit("")))
-        + 1,
+        content=content,
+        start_line=start,
+        end_line=start + newlines(content),
     )

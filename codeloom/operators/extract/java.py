@@ -11,8 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.nesting import closing_partner, enclosing_open, running_before
-from codeloom.functions.text import join_slice, none_if_blank, none_if_empty, strip
+from codeloom.functions.nesting import closing_partner, running_before
+from codeloom.functions.text import (
+    bind,
+    join_slice,
+    newlines,
+    none_if_blank,
+    none_if_empty,
+    strip,
+)
 from codeloom.operators.extract.common import (
     carried,
     explode_spans,
@@ -130,17 +137,21 @@ def java_annotations(header: Column) -> Column:
     return none_if_empty(F.regexp_extract_all(modifiers, F.lit(ANNOTATION), F.lit(0)))
 
 
-def java_method_meta(header: Column) -> dict[str, Column]:
-    """Name, return type and parameter types of a method header.
+def java_signature(header: Column) -> Column:
+    """Return type, name and parameter list of a method header, from one match."""
+    pattern = (
+        rf"\A{MODIFIERS}(?:{ANGLES}\s*+)?+(?:{ANNOTATION}\s*+)*+({TYPE})\s*+({NAME})\s*+({PARENS})(?s:.*)\z"
+    )
+    return F.split(F.regexp_replace(header, pattern, "$1\u0001$2\u0001$3"), "\u0001")
+
+
+def java_method_meta(signature: Column) -> dict[str, Column]:
+    """Name, return type and parameter types of a method signature.
 
     Qualified types are no plain, generic or array types and are left out;
     so are primitive and variable-arity parameters.
     """
-    signature = (
-        rf"\A{MODIFIERS}(?:{ANGLES}\s*+)?+(?:{ANNOTATION}\s*+)*+({TYPE})\s*+({NAME})\s*+({PARENS})"
-    )
-    returned = F.regexp_extract(header, signature, 1)
-    inside = F.regexp_extract(header, signature, 3)
+    return_type, name, inside = (F.get(signature, F.lit(n)) for n in range(3))
     one = (
         rf"(?<![\p{{L}}\p{{N}}_$.@])(?:(?:final{_WORD_END}|{ANNOTATION})\s*+)*+({TYPE})\s*+(?!this{_WORD_END})"
         rf"{NAME}\s*+(?:\[\s*+\]\s*+)*+(?=[,)])"
@@ -149,8 +160,8 @@ def java_method_meta(header: Column) -> dict[str, Column]:
     qualified = rf"\A{NAME}(?:\s*+\.\s*+{NAME})++\z"
     params = F.filter(typed, lambda t: ~t.isin(PRIMITIVES) & ~t.rlike(qualified))
     return {
-        "method_name": F.regexp_extract(header, signature, 2),
-        "return_type": F.when((returned != "") & ~returned.rlike(qualified), returned),
+        "method_name": name,
+        "return_type": F.when(~return_type.rlike(qualified), return_type),
         "param_types": none_if_empty(params),
     }
 
@@ -164,109 +175,125 @@ def java_calls(body: Column) -> Column:
     )
 
 
-def java_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """Class and method declarations anywhere in the file, outer ones first."""
-    keep = carried(files)
-    step = F.transform(
-        F.col("__toks"), lambda t: F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
-    )
-    cut = (
-        files.select(*keep, tokens(F.col("text"), LEXER).alias("__toks"))
-        .withColumn("__step", step)
-        .select(
-            *keep,
-            "__toks",
-            closing_partner("__step").alias("__partner"),
-            enclosing_open("__step").alias("__parent"),
-            running_before(line_counts(F.col("__toks"))).alias("__line"),
-        )
+def _is_method(token: Column) -> Column:
+    return token.contains("(") & token.rlike(rf"\A{METHOD}\z")
+
+
+def _directly_in(inner: Column, outer: Column) -> Column:
+    """Whether a declaration is a direct member of another one's body."""
+    return (
+        (inner["first"] > outer["first"])
+        & (inner["first"] < outer["last"])
+        & (inner["depth"] == outer["depth"] + 1)
     )
-    toks, partner, parent, line = (F.col(c) for c in ("__toks", "__partner", "__parent", "__line"))
 
-    def header(t: Column, i: Column) -> Column:
+
+def _declarations(toks: Column, partner: Column, depth: Column) -> Column:
+    """Headers of classes, methods, annotation types and injected fields, in order."""
+
+    def look(t: Column, i: Column) -> Column:
         follower = F.get(toks, i + 1)
+        opens = follower == "{"
         kind = (
-            F.when((follower == "{") & t.rlike(rf"\A{CLASS}\z"), "class_declaration")
-            .when(follower.isin("{", ";") & t.rlike(rf"\A{METHOD}\z"), "method_declaration")
-            .when((follower == "{") & t.rlike(rf"\A{ANNOTATION_TYPE}\z"), "annotation_type")
-            .when(follower.isin("=", ";", ",") | follower.rlike(r"\A\s|\A[=,\[]"),
-                  F.when(t.contains("@Inject") & t.rlike(rf"\A(?=@|{MODIFIER}){MODIFIERS}{TYPE}{GAP}*+{NAME}\z"),
-                         "field"))
+            F.when(opens & t.contains("class") & t.rlike(rf"\A{CLASS}\z"), "class_declaration")
+            .when((opens | (follower == ";")) & _is_method(t), "method_declaration")
+            .when(opens & t.contains("@") & t.rlike(rf"\A{ANNOTATION_TYPE}\z"), "annotation_type")
+            .when(t.contains("@Inject") & t.rlike(rf"\A{MODIFIERS}{TYPE}{GAP}*+{NAME}\z"), "field")
         )
-        last = F.when(follower == "{", F.get(partner, i + 1)).otherwise(i + 1)
         return F.struct(
             kind.alias("kind"),
             i.alias("first"),
-            last.alias("last"),
-            F.get(parent, i).alias("parent"),
+            F.when(opens, F.get(partner, i + 1)).otherwise(i + 1).alias("last"),
+            F.get(depth, i).alias("depth"),
             t.alias("header"),
         )
 
-    marked = cut.withColumn(
-        "__decls", F.filter(F.transform(toks, header), lambda d: d["kind"].isNotNull())
-    ).withColumn("__imports", java_imports(toks))
-    decls = F.col("__decls")
-    fields = F.filter(decls, lambda d: d["kind"] == "field")
-    elements = F.filter(decls, lambda d: d["kind"] == "annotation_type")
-    # An element of an annotation type is written like an abstract method but is none.
-    blocks = F.filter(
-        decls,
-        lambda d: (d["kind"] == "class_declaration")
-        | (
+    return F.filter(F.transform(toks, look), lambda d: d["kind"].isNotNull())
+
+
+def _block_spans(toks: Column, line: Column, decls: Column) -> Column:
+    """Blocks with all the text their metadata needs, so the tokens can be dropped."""
+
+    def parts(found: Column) -> Column:
+        fields = F.filter(found, lambda d: d["kind"] == "field")
+        elements = F.filter(found, lambda d: d["kind"] == "annotation_type")
+        return bind(
+            F.struct(fields.alias("fields"), elements.alias("elements")),
+            lambda aside: F.transform(F.filter(found, is_block(aside)), block(aside)),
+        )
+
+    def is_block(aside: Column):
+        # An element of an annotation type is written like an abstract method but is none.
+        return lambda d: (d["kind"] == "class_declaration") | (
             (d["kind"] == "method_declaration")
-            & ~F.exists(F.col("__elements"), lambda a: a["first"] + 1 == d["parent"])
-        ),
-    )
-    spans = (
-        marked.withColumn("__elements", elements)
-        .withColumn("__fields", fields)
-        .withColumn("__spans", blocks)
-        .drop("__decls", "__elements", "__partner", "__parent", "__step")
+            & ~F.exists(aside["elements"], lambda a: _directly_in(d, a))
+        )
+
+    def block(aside: Column):
+        def cut_out(d: Column) -> Column:
+            is_class = d["kind"] == "class_declaration"
+            inside = F.slice(toks, d["first"] + 2, d["last"] - d["first"])
+            own_fields = F.filter(aside["fields"], lambda f: _directly_in(f, d))
+            return F.struct(
+                d["kind"].alias("kind"),
+                d["header"].alias("header"),
+                join_slice(toks, d["first"], d["last"], "").alias("content"),
+                (F.get(line, d["first"]) + 1).alias("start_line"),
+                F.when(
+                    ~is_class,
+                    F.array_join(F.filter(inside, lambda t: ~_is_method(t)), ""),
+                ).alias("body"),
+                F.when(is_class, F.transform(own_fields, lambda f: f["header"])).alias("fields"),
+            )
+
+        return cut_out
+
+    return bind(decls, parts)
+
+
+def java_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Class and method declarations anywhere in the file, outer ones first."""
+    keep = carried(files)
+    toks = F.col("__toks")
+    step = F.transform(toks, lambda t: F.when(t == "{", 1).when(t == "}", -1).otherwise(0))
+    cut = files.select(*keep, tokens(F.col("text"), LEXER).alias("__toks")).select(
+        *keep,
+        "__toks",
+        closing_partner(step).alias("__partner"),
+        running_before(step).alias("__depth"),
+        running_before(line_counts(toks)).alias("__line"),
     )
-    rows = explode_spans(spans, "__spans", keep_empty)
-    span = F.col("__span")
-    is_class = span["kind"] == "class_declaration"
-    # Everything the metadata needs is cut out here, so the token array ends in this row.
-    cut_out = rows.select(
+    decls = _declarations(toks, F.col("__partner"), F.col("__depth"))
+    spans = cut.select(
         *keep,
-        "ordinal",
-        span["kind"].alias("node_type"),
-        join_slice(toks, span["first"], span["last"], "").alias("content"),
-        (F.get(line, span["first"]) + 1).alias("start_line"),
-        (F.get(line, span["last"]) + 1).alias("end_line"),
-        F.when(span["kind"].isNotNull(), F.col("__imports")).alias("imports"),
-        strip(_without_comments(span["header"])).alias("__header"),
-        F.when(
-            ~is_class,
-            F.array_join(
-                F.filter(
-                    F.slice(toks, span["first"] + 2, span["last"] - span["first"]),
-                    lambda t: ~t.rlike(rf"\A{METHOD}\z"),
-                ),
-                "",
-            ),
-        ).alias("__body"),
-        F.when(
-            is_class,
-            F.transform(
-                F.filter(F.col("__fields"), lambda f: f["parent"] == span["first"] + 1),
-                lambda f: strip(_without_comments(f["header"])),
-            ),
-        ).alias("__injected"),
+        java_imports(toks).alias("__imports"),
+        _block_spans(toks, F.col("__line"), decls).alias("__spans"),
+    )
+    rows = explode_spans(spans, "__spans", keep_empty).withColumn(
+        "__header", strip(_without_comments(F.col("__span.header")))
+    )
+    rows = rows.withColumn(
+        "__signature",
+        F.when(F.col("__span.kind") == "method_declaration", java_signature(F.col("__header"))),
     )
-    header_text = F.col("__header")
-    is_class = F.col("node_type") == "class_declaration"
-    is_method = F.col("node_type") == "method_declaration"
+    kind, content, header = F.col("__span.kind"), F.col("__span.content"), F.col("__header")
+    is_class, is_method = kind == "class_declaration", kind == "method_declaration"
+    start = F.col("__span.start_line")
+    fields = F.transform(F.col("__span.fields"), lambda f: strip(_without_comments(f)))
     return finish(
-        cut_out,
+        rows,
         keep,
-        language=F.when(F.col("node_type").isNotNull(), F.lit("java")),
-        **{c: F.col(c) for c in ("node_type", "content", "start_line", "end_line", "imports")},
-        **{k: F.when(is_class, v) for k, v in java_class_meta(header_text).items()},
-        annotations=java_annotations(header_text),
-        injects=F.when(is_class, none_if_empty(java_injects(F.col("__injected")))),
-        **{k: F.when(is_method, v) for k, v in java_method_meta(header_text).items()},
-        calls=F.when(is_method, java_calls(F.col("__body"))),
+        node_type=kind,
+        language=F.when(kind.isNotNull(), F.lit("java")),
+        content=content,
+        start_line=start,
+        end_line=start + newlines(content),
+        imports=F.when(kind.isNotNull(), F.col("__imports")),
+        annotations=java_annotations(header),
+        injects=F.when(is_class, none_if_empty(java_injects(fields))),
+        calls=F.when(is_method, java_calls(F.col("__span.body"))),
+        **{k: F.when(is_class, v) for k, v in java_class_meta(header).items()},
+        **{k: F.when(is_method, v) for k, v in java_method_meta(F.col("__signature")).items()},
     )
 
 
