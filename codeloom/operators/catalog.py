@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import small_side
-
 # Longest list of names that becomes a pushed-down filter instead of a join.
 INLINE_NAMES = 200
 
@@ -43,7 +41,7 @@ def find_blocks_by_name(index: DataFrame, names: Sequence[str] | DataFrame, by:
         raise ValueError(f"cannot look blocks up by {by}")
     rows = index.drop("embedding")
     if isinstance(names, DataFrame):
-        wanted = small_side(names.select(F.col(names.columns[0]).alias(by)).distinct())
+        wanted = names.select(F.col(names.columns[0]).alias(by)).distinct()
         return _in_order(rows.join(wanted, by, "left_semi").select(rows.columns), "file_path")
     listed = sorted(set(names))
     if len(listed) <= INLINE_NAMES:

@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codeloom.session import small_side, stage
+from codeloom.session import stage
 
-# Which metadata is followed, and by which name it is resolved.
-FOLLOWED = {
-    "class_name": (["injects", "implements"], ["extends"]),
-    "component_name": (["calls_components"], []),
-}
+# The metadata that is followed and the name it is resolved by,
+# in the order in which matches are reported.
+FOLLOWED = [
+    ("class_name", ["injects", "implements", "extends"]),
+    ("component_name", ["calls_components"]),
+]
 _KEYS = ["id", "file_path", "start_line", "ordinal"]
 _LINKS = ["injects", "implements", "extends", "calls_components"]
 
 
-def _targets(layer: DataFrame, lists: list[str], singles: list[str]) -> DataFrame:
-    empty = F.array().cast("array<string>")
-    parts: list[Column] = [F.coalesce(F.col(c), empty) for c in lists]
-    parts += [F.when(F.col(c) != "", F.array(c)).otherwise(empty) for c in singles]
-    return layer.select(F.explode(F.concat(*parts)).alias("name")).distinct()
+def _references(layer: DataFrame) -> DataFrame:
+    """Distinct (via, name) pairs a layer of blocks refers to."""
+
+    def names(field: str) -> Column:
+        listed = isinstance(layer.schema[field].dataType, T.ArrayType)
+        value = F.col(field) if listed else F.when(F.col(field) != "", F.array(field))
+        return F.coalesce(value, F.array().cast("array<string>"))
+
+    def tagged(via: int, fields: list[str]) -> Column:
+        every = F.concat(*map(names, fields))
+        return F.transform(every, lambda n: F.struct(F.lit(via).alias("via"), n.alias("name")))
+
+    pairs = [tagged(via, fields) for via, (_, fields) in enumerate(FOLLOWED)]
+    return layer.select(F.explode(F.concat(*pairs)).alias("ref")).select("ref.via", "ref.name").distinct()
+
+
+def _named(slim: DataFrame) -> DataFrame:
+    """Index rows once per name they answer to."""
+    answers = F.filter(
+        F.array(
+            *[
+                F.struct(F.lit(via).alias("via"), F.col(by).alias("name"))
+                for via, (by, _) in enumerate(FOLLOWED)
+            ]
+        ),
+        lambda a: a["name"].isNotNull(),
+    )
+    return slim.select(*_KEYS, *_LINKS, F.explode(answers).alias("answer")).select(
+        *_KEYS, *_LINKS, "answer.via", "answer.name"
+    )
 
 
 def expand_dependencies(index: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
@@ -30,28 +59,22 @@ def expand_dependencies(index: DataFrame, seeds: DataFrame, depth: int = 1) -> D
     level, via, file_path, start_line. A block counts at its first level only;
     names that resolve to nothing are ignored.
 
-    Levels work on names and keys alone and are staged, so lineage does not
-    grow; the contents of all blocks found are fetched by one join at the end.
+    Each level is one pass over names and keys and is staged, so lineage does
+    not grow; the contents of all blocks found are fetched by one join at the
+    end. A name held by very many blocks only lengthens the probe side.
     """
-    slim = index.select(*_KEYS, "class_name", "component_name", *_LINKS)
-    layer = slim.join(small_side(seeds.select("id").distinct()), "id", "left_semi")
-    layer = stage(layer, "seeds")
+    slim = index.select(*_KEYS, *[by for by, _ in FOLLOWED], *_LINKS)
+    named = _named(slim)
+    layer = stage(slim.join(seeds.select("id").distinct(), "id", "left_semi"), "seeds")
     seen = layer.select("id")
     levels: list[DataFrame] = []
     for level in range(1, depth + 1):
-        found = None
-        for via, (by, (lists, singles)) in enumerate(FOLLOWED.items()):
-            names = stage(_targets(layer, lists, singles), "names")
-            hits = slim.join(
-                small_side(names), slim[by] == names["name"], "left_semi"
-            ).withColumn("via", F.lit(via))
-            found = hits if found is None else found.unionByName(hits)
+        hits = named.join(_references(layer), ["via", "name"], "left_semi")
         # A row found both ways counts as found by class.
-        once = found.groupBy("id").agg(
+        once = hits.groupBy("id").agg(
             F.min("via").alias("via"), *[F.first(c).alias(c) for c in _KEYS[1:] + _LINKS]
         )
-        fresh = once.join(small_side(seen), "id", "left_anti").withColumn("level", F.lit(level))
-        layer = stage(fresh, "level")
+        layer = stage(once.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), "level")
         if layer.isEmpty():
             break
         levels.append(layer.select("id", "level", "via"))
@@ -59,9 +82,7 @@ def expand_dependencies(index: DataFrame, seeds: DataFrame, depth: int = 1) -> D
     rows = index.drop("embedding")
     if not levels:
         return rows.where(F.lit(False)).withColumns({"level": F.lit(0), "via": F.lit(0)})
-    reached = levels[0]
-    for more in levels[1:]:
-        reached = reached.unionByName(more)
-    return rows.join(small_side(reached), "id").orderBy(
+    reached = reduce(DataFrame.unionByName, levels)
+    return rows.join(reached, "id").orderBy(
         "level", "via", "file_path", "start_line", "ordinal", "id"
     )

@@ -45,7 +45,7 @@ ENDED_BY = {
     "th": ["td", "th", "tr"],
 }
 
-_INSIDE = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+"""
+_INSIDE = r"""(?:[^<>"']|"[^"]*+"|'[^']*+')*+"""
 LEXER = (
     r"<!--(?s:.*?)(?:-->|\z)|<[!?][^>]*+>?+"
     r"|(?i:<(script|style)\b" + _INSIDE + r">(?s:.*?)(?:</\1\s*+>|\z))"

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.operators import files as steps
 from codeloom.operators.embed import embed_blocks, hashed_words
@@ -34,24 +35,51 @@ class IngestJob:
     metrics: DataFrame
 
 
-def extract_blocks(
-    files: DataFrame, sql_dialect: str = "unknown", keep_empty: bool = False
-) -> DataFrame:
-    """Blocks of all routed files (file_path, family, text; other columns are carried)."""
-    jobs = {
+def extraction_jobs(sql_dialect: str) -> dict[str, Callable[..., DataFrame]]:
+    """The extraction job of each language family."""
+    return {
         "java": java_blocks,
         "jsx": jsx_blocks,
         "html": html_blocks,
-        "cfml": lambda f, keep_empty: cfml_blocks(f, sql_dialect, keep_empty),
-        "sql": lambda f, keep_empty: sql_blocks(f, sql_dialect, keep_empty),
+        "cfml": partial(cfml_blocks, sql_dialect=sql_dialect),
+        "sql": partial(sql_blocks, sql_dialect=sql_dialect),
     }
+
+
+def extract_blocks(
+    files: DataFrame, sql_dialect: str = "unknown", keep_empty: bool = False
+) -> DataFrame:
+    """Blocks of all routed files (file_path, family, text; other columns are carried)."""
     parts = [
         job(files.where(F.col("family") == family), keep_empty=keep_empty)
-        for family, job in jobs.items()
+        for family, job in extraction_jobs(sql_dialect).items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _read_and_extract(files: DataFrame, root: str, sql_dialect: str) -> DataFrame:
+    """Blocks of files on disk, one NULL block for a file without any.
+
+    Paths are split by family before their contents are read, so each file is
+    read once although every family is a job of its own.
+    """
+    routed = steps.route(files)
+    sizes = {r["family"]: r["bytes"] for r in routed.groupBy("family").agg(F.sum("length").alias("bytes")).collect()}
+    jobs = extraction_jobs(sql_dialect)
+    names = [*[f.name for f in BLOCKS.fields], "file_sha256", "family", "error"]
+    parts = []
+    for family in [f for f in jobs if f in sizes]:
+        read = read_files(routed.where(F.col("family") == family), root, sizes[family])
+        texts = read_text(fingerprint(read)).withColumn("family", F.lit(family))
+        parts.append(jobs[family](texts, keep_empty=True).select(names))
+    if not parts:
+        empty = "file_sha256 string, family string, error string"
+        return files.sparkSession.createDataFrame(
+            [], T.StructType([*BLOCKS.fields, *T.StructType.fromDDL(empty).fields])
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ingest(
     spark: SparkSession,
     root: str,
@@ -84,13 +112,7 @@ def ingest(
         fresh = listed.join(survivors, "file_path", "left_semi")
         known = hashed.join(survivors, "file_path", "left_anti").select("file_path")
 
-    read = steps.route(fingerprint(read_files(fresh, root)))
-    cut = stage(
-        extract_blocks(read_text(read), sql_dialect, keep_empty=True).select(
-            *[f.name for f in BLOCKS.fields], "file_sha256", "family", "error"
-        ),
-        "blocks",
-    )
+    cut = stage(_read_and_extract(fresh, root, sql_dialect), "blocks")
     per_file = cut.groupBy("file_path").agg(
         F.first("file_sha256", ignorenulls=True).alias("file_sha256"),
         F.first("family").alias("family"),

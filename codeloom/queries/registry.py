@@ -278,7 +278,7 @@ def _check_root(spark, sf_dir):
   (select count(*) from customer) customers, (select count(*) from pages) pages,
   (select count(distinct html) from pages) roots)
  select parts + suppliers + customers + pages files_discovered,
-  parts + suppliers + customers + roots files_processed, pages - roots files_skipped, 0 files_failed,
+  parts + suppliers + customers + roots files_processed, pages - roots files_skipped, cast(0 as bigint) files_failed,
   4 * parts + 5 * suppliers + 4 * customers + roots blocks_inserted,
   parts + suppliers + customers + roots files_listed,
   4 * parts + 5 * suppliers + 4 * customers + roots blocks_listed from n""",
@@ -330,7 +330,7 @@ def _index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "read_index",
-    f"""select file_path, 0 ordinal, {V.NODE_TYPE} node_type, lang "language", {V.START_LINE} start_line,
+    f"""select file_path, cast(0 as bigint) ordinal, {V.NODE_TYPE} node_type, lang "language", {V.START_LINE} start_line,
  case when f.doc_id % 3 = 0 then concat('K', f.doc_id) end component_name, d.text "content",
  sha256(concat(file_path, chr(0), file_sha256, chr(0), 0)) id
  from {V.FILES_SQL} f join (select doc_id id, lang, text from documents) d on f.doc_id = d.id""",
@@ -345,7 +345,7 @@ def _read_index(spark, sf_dir):
 
 @query(
     "upsert_by_file",
-    f"""with f as {V.FILES_SQL} select file_path, n ordinal, case when doc_id % 3 = 0 then 'new ' || n else d.text end "content"
+    f"""with f as {V.FILES_SQL} select file_path, cast(n as bigint) ordinal, case when doc_id % 3 = 0 then 'new ' || n else d.text end "content"
  from f join documents d using (doc_id), (select unnest([0, 1]) n) where n = 0 or doc_id % 3 = 0""",
 )
 def _upsert_by_file(spark, sf_dir):
@@ -509,7 +509,7 @@ _register_extraction()
 
 @query(
     "html_blocks",
-    f"""select {V.PAGE_PATH} file_path, 0 ordinal, 'element' node_type, 1 start_line,
+    f"""select {V.PAGE_PATH} file_path, cast(0 as bigint) ordinal, 'element' node_type, cast(1 as bigint) start_line,
  length(html) - length(replace(html, chr(10), '')) + 1 end_line, {V.PAGE_ROOT} "content" from pages""",
 )
 def _html_blocks(spark, sf_dir):
@@ -711,7 +711,7 @@ def _ann_search(spark, sf_dir):
 # --- catalogue and dependencies -------------------------------------------------------
 
 
-@query("get_file_blocks", f"""select id, start_line, node_type, "content" from {V.INDEX_SQL} where file_path = 'src3'""")
+@query("get_file_blocks", f"""select id, cast(start_line as bigint) start_line, node_type, "content" from {V.INDEX_SQL} where file_path = 'src3'""")
 def _get_file_blocks(spark, sf_dir):
     return catalog.get_file_blocks(V.index(spark, sf_dir), "src3").select(
         "id", "start_line", "node_type", "content"

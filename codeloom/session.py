@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and size-checked broadcasts."""
+"""Session settings and lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest frame, in bytes of its own columns, that is ever broadcast by hint.
-BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
 def local_session(cores: int | str = "*", app: str = "codeloom", **conf: str) -> SparkSession:
@@ -49,22 +45,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage like a checkpoint but stays columnar, so each consumer
     reads only its columns, and a lost executor re-reads instead of recomputing.
+    Its size on disk is known, so Spark itself broadcasts it in a join exactly
+    when it is below the configured threshold.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    """Measure ``df`` (cheap when staged) against the broadcast limit."""
-    width = F.lit(0)
-    for field in df.schema.fields:
-        width = width + F.coalesce(F.length(F.col(field.name).cast("string")), F.lit(0)) + F.lit(16)
-    size = df.agg(F.sum(width.cast("long"))).first()[0]
-    return (size or 0) <= limit
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast only if the measured size allows it; else leave the join to AQE."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.schema import BLOCK_INDEX, conform
-from codeloom.session import small_side
 
 # Buckets of a new index; size it so that a bucket holds about a gigabyte.
 BUCKETS = 256
@@ -124,7 +123,7 @@ def write_blocks(
     if not touched:
         return
     old = _read(spark, path, state, [str(b) for b in touched])
-    replaced = small_side(fresh.select("file_path").distinct())
+    replaced = fresh.select("file_path").distinct()
     kept = _with_bucket(old.join(replaced, "file_path", "left_anti"), state)
     _commit(kept.unionByName(fresh), path, state, touched, spark)
 

@@ -48,7 +48,9 @@ def _local_path(root: str) -> str | None:
 
 def check_root(spark: SparkSession, root: str) -> bool:
     """Whether the repository path exists, on any file system Spark knows."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root if _local_path(root) is None else f"file:{os.path.abspath(_local_path(root))}")
+    mounted = _local_path(root)
+    address = root if mounted is None else f"file:{os.path.abspath(mounted)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(address)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
@@ -70,11 +72,11 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         except PermissionError:
             continue
         if len(rows) >= 10000:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
+            yield _batch(rows, schema)
             rows = []
     rows += [(d, True, 0) for d in pending]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
+        yield _batch(rows, schema)
 
 
 def supported(path: Column) -> Column:
@@ -115,6 +117,11 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(supported(F.col("file_path")))
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), schema)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("file_path", pa.string()), ("content", pa.binary()), ("error", pa.string())]
@@ -130,14 +137,18 @@ def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             except OSError as problem:
                 rows.append((path, None, f"{type(problem).__name__}: {problem}"))
             if size >= BATCH_BYTES or len(rows) >= 10000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield _batch(rows, schema)
                 rows, size = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield _batch(rows, schema)
 
 
-def read_files(files: DataFrame, root: str) -> DataFrame:
-    """Bytes of the given files: file_path, content, error (unreadable files have an error)."""
+def read_files(files: DataFrame, root: str, total_bytes: int | None = None) -> DataFrame:
+    """Bytes of the given files: file_path, content, error (unreadable files have an error).
+
+    The number of tasks follows from the total length, which is summed up
+    unless the caller knows it.
+    """
     spark = files.sparkSession
     if _local_path(root) is None:
         contents = (
@@ -147,8 +158,9 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
             .select(F.col("path").alias("file_path"), "content", F.lit(None).cast("string").alias("error"))
         )
         return contents.join(files.select("file_path"), "file_path", "left_semi")
-    total = files.agg(F.sum("length")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    if total_bytes is None:
+        total_bytes = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total_bytes // TASK_BYTES))
     return files.select("file_path").repartition(int(tasks)).mapInArrow(_read_contents, _CONTENT)
 
 
