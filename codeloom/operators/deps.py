@@ -17,6 +17,7 @@ FOLLOWED = [
     ("component_name", ["calls_components"]),
 ]
 _KEYS = ["id", "file_path", "start_line", "ordinal"]
+ORDER = ["level", "via", "file_path", "start_line", "ordinal", "id"]
 _LINKS = ["injects", "implements", "extends", "calls_components"]
 
 
@@ -52,16 +53,12 @@ def _named(slim: DataFrame) -> DataFrame:
     )
 
 
-def expand_dependencies(index: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
-    """Blocks reached from ``seeds`` in at most ``depth`` levels, seeds left out.
-
-    Adds ``level`` and ``via`` (0 found as a class, 1 as a component). Order:
-    level, via, file_path, start_line. A block counts at its first level only;
-    names that resolve to nothing are ignored.
+def reach(index: DataFrame, seeds: DataFrame, depth: int) -> DataFrame | None:
+    """Keys, ``level`` and ``via`` of the blocks reached from ``seeds``; None if there are none.
 
     Each level is one pass over names and keys and is staged, so lineage does
-    not grow; the contents of all blocks found are fetched by one join at the
-    end. A name held by very many blocks only lengthens the probe side.
+    not grow and contents are never read. A name held by very many blocks only
+    lengthens the probe side of its join.
     """
     slim = index.select(*_KEYS, *[by for by, _ in FOLLOWED], *_LINKS)
     named = _named(slim)
@@ -77,12 +74,20 @@ def expand_dependencies(index: DataFrame, seeds: DataFrame, depth: int = 1) -> D
         layer = stage(once.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), "level")
         if layer.isEmpty():
             break
-        levels.append(layer.select("id", "level", "via"))
+        levels.append(layer.select(*_KEYS, "level", "via"))
         seen = seen.unionByName(layer.select("id"))
+    return reduce(DataFrame.unionByName, levels) if levels else None
+
+
+def expand_dependencies(index: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
+    """Blocks reached from ``seeds`` in at most ``depth`` levels, seeds left out.
+
+    Adds ``level`` and ``via`` (0 found as a class, 1 as a component). Order:
+    level, via, file_path, start_line. A block counts at its first level only;
+    names that resolve to nothing are ignored.
+    """
     rows = index.drop("embedding")
-    if not levels:
+    reached = reach(index, seeds, depth)
+    if reached is None:
         return rows.where(F.lit(False)).withColumns({"level": F.lit(0), "via": F.lit(0)})
-    reached = reduce(DataFrame.unionByName, levels)
-    return rows.join(reached, "id").orderBy(
-        "level", "via", "file_path", "start_line", "ordinal", "id"
-    )
+    return rows.join(reached.select("id", "level", "via"), "id").orderBy(*ORDER)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.deps import expand_dependencies as expand
+from codeloom.operators.deps import ORDER, reach
 from codeloom.operators.embed import embed_query
 from codeloom.operators.search import search
 from codeloom.session import stage
@@ -54,41 +54,42 @@ def ranked_with_dependencies(
     spark = index.sparkSession
     # At most 50 rows: held as data, so ranking and expansion see the same ones.
     top = search(index, vector, limit, language, node_type)
-    primary = spark.createDataFrame(top.collect(), top.schema)
+    rows = top.collect()
+    primary = spark.createDataFrame(rows, top.schema)
     order = Window.orderBy(F.col("score").asc_nulls_last(), "id")
     ranked = primary.withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn(
         "is_dependency", F.lit(False)
     )
-    if depth == 0 or primary.isEmpty():
+    reached = reach(index, primary, depth) if depth and rows else None
+    if reached is None:
         return ranked.orderBy("rank")
-    found = expand(index, primary, depth)
-    deps = found.withColumn("score", F.lit(None).cast("double")).withColumn(
-        "is_dependency", F.lit(True)
+    numbers = _numbered(reached).select("id", (F.col("rank") + len(rows)).alias("rank"))
+    deps = (
+        index.drop("embedding")
+        .join(numbers, "id")
+        .withColumn("score", F.lit(None).cast("double"))
+        .withColumn("is_dependency", F.lit(True))
     )
-    # Dependencies may be many: number them by sorted position, not in one window.
-    numbered = _number(deps).withColumn("rank", F.col("rank") + primary.count())
-    columns = [*primary.columns, "rank", "is_dependency"]
-    return ranked.select(columns).unionByName(numbered.select(columns)).orderBy("rank")
+    return ranked.unionByName(deps).orderBy("rank")
 
 
-def _number(found: DataFrame) -> DataFrame:
-    """Add ``rank`` 1..n in (level, via, file_path, start_line, ordinal, id) order.
+def _numbered(reached: DataFrame) -> DataFrame:
+    """Add ``rank`` 1..n in the order of dependencies.
 
     A range partitioned sort gives each partition a contiguous stretch; adding
     the sizes of the earlier stretches numbers all rows without one big window.
     """
-    keys = ["level", "via", "file_path", "start_line", "ordinal", "id"]
     placed = stage(
-        found.select(keys).repartitionByRange(*keys).withColumn("part", F.spark_partition_id()),
-        "order",
+        reached.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()), "order"
     )
-    local = Window.partitionBy("part").orderBy(*keys)
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn(
-        "before",
-        F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        placed.groupBy("part")
+        .agg(F.count("*").alias("n"))
+        .select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
-    numbers = placed.join(F.broadcast(before.select("part", "before")), "part").select(
+    local = Window.partitionBy("part").orderBy(*ORDER)
+    # One row per partition, so broadcasting ``before`` is always small.
+    return placed.join(F.broadcast(before), "part").select(
         "id", (F.row_number().over(local) + F.col("before")).alias("rank")
     )
-    return found.join(numbers, "id")

@@ -285,7 +285,7 @@ def _check_root(spark, sf_dir):
 )
 def _ingest_job(spark, sf_dir):
     root, target = _new_root(spark, "tree"), _new_root(spark, "index")
-    pages = V.table(spark, sf_dir, "pages").select(
+    pages = V.spread_table(spark, sf_dir, "pages", "page_id", "html").select(
         F.expr(V.PAGE_PATH).alias("file_path"), F.col("html").alias("text")
     )
     sources = [V.corpus(spark, sf_dir, f) for f in ("java", "jsx", "cfml")]
@@ -513,7 +513,7 @@ _register_extraction()
  length(html) - length(replace(html, chr(10), '')) + 1 end_line, {V.PAGE_ROOT} "content" from pages""",
 )
 def _html_blocks(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages").select(
+    pages = V.spread_table(spark, sf_dir, "pages", "page_id", "html").select(
         F.expr(V.PAGE_PATH).alias("file_path"), F.col("html").alias("text")
     )
     return html_blocks(pages).select(
@@ -592,7 +592,9 @@ def _hashed_sql(dimension: int, source: str, key: str, text: str) -> str:
  round(sum(x * (slot % 7)), 6) mixed from v group by k""",
 )
 def _embed_blocks(spark, sf_dir):
-    documents = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    documents = V.spread_table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed(
+        "text", "content"
+    )
     out = embed_blocks(documents, hashed_words(256))
     mixed = F.aggregate(
         F.transform("embedding", lambda x, i: x.cast("double") * (i % 7)), F.lit(0.0), lambda a, x: a + x
@@ -621,7 +623,9 @@ def _scores_sql(dimension: int) -> str:
     f"with {_scores_sql(256)} select doc_id, {ROUND.format('score', 6)} score from scores",
 )
 def _embed_query(spark, sf_dir):
-    documents = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    documents = V.spread_table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed(
+        "text", "content"
+    )
     vector = embed_query(spark, _QUERY_TEXT, hashed_words(256))
     embedded = embed_blocks(documents, hashed_words(256))
     score = near.distance_to(vector)(F.col("embedding"))
@@ -801,7 +805,8 @@ _LINKED_SQL = (
  from found join g on g.id = found.id""",
 )
 def _search_code(spark, sf_dir):
-    rows = V.table(spark, sf_dir, "documents").select(
+    documents = V.spread_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    rows = documents.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("file_path"),
         F.col("lang").alias("language"),

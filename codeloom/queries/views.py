@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is heavy per row."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 # Documents as source files. Extensions cover all families, upper case and two
 # unsupported ones.
 FILE_PATH = """concat(source, '/', doc_id, case doc_id % 9 when 0 then '.java' when 1 then '.jsx'
@@ -121,6 +128,13 @@ CORPORA = {
     "sql": ("orders", SQL_PATH, SQL_TEXT, SQL_BLOCKS),
     "siblings": ("pages", SIBLING_PATH, SIBLING_TEXT, SIBLING_BLOCKS),
 }
+CORPUS_KEYS = {
+    "java": ["p_partkey"],
+    "jsx": ["c_custkey"],
+    "cfml": ["s_suppkey"],
+    "sql": ["o_orderkey", "o_orderstatus"],
+    "siblings": ["page_id"],
+}
 
 
 def in_spark(expression: str) -> str:
@@ -147,9 +161,9 @@ FILES_SQL = f"(select doc_id, {FILE_PATH} file_path, text, sha256(text) file_sha
 def corpus(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     """Generated source files of one family: file_path, text."""
     source, path, text, _ = CORPORA[family]
-    return table(spark, sf_dir, source).select(
-        F.expr(path).alias("file_path"), F.expr(in_spark(text)).alias("text")
-    )
+    # The keys are spread, the text is made where it is used.
+    keys = spread_table(spark, sf_dir, source, *CORPUS_KEYS[family])
+    return keys.select(F.expr(path).alias("file_path"), F.expr(in_spark(text)).alias("text"))
 
 
 def corpus_sql(family: str, extra: dict[int, str] | None = None, names: str = "") -> str:

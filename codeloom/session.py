@@ -53,3 +53,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input with fewer splits than the session has task slots.
+
+    A file with one row group is one task however many cores there are. Inputs
+    with enough splits, which is any large table, pass unchanged.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
