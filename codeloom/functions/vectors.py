@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +30,33 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(length == 0, F.lit(float("nan"))).otherwise(1 - F.try_divide(dot(a, b), length))
 
 
+# Numbers a kernel converts to double precision at a time.
+CHUNK_NUMBERS = 2_000_000
+
+
 def as_matrix(column: pa.Array) -> np.ndarray:
     """Dense float64 rows of a list column without NULL lists."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row-wise cosine distance; each row is summed alone, so equal vectors tie exactly."""
-    lengths = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum())
+def matrices(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """First row number and dense rows of successive chunks of bounded size."""
+    if len(column):
+        rows = max(1, CHUNK_NUMBERS // max(1, len(column[0])))
+        for first in range(0, len(column), rows):
+            yield first, as_matrix(column.slice(first, rows))
+
+
+def row_distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Distance of each row to its query (or to the one query of all rows).
+
+    Every row is summed alone, so equal vectors get equal distances wherever
+    they stand.
+    """
+    lengths = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((queries * queries).sum(axis=-1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        return 1.0 - (rows * query).sum(axis=1) / lengths
+        return 1.0 - (rows * queries).sum(axis=1) / lengths
 
 
 def distance_to(query: Sequence[float]):
@@ -53,7 +69,8 @@ def distance_to(query: Sequence[float]):
         values = np.full(len(embedding), np.nan)
         missing = np.asarray(embedding.is_null())
         if len(known):
-            values[~missing] = distances(as_matrix(known), probe)
+            parts = [row_distances(rows, probe) for _, rows in matrices(known)]
+            values[~missing] = np.concatenate(parts)
         return pa.array(values, pa.float64(), mask=missing)
 
     return score

@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.functions.vectors import as_matrix, distance_to, distances
+from codeloom.functions.vectors import (
+    CHUNK_NUMBERS,
+    distance_to,
+    matrices,
+    row_distances,
+)
 
 # Bytes of query vectors held by a task at a time in a batch search.
 QUERY_BYTES = 32 * 1024 * 1024
@@ -49,20 +54,25 @@ def search(
     return scored.orderBy(*best_first()).limit(limit)
 
 
-def _nearest_in_batch(ids: pa.Array, rows: np.ndarray, queries: np.ndarray, k: int):
-    """Row positions and exact distances of at least the k nearest rows per query."""
+def _candidates(rows: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
+    """(query, row, exact distance) of every pair that may be among a query's k nearest.
+
+    A matrix product gives distances up to rounding. Only pairs within the k-th
+    best so far, with some slack, are scored exactly, so ties stay ties.
+    """
     lengths = np.sqrt((rows * rows).sum(axis=1))
+    norms = np.sqrt((queries * queries).sum(axis=1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        rough = 1.0 - (rows @ queries.T) / (lengths[:, None] * np.sqrt((queries * queries).sum(axis=1)))
-    rough = np.where(np.isnan(rough), np.inf, rough)
-    for q in range(len(queries)):
-        column = rough[:, q]
-        if len(column) > k:
-            bound = np.partition(column, k - 1)[k - 1]
-            near = np.flatnonzero(column <= bound + SLACK)
-        else:
-            near = np.arange(len(column))
-        yield q, near, distances(rows[near], queries[q])
+        rough = 1.0 - (queries @ rows.T) / (norms[:, None] * lengths)
+    rough[np.isnan(rough)] = np.inf
+    if len(rows) > k:
+        bounds = np.minimum(bounds, np.partition(rough, k - 1, axis=1)[:, k - 1])
+    q, r = np.nonzero(rough <= (bounds + SLACK)[:, None])
+    step = max(1, CHUNK_NUMBERS // rows.shape[1])
+    exact = [
+        row_distances(rows[r[i : i + step]], queries[q[i : i + step]]) for i in range(0, len(q), step)
+    ]
+    return q, r, np.concatenate(exact) if exact else np.zeros(0)
 
 
 def _partial_top(id_type: pa.DataType, qids: list, queries: np.ndarray, k: int):
@@ -70,20 +80,33 @@ def _partial_top(id_type: pa.DataType, qids: list, queries: np.ndarray, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in qids]
-        key = lambda r: (r[0] is None, r[0] is not None and r[0] != r[0], r[0] or 0.0, r[1])
+        bounds = np.full(len(qids), np.inf)
+        order = lambda r: (r[0] is None, r[0] is not None and r[0] != r[0], r[0] or 0.0, r[1])
+
+        def keep(q: int, found: list[tuple]) -> None:
+            best[q] = sorted(best[q] + found, key=order)[:k]
+            last = best[q][-1][0]
+            if len(best[q]) == k and last is not None and last == last:
+                bounds[q] = last
+
         for batch in batches:
             ids, vectors = batch.column(0), batch.column(1)
-            known = vectors.is_valid()
-            present = ids.filter(known)
-            if len(present):
-                rows = as_matrix(vectors.filter(known))
-                for q, near, score in _nearest_in_batch(present, rows, queries, k):
-                    found = present.take(pa.array(near)).to_pylist()
-                    best[q] = sorted(best[q] + list(zip(score.tolist(), found)), key=key)[:k]
+            present, known = ids.filter(vectors.is_valid()), vectors.drop_null()
+            for first, rows in matrices(known):
+                # Few enough queries at a time that the distance matrix stays small.
+                width = max(1, CHUNK_NUMBERS // len(rows))
+                for start in range(0, len(qids), width):
+                    part = slice(start, start + width)
+                    q, r, score = _candidates(rows, queries[part], bounds[part], k)
+                    names = present.take(pa.array(first + r)).to_pylist()
+                    scores = score.tolist()
+                    edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1)).tolist()
+                    for lo, hi in zip(edges, edges[1:]):
+                        keep(start + int(q[lo]), list(zip(scores[lo:hi], names[lo:hi])))
             if len(present) < len(ids):
-                unknown = ids.filter(vectors.is_null()).to_pylist()
+                unknown = [(None, i) for i in ids.filter(vectors.is_null()).to_pylist()]
                 for q in range(len(qids)):
-                    best[q] = sorted(best[q] + [(None, i) for i in unknown], key=key)[:k]
+                    keep(q, unknown)
         rows_out = [(qids[q], i, s) for q in range(len(qids)) for s, i in best[q]]
         if rows_out:
             q, i, s = zip(*rows_out)
@@ -169,7 +192,8 @@ def with_signature(index: DataFrame, bits: int, dimension: int) -> DataFrame:
         codes = np.zeros(len(embedding), dtype=np.int32)
         missing = np.asarray(embedding.is_null())
         if len(known):
-            codes[~missing] = (as_matrix(known) @ planes.T >= 0) @ (1 << np.arange(bits))
+            sides = [rows @ planes.T >= 0 for _, rows in matrices(known)]
+            codes[~missing] = np.concatenate(sides) @ (1 << np.arange(bits))
         return pa.array(codes, pa.int32(), mask=missing)
 
     return index.withColumn("signature", sign(F.col("embedding")))
