@@ -56,10 +56,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input with fewer splits than the session has task slots.
+    """Redistribute an input of few small files over the session's task slots.
 
-    A file with one row group is one task however many cores there are. Inputs
-    with enough splits, which is any large table, pass unchanged.
+    A file with one row group is one busy task however many cores there are.
+    Inputs with more files or splits, which is any large table, pass unchanged.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    few = len(df.inputFiles()) < slots and df.rdd.getNumPartitions() < 2 * slots
+    return df.repartition(slots) if few else df
