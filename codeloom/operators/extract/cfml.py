@@ -16,7 +16,7 @@ from codeloom.operators.extract.sql import sql_tables
 # The tags that make blocks, in the order they are looked for on
 # a line, and the patterns of component references and query text.
 TAGS = ["cfcomponent", "cffunction", "cfquery"]
-INVOKE_PATTERN = r"""(?i)<cfinvoke[^>]+component\s*=\s*["']([^"']+)["']"""
+INVOKE_PATTERN = r"""(?iU)<cfinvoke[^>]+component\s*=\s*["']([^"']+)["']"""
 NEW_PATTERN = r"(?U)\bnew\s+([\w.]+)\s*\("
 QUERY_TEXT_PATTERN = r"(?is)<cfquery[^>]*>(.*?)</cfquery>"
 

@@ -21,7 +21,7 @@ from codeloom.operators.extract import (
     sql_blocks,
 )
 from codeloom.schema import BLOCKS, FILE_OUTCOMES, conform
-from codeloom.session import stage
+from codeloom.session import stage, staging_area
 from codeloom.sources.block_index import BUCKETS, index_exists, read_index, write_blocks
 from codeloom.sources.files import check_root, discover_files, fingerprint, read_files, read_text
 
@@ -99,20 +99,39 @@ def ingest(
         outcomes = spark.createDataFrame([], FILE_OUTCOMES)
         return IngestJob("failed", outcomes, steps.job_metrics(outcomes))
 
-    listed = stage(discover_files(spark, root), "files")
+    # The large intermediate tables live in an area of this run; outcomes outlive it.
+    with staging_area(spark) as keep:
+        facts = _index_files(spark, root, index_path, embedder, sql_dialect, buckets, keep)
+        outcomes = stage(conform(steps.file_outcomes(facts), FILE_OUTCOMES), "outcomes")
+    return IngestJob(
+        "completed", outcomes, steps.job_metrics(outcomes, time.monotonic() - started)
+    )
+
+
+def _index_files(
+    spark: SparkSession,
+    root: str,
+    index_path: str,
+    embedder: Callable[[Column], Column] | None,
+    sql_dialect: str,
+    buckets: int,
+    keep: Callable[[DataFrame, str], DataFrame],
+) -> DataFrame:
+    """Run all steps up to the commit; returns the facts outcomes are made of."""
+    listed = keep(discover_files(spark, root), "files")
     fresh, known = listed, None
     if index_exists(spark, index_path):
         # Hash first and drop the bytes: unchanged files are never shuffled or cut.
-        hashed = stage(
+        hashed = keep(
             fingerprint(read_files(listed, root)).select("file_path", "file_sha256"), "hashes"
         )
-        survivors = stage(
+        survivors = keep(
             steps.skip_indexed(hashed, read_index(spark, index_path)).select("file_path"), "fresh"
         )
         fresh = listed.join(survivors, "file_path", "left_semi")
         known = hashed.join(survivors, "file_path", "left_anti").select("file_path")
 
-    cut = stage(_read_and_extract(fresh, root, sql_dialect), "blocks")
+    cut = keep(_read_and_extract(fresh, root, sql_dialect), "blocks")
     per_file = cut.groupBy("file_path").agg(
         F.first("file_sha256", ignorenulls=True).alias("file_sha256"),
         F.first("family").alias("family"),
@@ -122,7 +141,7 @@ def ingest(
     winners = steps.dedupe_batch(per_file.where(F.col("error").isNull())).select("file_path")
     blocks = cut.where(F.col("node_type").isNotNull()).join(winners, "file_path", "left_semi")
     # Vectors may come from a paid service: computed once, then only read.
-    vectors = stage(embed_blocks(blocks, embedder or hashed_words()), "vectors")
+    vectors = keep(embed_blocks(blocks, embedder or hashed_words()), "vectors")
     embedded = vectors.groupBy("file_path").agg(
         F.count("embedding").alias("vectors"), F.max("embed_error").alias("embed_error")
     )
@@ -145,7 +164,4 @@ def ingest(
         facts = facts.join(known.withColumn("known", F.lit(True)), "file_path", "left").withColumn(
             "known", F.coalesce("known", F.lit(False))
         )
-    outcomes = stage(conform(steps.file_outcomes(facts), FILE_OUTCOMES), "outcomes")
-    return IngestJob(
-        "completed", outcomes, steps.job_metrics(outcomes, time.monotonic() - started)
-    )
+    return facts

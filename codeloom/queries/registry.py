@@ -36,6 +36,7 @@ from codeloom.sources.files import (
     check_root,
     discover_files,
     fingerprint,
+    mounted_path,
     read_text,
 )
 
@@ -232,6 +233,14 @@ def _new_root(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _tree_root(spark: SparkSession) -> str:
+    """A new folder for source files, which tasks write through the mounted file system."""
+    root = mounted_path(_new_root(spark, "tree"))
+    if root is None:
+        raise ValueError("source files need a mounted folder as spark.checkpoint.dir")
+    return root
+
+
 _HIDDEN = "case doc_id % 5 when 0 then '_' when 1 then '.' else '' end"
 _HIDDEN_DIR = "case when doc_id % 3 = 0 then '.git/' when doc_id % 3 = 1 then '_inc/' else '' end"
 _TREE_PATH = (
@@ -242,7 +251,7 @@ _SUPPORTED = "regexp_matches(lower(file_path), '\\.(java|jsx|tsx|html|cfm|cfc|sq
 
 
 def _document_tree(spark: SparkSession, sf_dir: str) -> str:
-    root = _new_root(spark, "tree")
+    root = _tree_root(spark)
     documents = V.table(spark, sf_dir, "documents")
     _write_tree(documents.select(F.expr(_TREE_PATH).alias("file_path"), "text"), root)
     return root
@@ -284,7 +293,7 @@ def _check_root(spark, sf_dir):
   4 * parts + 5 * suppliers + 4 * customers + roots blocks_listed from n""",
 )
 def _ingest_job(spark, sf_dir):
-    root, target = _new_root(spark, "tree"), _new_root(spark, "index")
+    root, target = _tree_root(spark), _new_root(spark, "index")
     pages = V.spread_table(spark, sf_dir, "pages", "page_id", "html").select(
         F.expr(V.PAGE_PATH).alias("file_path"), F.col("html").alias("text")
     )

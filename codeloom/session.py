@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +42,7 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint but stays columnar, so each consumer
@@ -49,11 +51,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     when it is below the configured threshold.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
+    path = f"{folder or work_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging_area(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``stage`` into a new folder of the shared one that is gone after the block."""
+    folder = f"{work_dir(spark)}/run-{uuid.uuid4().hex}"
+    try:
+        yield lambda df, label: stage(df, label, folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute an input of few small files over the session's task slots.

@@ -38,7 +38,7 @@ BATCH_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 256 * 1024 * 1024
 
 
-def _local_path(root: str) -> str | None:
+def mounted_path(root: str) -> str | None:
     """Path on a mounted file system, or None for an object store or HDFS address."""
     parsed = urlparse(root)
     if parsed.scheme in ("", "file"):
@@ -48,7 +48,7 @@ def _local_path(root: str) -> str | None:
 
 def check_root(spark: SparkSession, root: str) -> bool:
     """Whether the repository path exists, on any file system Spark knows."""
-    mounted = _local_path(root)
+    mounted = mounted_path(root)
     address = root if mounted is None else f"file:{os.path.abspath(mounted)}"
     path = spark._jvm.org.apache.hadoop.fs.Path(address)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
@@ -91,7 +91,7 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
     file systems go through Spark's own listing, which skips names that start
     with ``_`` or ``.``.
     """
-    path = _local_path(root)
+    path = mounted_path(root)
     if path is None:
         listed = (
             spark.read.format("binaryFile")
@@ -150,7 +150,7 @@ def read_files(files: DataFrame, root: str, total_bytes: int | None = None) -> D
     unless the caller knows it.
     """
     spark = files.sparkSession
-    if _local_path(root) is None:
+    if mounted_path(root) is None:
         contents = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
