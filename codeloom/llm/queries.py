@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import licenses, packing, quality, secrets, token_counts, token_records
+from codeloom.llm import licenses, near_duplicates, packing, quality, secrets, token_counts, token_records
 from codeloom.llm.common import new_folder, table
 
 try:  # where the box keeps public vocabulary files; a parameter of every operator
@@ -46,6 +46,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -55,6 +59,7 @@ QUERIES = {
         op5_quality_rules,
         op6_secret_scan,
         op7_license_scan,
+        op9_near_duplicates,
     )
 }
 ORACLES: dict[str, str] = {}
