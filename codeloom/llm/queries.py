@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import licenses, near_duplicates, packing, quality, secrets, token_counts, token_records
+from codeloom.llm import (
+    chunk_dedup,
+    decontaminate,
+    language_model,
+    licenses,
+    near_duplicates,
+    packing,
+    quality,
+    secrets,
+    token_counts,
+    token_records,
+)
 from codeloom.llm.common import new_folder, table
 
 try:  # where the box keeps public vocabulary files; a parameter of every operator
@@ -28,6 +39,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path(BYTE_BPE), cache)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_leaks(docs, items)
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-records")
     docs = table(spark, sf_dir, "documents")
@@ -46,20 +62,32 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "language-model")
+    return language_model.score_documents(table(spark, sf_dir, "documents"), folder)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_token_counts,
+        op3_decontamination,
         op4_token_records,
         op5_quality_rules,
         op6_secret_scan,
         op7_license_scan,
+        op8_substring_dedup,
         op9_near_duplicates,
+        op10_lm_scoring,
     )
 }
 ORACLES: dict[str, str] = {}
