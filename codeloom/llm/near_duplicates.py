@@ -8,12 +8,15 @@ the full sets decide. Documents with equal sets are one class throughout.
 A list of at most ``SHORT`` classes gives all its pairs. Longer lists come from
 content that very many classes share. A pair that shares enough rarer values is
 found in the short lists anyway, so only classes that are made of common
-content go on there: each is compared with one class of each list, and after
-that only with members of its lists that are still in another component.
+content go on there: each is compared with two classes of each list, and after that only with members of its lists that are still in another component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,14 @@ from codeloom.functions.text import bind
 from codeloom.llm.common import SPACE, stage, whole_texts
 from codeloom.llm.components import components
 
-SKETCH = 32  # values of a sketch
-RETAINED = 24  # of these, values that lead inverted lists
+SKETCH = 64  # values of a sketch
+RETAINED = 48  # of these, values that lead inverted lists
 SHORT = 32
 # A pair at the similarity wanted misses each rare value with a chance of a
 # fifth, so ten rare values miss one in ten million pairs.
 RARE = 10
-ESTIMATE = 0.4  # lowest estimate that goes to the full sets, over five deviations off
+BLOCK = 128  # sets compared with as many others at a time
+ESTIMATE = 0.55  # lowest estimate that goes to the full sets, over five deviations off
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -94,7 +98,7 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _common_entries(lists: DataFrame, percent: int) -> DataFrame:
-    """``v, rep, n``: long lists, of classes whose rare values may not suffice.
+    """``v, rep, n, mass``: long lists, of classes whose rare values may not suffice.
 
     Of such a class the rarest values lead; a similar class has one of these
     among its own rarest.
@@ -102,13 +106,14 @@ def _common_entries(lists: DataFrame, percent: int) -> DataFrame:
     differing = F.col("n") - F.ceil(F.col("n") * percent / 100)
     few = F.when(F.col("n") <= RETAINED, F.col("rare") <= differing).otherwise(F.col("rare") < RARE)
     values = lists.filter(few).groupBy("rep", "n").agg(
-        F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values")  # at most RETAINED
+        F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"),  # at most RETAINED
+        F.avg("c").alias("mass"),
     )
     wanted = F.when(F.col("n") <= RETAINED, differing.cast("int") + 1).otherwise(RARE)
     return (
-        values.select("rep", "n", F.inline(F.slice("values", F.lit(1), wanted)))
+        values.select("rep", "n", "mass", F.inline(F.slice("values", F.lit(1), wanted)))
         .filter(F.col("c") > SHORT)
-        .select("v", "rep", "n")
+        .select("v", "rep", "n", "mass")
     )
 
 
@@ -130,6 +135,63 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * common >= percent * union).select("a", "b")
 
 
+def _linked_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a long list that are in different components.
+
+    ``rest(v, rep, g, main)``; of two such members one at least is outside the
+    list's ``main`` component. Blocks of these meet blocks of all members, each
+    with their full sets, and only links come out. A pair is compared in the
+    smallest list that both are in.
+    """
+    lists = rest.groupBy("rep").agg(F.collect_set("v").alias("vs"))  # at most RETAINED
+    size = rest.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
+    member = F.struct("rep", "g", "vs", "s")
+    full = rest.join(size, "v").join(lists, "rep").join(sets, "rep").select("v", block, "g", "main", member.alias("m"))
+    grouped = lambda rows, name: rows.groupBy("v", "block").agg(F.collect_list("m").alias(name))
+    strays = grouped(full.filter("g <> main"), "x").drop("block")
+    pairs = strays.join(grouped(full, "y").drop("block"), "v").select("v", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                found += _block_links(
+                    batch[0][i].as_py(), batch[1].slice(i, 1).flatten(), batch[2].slice(i, 1).flatten(), percent
+                )
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _block_links(v: int, x: pa.StructArray, y: pa.StructArray, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of two blocks of sets, by one product of their incidence matrices."""
+    sizes = [np.diff(side.field("s").offsets.to_numpy()) for side in (x, y)]
+    values = np.concatenate([side.field("s").flatten().to_numpy() for side in (x, y)])
+    distinct, column = np.unique(values, return_inverse=True)
+    common = np.zeros((len(x), len(y)), dtype=np.float32)
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    cut = len(rows[0])
+    for low in range(0, len(distinct), 50_000):  # so many columns at a time
+        parts = []
+        for row, own, side in ((rows[0], column[:cut], x), (rows[1], column[cut:], y)):
+            here = (own >= low) & (own < low + 50_000)
+            part = np.zeros((len(side), min(50_000, len(distinct) - low)), dtype=np.float32)
+            part[row[here], own[here] - low] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    ids = [side.field("rep").to_pylist() for side in (x, y)]
+    groups = [side.field("g").to_pylist() for side in (x, y)]
+    lists = [side.field("vs").to_pylist() for side in (x, y)]
+    found = []
+    for i, j in np.argwhere(100 * common >= percent * union).tolist():
+        if groups[0][i] != groups[1][j] and v == min({*lists[0][i]} & {*lists[1][j]}):
+            found.append((min(ids[0][i], ids[1][j]), max(ids[0][i], ids[1][j])))
+    return found
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -154,13 +216,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     near = stage(_plausible(_short_pairs(lists, percent), classes), "pairs")
     common = stage(_common_entries(lists, percent), "common")
 
-    def drawn(entry: str) -> Column:  # another member for each list, the same one in each task
-        return F.struct(F.xxhash64(entry, "v").alias("draw"), F.col(entry).alias("b"), F.col("n").alias("nb"))
-
-    heads = common.groupBy("v").agg(F.min(drawn("rep")).alias("head")).select("v", "head.b", "head.nb")
+    # In each list two members are compared with all others: the one whose values are the
+    # most common of all, as copies differ least from their original, and one by chance.
+    end = [F.col("rep").alias("b"), F.col("n").alias("nb")]
+    typical = F.max(F.struct("mass", (-F.col("rep")).alias("order"), *end))
+    drawn = F.min(F.struct(F.xxhash64("rep", "v").alias("draw"), *end))
+    heads = common.groupBy("v").agg(typical.alias("typical"), drawn.alias("drawn"))
+    met = common.join(heads, "v").select("rep", "n", F.explode(F.array("typical.b", "drawn.b")).alias("b"), "typical", "drawn")
+    nb = F.when(F.col("b") == F.col("typical.b"), F.col("typical.nb")).otherwise(F.col("drawn.nb"))
     spokes = (
-        common.join(heads, "v")
-        .select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb")
+        met.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", nb.alias("nb"))
         .filter((F.col("a") != F.col("b")) & _sizes_allow(percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
@@ -194,16 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         F.max(F.struct("members", "g"))["g"].alias("main"), F.count("*").alias("groups")
     )
     rest = placed.join(largest.filter("groups > 1"), "v")
-    stray = rest.filter("g <> main").select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-    others = rest.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    strays = (
-        stray.join(others, "v")
-        .filter((F.col("ga") != F.col("gb")) & _sizes_allow(percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    second = stage(open_pairs.unionByName(_plausible(strays, classes)).distinct(), "second")
-    late = _linked(second, sets, percent)
+    late = _linked(open_pairs, sets, percent).unionByName(_linked_in_blocks(rest, sets, percent))
     final = components(found.unionByName(late))
 
     members = (
