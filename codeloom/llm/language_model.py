@@ -29,7 +29,7 @@ END, START = _U(0x5F3C_A1B2_77D0_E4C9), _U(0xA8D1_3E57_90CB_2F64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_BLOCK = 4_000_000
+_BLOCK = 1_000_000
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 PAIRS_PER_SHARD = 4_000_000
 
@@ -150,6 +150,7 @@ class Model:
 
     def save(self) -> None:
         files, path = pafs.FileSystem.from_uri(self.folder)
+        files.create_dir(path)
         with files.open_output_stream(f"{path}/model.json") as out:
             out.write(json.dumps(asdict(self)).encode())
 
@@ -229,7 +230,7 @@ def train(texts: DataFrame, folder: str) -> Model:
         return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches, 4096):
+        for batch in _batches(batches, 1024):
             tokens, starts = word_hashes(_text_list(batch[0]))
             keys, counts = np.unique(pair_keys(contexts(tokens, starts), tokens), return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -250,7 +251,7 @@ def train(texts: DataFrame, folder: str) -> Model:
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = SortedArrays.of(folder, pair_files, ["count"], bits)
-        for batch in _batches(batches, 4096):
+        for batch in _batches(batches, 1024):
             tokens, starts = word_hashes(_text_list(batch[0]))
             before = contexts(tokens, starts)
             count = table.find(pair_keys(before, tokens))[0].astype(np.float64)
@@ -361,7 +362,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             SortedArrays.of(model.folder, model.pair_files, ["count"], model.bits),
             SortedArrays.of(model.folder, model.word_files, WORD_ARRAYS, model.bits),
         )
-        for batch in _batches(batches, 4096):
+        for batch in _batches(batches, 1024):
             if not batch.num_rows:
                 continue
             tokens, starts = word_hashes(_text_list(batch[2]))
