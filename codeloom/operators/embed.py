@@ -24,6 +24,10 @@ _RESULT = T.StructType(
 )
 
 
+# Letters of any script with their marks, digits and the underscore.
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+
+
 def hashed_words(dimension: int = DIMENSION) -> ColumnEmbedder:
     """Deterministic embedder: counts of hashed words, scaled to unit length.
 
@@ -50,7 +54,7 @@ def hashed_words(dimension: int = DIMENSION) -> ColumnEmbedder:
         )
 
     def embed(text: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))
+        words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
         slot = lambda w: F.pmod(
             F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dimension)
         ).cast("int")

@@ -19,6 +19,7 @@ TAGS = ["cfcomponent", "cffunction", "cfquery"]
 INVOKE_PATTERN = r"""(?iU)<cfinvoke[^>]+component\s*=\s*["']([^"']+)["']"""
 NEW_PATTERN = r"(?U)\bnew\s+([\w.]+)\s*\("
 QUERY_TEXT_PATTERN = r"(?is)<cfquery[^>]*>(.*?)</cfquery>"
+QUERY_END_PATTERN = r"(?is)>(.*?)</cfquery"
 
 _ATTRIBUTE = r"""[\w:.-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 
@@ -42,8 +43,12 @@ def cfml_attribute(text: Column, tag: str, name: str) -> Column:
 
 
 def cfquery_text(block: Column) -> Column:
-    """Text between the query tags of a block; empty if the query is not closed."""
-    return F.regexp_extract(block, QUERY_TEXT_PATTERN, 1)
+    """Text between the query tags of a block; empty if the query is not closed.
+
+    A closing tag with blanks before its end is taken as well.
+    """
+    text = F.regexp_extract(block, QUERY_TEXT_PATTERN, 1)
+    return F.when(text != "", text).otherwise(F.regexp_extract(block, QUERY_END_PATTERN, 1))
 
 
 def _tag_lines(lines: Column) -> Column:

@@ -589,7 +589,7 @@ def _cfml_calls(spark, sf_dir):
 
 def _hashed_sql(dimension: int, source: str, key: str, text: str) -> str:
     """CTEs w (counts per slot) and v (unit vectors as float, slot by slot)."""
-    return f"""words as (select {key} k, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]+')) word from {source}),
+    return f"""words as (select {key} k, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) word from {source}),
  w as (select k, cast('0x' || substr(md5(word), 1, 8) as bigint) % {dimension} slot, count(*) n from words group by 1, 2),
  l as (select k, sqrt(sum(n * n)) len from w group by k),
  v as (select w.k, slot, cast(cast(n / len as float) as double) x from w join l on w.k = l.k)"""
@@ -675,10 +675,10 @@ def _search_filtered(spark, sf_dir):
 
 @query(
     "metadata_filter",
-    f"""select id, file_path from {V.INDEX_SQL} where "language" = 'en' and node_type = 'cfquery'""",
+    f"""select id, file_path from {V.BLOCKS_SQL} where "language" = 'en' and node_type = 'cfquery'""",
 )
 def _metadata_filter(spark, sf_dir):
-    return near.metadata_filter(V.index(spark, sf_dir), "en", "cfquery").select("id", "file_path")
+    return near.metadata_filter(V.blocks(spark, sf_dir), "en", "cfquery").select("id", "file_path")
 
 
 @query(
@@ -724,19 +724,19 @@ def _ann_search(spark, sf_dir):
 # --- catalogue and dependencies -------------------------------------------------------
 
 
-@query("get_file_blocks", f"""select id, cast(start_line as bigint) start_line, node_type, "content" from {V.INDEX_SQL} where file_path = 'src3'""")
+@query("get_file_blocks", f"""select id, cast(start_line as bigint) start_line, node_type, "content" from {V.BLOCKS_SQL} where file_path = 'src3'""")
 def _get_file_blocks(spark, sf_dir):
-    return catalog.get_file_blocks(V.index(spark, sf_dir), "src3").select(
+    return catalog.get_file_blocks(V.blocks(spark, sf_dir), "src3").select(
         "id", "start_line", "node_type", "content"
     )
 
 
 @query(
     "list_indexed_files",
-    f"""select file_path, count(*) block_count, coalesce(min("language"), '') "language" from {V.INDEX_SQL} group by file_path""",
+    f"""select file_path, count(*) block_count, coalesce(min("language"), '') "language" from {V.BLOCKS_SQL} group by file_path""",
 )
 def _list_indexed_files(spark, sf_dir):
-    return catalog.list_indexed_files(V.index(spark, sf_dir))
+    return catalog.list_indexed_files(V.blocks(spark, sf_dir))
 
 
 @query(
@@ -787,17 +787,18 @@ def _register_expansion() -> None:
 _register_expansion()
 
 # Documents as blocks that name each other: every block is class C{id} and injects another.
+# ``{n}`` is the number of documents.
 _LINKED = {
     "class_name": "concat('C', doc_id)",
-    "injects": "array(concat('C', doc_id * 7 % 1000))",
-    "extends": "case when doc_id % 2 = 0 then concat('C', doc_id * 3 % 1000) end",
+    "injects": "array(concat('C', doc_id * 7 % {n}))",
+    "extends": "case when doc_id % 2 = 0 then concat('C', doc_id * 3 % {n}) end",
     "component_name": "cast(null as string)",
     "implements": "cast(null as array<string>)",
     "calls_components": "cast(null as array<string>)",
 }
 _LINKED_SQL = (
-    "(select doc_id id, concat('C', doc_id) class_name, list_value(concat('C', doc_id * 7 % 1000)) injects, "
-    "cast(null as varchar[]) implements, case when doc_id % 2 = 0 then concat('C', doc_id * 3 % 1000) end \"extends\", "
+    "(select doc_id id, concat('C', doc_id) class_name, list_value(concat('C', doc_id * 7 % (select count(*) from documents))) injects, "
+    "cast(null as varchar[]) implements, case when doc_id % 2 = 0 then concat('C', doc_id * 3 % (select count(*) from documents)) end \"extends\", "
     "cast(null as varchar) component_name, cast(null as varchar[]) calls_components, source file_path, "
     f"cast({V.START_LINE} as int) start_line, lang \"language\" from documents)"
 )
@@ -815,6 +816,7 @@ _LINKED_SQL = (
 )
 def _search_code(spark, sf_dir):
     documents = V.spread_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    n = max(V.table(spark, sf_dir, "documents").count(), 1)
     rows = documents.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("file_path"),
@@ -823,7 +825,7 @@ def _search_code(spark, sf_dir):
         F.expr(f"cast({V.START_LINE} as int)").alias("start_line"),
         F.lit(0).alias("ordinal"),
         F.col("text").alias("content"),
-        *[F.expr(e).alias(n) for n, e in _LINKED.items()],
+        *[F.expr(e.replace("{n}", str(n))).alias(name) for name, e in _LINKED.items()],
     )
     index = embed_blocks(rows, hashed_words(256)).drop("embed_error")
     found = search_code(

@@ -182,9 +182,9 @@ def corpus_sql(family: str, extra: dict[int, str] | None = None, names: str = ""
     return " union all ".join(rows)
 
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with embeddings as block index rows."""
-    documents = table(spark, sf_dir, "documents").select(
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as block index rows, without vectors."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("file_path"),
         F.col("lang").alias("language"),
@@ -192,39 +192,48 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"cast({START_LINE} as int)").alias("start_line"),
         F.col("text").alias("content"),
     )
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`blocks` that have a vector, which is what a search can rank."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return documents.join(vectors, "id")
+    return blocks(spark, sf_dir).join(vectors, "id")
 
 
-INDEX_SQL = f"""(select d.doc_id id, d.source file_path, d.lang "language", {NODE_TYPE} node_type,
- cast({START_LINE} as int) start_line, d.text "content", e.embedding
- from embeddings e join documents d on e.vec_id = d.doc_id)"""
+_BLOCK_COLUMNS = f"""d.doc_id id, d.source file_path, d.lang "language", {NODE_TYPE} node_type,
+ cast({START_LINE} as int) start_line, d.text "content\""""
+BLOCKS_SQL = f"(select {_BLOCK_COLUMNS} from documents d)"
+INDEX_SQL = f"(select {_BLOCK_COLUMNS}, e.embedding from embeddings e join documents d on e.vec_id = d.doc_id)"
 
 # A dependency graph over suppliers: four of five rows are classes, the rest components.
+# ``{n}`` is the number of suppliers.
 DEPS = {
     "class_name": "case when s_suppkey % 5 = 0 then null else concat('C', s_suppkey) end",
     "component_name": "case when s_suppkey % 5 = 0 then concat('K', s_suppkey) end",
-    "injects": "case when s_suppkey % 5 <> 0 then array(concat('C', (s_suppkey * 7 + 3) % 100)) end",
-    "implements": "case when s_suppkey % 7 = 1 then array(concat('C', (s_suppkey * 11 + 2) % 100)) end",
-    "extends": "case when s_suppkey % 5 <> 0 then concat('C', (s_suppkey * 3 + 1) % 100) end",
-    "calls_components": "case when s_suppkey % 5 = 0 or s_suppkey % 6 = 1 then array(concat('K', (s_suppkey * 15 + 5) % 100)) end",
+    "injects": "case when s_suppkey % 5 <> 0 then array(concat('C', (s_suppkey * 7 + 3) % {n})) end",
+    "implements": "case when s_suppkey % 7 = 1 then array(concat('C', (s_suppkey * 11 + 2) % {n})) end",
+    "extends": "case when s_suppkey % 5 <> 0 then concat('C', (s_suppkey * 3 + 1) % {n}) end",
+    "calls_components": "case when s_suppkey % 5 = 0 or s_suppkey % 6 = 1 then array(concat('K', (s_suppkey * 15 + 5) % {n})) end",
 }
 
 
 def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(
+    suppliers = table(spark, sf_dir, "supplier")
+    n = max(suppliers.count(), 1)
+    return suppliers.select(
         F.col("s_suppkey").alias("id"),
         F.expr("concat('n', s_nationkey)").alias("file_path"),
         F.expr("cast(s_suppkey * 7 % 50 + 1 as int)").alias("start_line"),
         F.lit(0).alias("ordinal"),
         "s_nationkey",
-        *[F.expr(e).alias(n) for n, e in DEPS.items()],
+        *[F.expr(e.replace("{n}", str(n))).alias(name) for name, e in DEPS.items()],
     )
 
 
 DEPS_SQL = (
     "(select s_suppkey id, concat('n', s_nationkey) file_path, cast(s_suppkey * 7 % 50 + 1 as int) start_line, "
     "s_nationkey, "
-    + ", ".join(f"{e.replace('array(', 'list_value(')} {n}" for n, e in DEPS.items())
+    + ", ".join(f"{e.replace('array(', 'list_value(').replace('{n}', '(select count(*) from supplier)')} {name}"
+        for name, e in DEPS.items())
     + " from supplier)"
 )

@@ -137,3 +137,10 @@ alter x; drop
         ("select $$ a;b $$ - 1 / 2", 7, 7, "dml"),
     ]
     assert {r["sql_dialect"] for r in rows} == {"oracle"}
+
+
+def test_query_closed_with_blanks_before_the_bracket(blocks):
+    from codeloom.operators.extract.cfml import cfml_blocks
+
+    found = blocks(cfml_blocks, {"a.cfm": '<cfquery name="q">SELECT 1 FROM t</cfquery >'})
+    assert [(b["node_type"], b["content"]) for b in found][1:] == [("sql_injection", "SELECT 1 FROM t")]

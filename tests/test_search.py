@@ -195,3 +195,14 @@ def test_catalogue(graph):
     assert catalog.find_blocks_by_name(graph, [], "class_name").count() == 0
     many = [f"N{i}" for i in range(300)] + ["C"]
     assert [r["id"] for r in catalog.find_blocks_by_name(graph, many, "class_name").collect()] == ["3"]
+
+
+def test_words_of_any_script_have_a_direction(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.operators.embed import hashed_words
+
+    rows = spark.createDataFrame([("日本語 テキスト",), ("código ação",), ("codigo acao",)], "t string")
+    vectors = [r[0] for r in rows.select(hashed_words(64)(F.col("t"))).collect()]
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-5 for v in vectors)
+    assert vectors[1] != vectors[2]
