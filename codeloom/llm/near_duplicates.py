@@ -31,6 +31,7 @@ SHORT = 32
 # fifth, so ten rare values miss one in ten million pairs.
 RARE = 10
 BLOCK = 128  # sets compared with as many others at a time
+BROADCAST_IDS = 4_000_000  # ids of 8 bytes that may travel to all tasks
 ESTIMATE = 0.55  # lowest estimate that goes to the full sets, over five deviations off
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -234,10 +235,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = stage(first.unionByName(spokes).distinct(), "first")
 
-    # Full sets of the classes any later comparison needs, read from their texts once.
+    # Full sets of the classes any later comparison needs, read from their texts once. Texts
+    # need no shuffle as long as the ids wanted are few enough to be sent to every task.
     needed = near.select("a").union(near.select("b")).union(common.select("rep")).toDF("doc_id")
+    needed = stage(needed.distinct(), "needed")
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
     sets = stage(
-        texts.join(needed.distinct(), "doc_id")
+        texts.join(needed, "doc_id")
         .select(F.col("doc_id").alias("rep"), shingles(F.col("text"), size).alias("s")),
         "sets",
     )
@@ -246,9 +251,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     groups = components(found)
     known = lambda side: groups.toDF(side, f"g{side}")
     group = lambda side: F.coalesce(f"g{side}", side)
-    open_pairs = (
+    open_pairs = stage(
         near.join(known("a"), "a", "left").join(known("b"), "b", "left")
-        .filter(group("a") != group("b")).select("a", "b")
+        .filter(group("a") != group("b")).select("a", "b"),
+        "open",
     )
     placed = stage(
         common.join(known("rep"), "rep", "left").select("v", "rep", "n", group("rep").alias("g")),
