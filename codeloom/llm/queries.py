@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.llm import (
     chunk_dedup,
@@ -17,6 +18,7 @@ from codeloom.llm import (
     token_records,
 )
 from codeloom.llm.common import new_folder, table
+from codeloom.llm.oracles import ORACLES
 
 try:  # where the box keeps public vocabulary files; a parameter of every operator
     from public_tokenizers import path as tokenizer_path
@@ -26,6 +28,7 @@ except ModuleNotFoundError:
         return f"/opt/tokenizers/{name}"
 
 
+__all__ = ["QUERIES", "ORACLES", "BYTE_BPE", "tokenizer_path"]
 BYTE_BPE = "byte_bpe_50k.json"
 
 
@@ -51,7 +54,8 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(table(spark, sf_dir, "documents"))
+    report = quality.quality_report(table(spark, sf_dir, "documents"))
+    return report.withColumn("broken", F.array_join("broken", ","))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +93,4 @@ QUERIES = {
         op9_near_duplicates,
         op10_lm_scoring,
     )
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
