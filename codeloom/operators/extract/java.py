@@ -35,6 +35,10 @@ GAP = rf"(?:\s|{COMMENT})"
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _WORD_END = r"(?![\p{L}\p{N}_$])"
 
+# Levels of brackets followed in a header, and in the annotations of type arguments. The
+# pattern's length, and the time to compile it in each task, grow with them.
+DEPTH, DEPTH_IN_TYPES = 8, 2
+
 
 def _nested(open_: str, close: str, inner: str, depth: int) -> str:
     """Balanced brackets down to a fixed depth, as one linear pattern."""
@@ -44,9 +48,12 @@ def _nested(open_: str, close: str, inner: str, depth: int) -> str:
     return rf"{open_}{body}{close}"
 
 
-PARENS = _nested(r"\(", r"\)", rf"[^()\"'/]|{STRING}|{COMMENT}|/", 4)
-ANGLES = _nested("<", ">", rf"[^<>(){{}};\"'/@]|{COMMENT}|@{NAME}", 5)
-ANNOTATION = rf"@(?!interface{_WORD_END}){NAME}(?:\.{NAME})*+(?:\s*+{PARENS})?+"
+_IN_PARENS = rf"[^()\"'/]|{STRING}|{COMMENT}|/"
+PARENS = _nested(r"\(", r"\)", _IN_PARENS, DEPTH)
+_QUALIFIED = rf"@(?!interface{_WORD_END}){NAME}(?:\.{NAME})*+"
+ANNOTATION = rf"{_QUALIFIED}(?:\s*+{PARENS})?+"
+_IN_TYPES = rf"{_QUALIFIED}(?:\s*+{_nested(r'\(', r'\)', _IN_PARENS, DEPTH_IN_TYPES)})?+"
+ANGLES = _nested("<", ">", rf"[^<>(){{}};\"'/@]|{COMMENT}|{_IN_TYPES}", DEPTH)
 
 # Fixed values of the Java language.
 MODIFIER = (

@@ -224,6 +224,15 @@ def ann_search(
     language: str | None = None,
     node_type: str | None = None,
 ) -> DataFrame:
-    """Approximate nearest blocks: exact ranking among the probed signatures only."""
-    near = signed_index.where(F.col("signature").isin(probes(query, bits, flips)))
-    return search(near, query, limit, language, node_type)
+    """Approximate nearest blocks: exact ranking among the probed signatures only.
+
+    ``flips`` doubtful bits give the first probes. While these hold fewer than
+    ``limit`` rows more bits are flipped, and in the end every row is ranked, so
+    a result is short only where the index is.
+    """
+    rows = metadata_filter(signed_index, language, node_type)
+    for flipped in range(flips, bits, 2):
+        near = rows.where(F.col("signature").isin(probes(query, bits, flipped)))
+        if near.select("signature").limit(limit).count() == limit:
+            return search(near, query, limit)
+    return search(rows, query, limit)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.deps import ORDER, reach
 from codeloom.operators.embed import embed_query
-from codeloom.operators.search import search
+from codeloom.operators.search import metadata_filter, search
 from codeloom.session import stage
 
 
@@ -59,7 +59,7 @@ def ranked_with_dependencies(
     """
     spark = index.sparkSession
     # At most 50 rows: held as data, so ranking and expansion see the same ones.
-    top = search(index, vector, limit, language, node_type)
+    top = _fetched(index, _ranking(index, vector, limit, language, node_type).collect())
     rows = top.collect()
     primary = spark.createDataFrame(rows, top.schema)
     order = Window.orderBy(F.col("score").asc_nulls_last(), "id")
@@ -79,6 +79,32 @@ def ranked_with_dependencies(
     return ranked.unionByName(deps).orderBy("rank")
 
 
+def _ranking(
+    index: DataFrame, vector: Sequence[float], limit: int, language: str | None, node_type: str | None
+) -> DataFrame:
+    """``id, file_path, score`` of the best rows; the scan reads no contents."""
+    slim = metadata_filter(index, language, node_type).select("id", "file_path", "embedding")
+    return search(slim, vector, limit)
+
+
+def _fetched(index: DataFrame, hits: list[Row]) -> DataFrame:
+    """The whole rows of at most 50 hits, with their scores.
+
+    Paths and ids reach the scan as filters, so it skips the other row groups.
+    """
+    paths, ids = {h["file_path"] for h in hits}, [h["id"] for h in hits]
+    known = [p for p in paths if p is not None]
+    there = F.col("file_path").isin(known)
+    if None in paths:
+        there = there | F.col("file_path").isNull()
+    rows = index.drop("embedding").where(there & F.col("id").isin(ids))
+    score = F.lit(None).cast("double")
+    for hit in hits:
+        value = F.lit(None) if hit["score"] is None else F.lit(hit["score"])
+        score = F.when(F.col("id") == hit["id"], value).otherwise(score)
+    return rows.withColumn("score", score)
+
+
 def _numbered(reached: DataFrame) -> DataFrame:
     """Add ``rank`` 1..n in the order of dependencies.
 

@@ -97,3 +97,15 @@ def test_large_inputs_need_no_stack(blocks):
     rows = blocks(java_blocks, {"a": many, "b": "{" * 20000, "c": "(" * 20000, "d": '"' + "x" * 200000 + '"'})
     assert [r["file_path"] for r in rows] == ["a", "a"]
     assert rows[1]["calls"] == ["x.y"]
+
+
+def test_deep_headers_are_declarations(blocks):
+    source = """@X(a=@B(c=@D(e=@E(f=@G(h=@I(1)))))) class K {
+  List<@Size(max=3) String> sized(List<@Size(max=3) String> p) { }
+  @X(a=@B(c=@D(e=@E(f=@G(h=@I(j=@L(1))))))) void annotated() { }
+  A<B<C<D<E<F<G<H<I>>>>>>>> generic() { }
+}
+"""
+    assert [r.get("method_name") or r["class_name"] for r in blocks(java_blocks, {"K.java": source})] == [
+        "K", "sized", "annotated", "generic",
+    ]

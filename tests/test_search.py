@@ -6,7 +6,7 @@ from codeloom.functions.vectors import cosine_distance, distance_to
 from codeloom.operators import catalog, search as near
 from codeloom.operators.deps import expand_dependencies
 from codeloom.operators.embed import client_embedder, embed_blocks, embed_query, hashed_words
-from codeloom.plans.search_code import check_search, search_code
+from codeloom.plans.search_code import _fetched, _ranking, check_search, search_code
 from codeloom.schema import BLOCK_INDEX, conform
 from pyspark.sql import functions as F
 
@@ -206,3 +206,23 @@ def test_words_of_any_script_have_a_direction(spark):
     vectors = [r[0] for r in rows.select(hashed_words(64)(F.col("t"))).collect()]
     assert all(abs(sum(x * x for x in v) - 1) < 1e-5 for v in vectors)
     assert vectors[1] != vectors[2]
+
+
+def test_approximate_search_widens_until_the_limit_is_met(spark):
+    rows = [(i, "p", [1.0, float(i % 7), -float(i % 5), 0.5]) for i in range(40)]
+    index = spark.createDataFrame(rows, "id long, file_path string, embedding array<float>")
+    signed = near.with_signature(index, 6, 4)
+    for limit in (1, 20, 40, 50):
+        found = near.ann_search(signed, [-1.0, -3.0, 4.0, -0.5], limit, 6, flips=0)
+        assert found.count() == min(limit, 40)
+
+
+def test_search_ranks_without_contents_and_fetches_by_id(spark, graph, tmp_path):
+    graph.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    ranking = _ranking(index, [1.0] * 32, 3, None, None)
+    plan = ranking._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    hits = ranking.collect()
+    plan = _fetched(index, hits)._jdf.queryExecution().executedPlan().toString()
+    assert "In(id" in plan and "embedding" not in plan
