@@ -6,13 +6,14 @@ and their overlaps, the sketch of a pair's union estimates its similarity, and
 the full sets decide. Documents with equal sets are one class throughout.
 
 A list of at most ``SHORT`` classes gives all its pairs. Longer lists come from
-content that very many classes share. A pair that shares enough rarer values is
-found in the short lists anyway, so only classes that are made of common
-content go on there: each is compared with two classes of each list, and after that only with members of its lists that are still in another component.
+content that very many classes share. With more rare values than a similar class
+can lack, a class shares some with it and is found in the short lists; all others
+go on in long lists: each is compared with two classes of each list, and after that only with members of its lists that are still in another component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,7 @@ from codeloom.llm.components import components
 SKETCH = 64  # values of a sketch
 RETAINED = 48  # of these, values that lead inverted lists
 SHORT = 32
-# A pair at the similarity wanted misses each rare value with a chance of a
-# fifth, so ten rare values miss one in ten million pairs.
-RARE = 10
+MISS = 1e-7  # chance that a pair at the similarity wanted lacks more than _lacking
 BLOCK = 128  # sets compared with as many others at a time
 BROADCAST_IDS = 4_000_000  # ids of 8 bytes that may travel to all tasks
 ESTIMATE = 0.55  # lowest estimate that goes to the full sets, over five deviations off
@@ -73,6 +72,28 @@ def _sizes_allow(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def lacked(percent: int) -> int:
+    """Most of ``RETAINED`` values that a class similar enough lacks, but for ``MISS``.
+
+    The values that both retain include the shared ones of the union's lowest
+    ``RETAINED``, of which each is shared with a chance of ``percent`` at least.
+    Which of a class's values are rare plays no part: all that is lacked may be.
+    """
+    unlike, tail = 1 - percent / 100, 0.0
+    for m in range(RETAINED, 0, -1):
+        tail += math.comb(RETAINED, m) * unlike**m * (1 - unlike) ** (RETAINED - m)
+        if tail > MISS:
+            return m
+    return 0
+
+
+def _lacking(percent: int) -> Column:
+    """Most retained values of a class of ``n`` that a similar class does not retain."""
+    exact = F.col("n") - F.ceil(F.col("n") * percent / 100)  # both sets are retained whole
+    whole = 100 * F.col("n") <= RETAINED * percent
+    return F.when(whole, exact).otherwise(lacked(percent)).cast("int")
+
+
 def _lists(classes: DataFrame) -> DataFrame:
     """``v, rep, n, c, rare``: members of all lists of two or more classes.
 
@@ -88,29 +109,28 @@ def _lists(classes: DataFrame) -> DataFrame:
 
 
 def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the short lists that share enough of their rare values."""
-    short = lists.filter(F.col("c") <= SHORT)
-    a = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("rare").alias("ra"))
-    b = short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"))
+    """Pairs of the short lists that share as many rare values as similar ones must."""
+    short = lists.filter(F.col("c") <= SHORT).withColumn("least", F.col("rare") - _lacking(percent))
+    a = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"))
+    b = short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"))
     pairs = a.join(b, "v").filter((F.col("a") < F.col("b")) & _sizes_allow(percent))
-    overlaps = pairs.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("overlap"))
-    enough = F.floor(0.15 * F.least("ra", "rb"))
-    return overlaps.filter(F.col("overlap") >= enough).select("a", "b", "na", "nb")
+    overlaps = pairs.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("overlap"))
+    return overlaps.filter(F.col("overlap") >= F.greatest("la", "lb")).select("a", "b", "na", "nb")
 
 
 def _common_entries(lists: DataFrame, percent: int) -> DataFrame:
-    """``v, rep, n, mass``: long lists, of classes whose rare values may not suffice.
+    """``v, rep, n, mass``: long lists, of classes whose rare values may all be lacked.
 
-    Of such a class the rarest values lead; a similar class has one of these
-    among its own rarest.
+    Of such a class the rarest values lead, one more than can be lacked, so a
+    similar class has one of these among its own rarest. Values that no other
+    class has are the rarest of all and lead nothing.
     """
-    differing = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    few = F.when(F.col("n") <= RETAINED, F.col("rare") <= differing).otherwise(F.col("rare") < RARE)
-    values = lists.filter(few).groupBy("rep", "n").agg(
+    values = lists.filter(F.col("rare") <= _lacking(percent)).groupBy("rep", "n").agg(
         F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"),  # at most RETAINED
         F.avg("c").alias("mass"),
     )
-    wanted = F.when(F.col("n") <= RETAINED, differing.cast("int") + 1).otherwise(RARE)
+    own = F.least("n", F.lit(RETAINED)) - F.size("values")
+    wanted = _lacking(percent) + 1 - own
     return (
         values.select("rep", "n", "mass", F.inline(F.slice("values", F.lit(1), wanted)))
         .filter(F.col("c") > SHORT)

@@ -298,6 +298,17 @@ def test_near_duplicates_equal_brute_force(frame, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows.values())
 
 
+def test_near_duplicates_of_a_template_equal_brute_force(frame):
+    template = prose(163, 60).split()
+    texts = [" ".join(template)]
+    for i in range(70):  # alike to the template, to each other or both; all own words are rare
+        own = [f"own{i}x{j}" for j in range(random.Random(i).choice([18, 32, 36, 39, 45]))]
+        texts.append(" ".join([*template, *own]))
+    rows = {r["doc_id"]: r for r in near_duplicates.near_duplicates(frame(texts)).collect()}
+    want = near_by_force(texts)
+    assert [(rows[i]["n_shingles"], rows[i]["component_id"]) for i in range(len(texts))] == want
+
+
 def test_near_duplicates_odd_rows(odd):
     rows = near_duplicates.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) + 2
