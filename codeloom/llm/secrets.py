@@ -5,7 +5,7 @@ encoding (hex, base32, base64, ...) gives the alphabet under which three tests
 ask whether the characters could be drawn evenly and independently: chi-squared
 over the alphabet, runs above and below its middle, and serial correlation of
 neighbours. Keys pass such tests with evenly spread p-values, other strings
-fail them, but short ones often by too little. So the p-values of all
+fail them, but short ones often by too little. So the p-values of all distinct
 candidates are counted per length class; what exceeds the even share of true
 keys above a threshold is the false share there, and each class takes the
 lowest threshold at which that share is at most ``rate``.
@@ -19,6 +19,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +54,17 @@ BINS = 20
 
 _SPAN = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 _RANDOM = pa.struct(
-    [("at", pa.int32()), ("end", pa.int32()), ("length_class", pa.int32()), ("bin", pa.int32())]
+    [
+        ("at", pa.int32()),
+        ("end", pa.int32()),
+        ("length_class", pa.int32()),
+        ("bin", pa.int32()),
+        ("digest", pa.binary()),
+    ]
 )
 FOUND = (
     "doc_id long, base array<struct<at:int, kind:int, end:int>>, "
-    "candidates array<struct<at:int, end:int, length_class:int, bin:int>>"
+    "candidates array<struct<at:int, end:int, length_class:int, bin:int, digest:binary>>"
 )
 
 
@@ -124,9 +131,9 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
                 continue
             length_class = sum(len(run) > bound for bound in LENGTH_CLASSES)
             bin_ = min(BINS - 1, int(randomness(run) * BINS))
-            random.append((at, end, length_class, bin_))
+            random.append((at, end, length_class, bin_, xxhash.xxh3_128_digest(run)))
         bases.append([dict(zip(("at", "kind", "end"), b, strict=True)) for b in sorted(base)])
-        names = ("at", "end", "length_class", "bin")
+        names = ("at", "end", "length_class", "bin", "digest")
         candidates.append([dict(zip(names, c, strict=True)) for c in random])
     return pa.RecordBatch.from_arrays(
         [batch[0], pa.array(bases, pa.list_(_SPAN)), pa.array(candidates, pa.list_(_RANDOM))],
@@ -173,13 +180,12 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
     ``kind`` is an index into ``KINDS``; ``end`` is exclusive. A null or empty
     text has no spans. Every row is scanned by itself; repeated rows and null
-    ids are kept, and so they weigh in the counts of p-values. An empty table
-    gives no rows.
+    ids are kept, but in the counts of p-values a string weighs once, however
+    often it occurs. An empty table gives no rows.
     """
     found = stage(map_texts(whole_texts(docs), _scan, FOUND), "secrets")
-    counted = (
-        found.select(F.inline("candidates")).groupBy("length_class", "bin").count().collect()
-    )  # at most one row per class and bin
+    strings = found.select(F.inline("candidates")).select("length_class", "bin", "digest").distinct()
+    counted = strings.groupBy("length_class", "bin").count().collect()  # a row per class and bin
     lowest = thresholds([tuple(row) for row in counted], rate)
     limits = F.array(*map(F.lit, lowest))
     accepted = F.filter("candidates", lambda c: c["bin"] >= F.get(limits, c["length_class"]))

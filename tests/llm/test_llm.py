@@ -195,6 +195,21 @@ def test_secrets_base_spans_and_random_strings(frame):
     assert secrets.redact("abcdef", [(1, 3), (2, 4)], "#") == "a#ef"
 
 
+def test_a_repeated_key_does_not_cost_the_others(frame):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(400)]
+    low = next(k for k in keys if 5 <= int(secrets.randomness(k) * secrets.BINS) <= 9)
+    once = frame([f"key {k} end" for k in keys])
+    copied = frame([*(f"key {k} end" for k in keys), *[f"key {low} end"] * 200])
+    found = [
+        [r["doc_id"] for r in secrets.secret_report(d).collect() if r["spans"] == "random:4:44"]
+        for d in (once, copied)
+    ]
+    assert sorted(i for i in found[1] if i < 400) == sorted(found[0])
+    assert set(range(400, 600)) <= set(found[1]) and len(found[0]) >= 350
+
+
 def test_licenses(frame):
     texts = [
         "Intro. Licensed under the Apache License, Version 2.0. Then cc-by-nc CC BY NC",
