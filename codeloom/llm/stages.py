@@ -30,9 +30,18 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _without(docs, found.filter(~F.col("kept")))
 
 
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of id and text: ids may be null or have several texts."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    rows = _by_row(docs)
+    texts = rows.select(F.col("_row").alias("doc_id"), "text")
+    leaks = decontaminate.find_leaks(texts, table(spark, sf_dir, "benchmark"))
+    found = leaks.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -47,11 +56,12 @@ def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is replaced by a mark; ``n_chars`` follows the new text."""
-    found = secrets.find_secrets(docs.withColumn("text", F.coalesce("text", F.lit("")))).filter(
+    rows = _by_row(docs)
+    found = secrets.find_secrets(rows.select(F.col("_row").alias("doc_id"), "text")).filter(
         F.size("spans") > 0
     )
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.first("spans").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    spans = found.groupBy(F.col("doc_id").alias("_row")).agg(F.first("spans").alias("_spans"))
+    joined = rows.join(spans, "_row", "left").select(*docs.columns, "_spans")
     touched = joined.filter(F.col("_spans").isNotNull())
 
     def redact(batches):

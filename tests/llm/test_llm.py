@@ -411,6 +411,21 @@ def test_pipeline_stages(odd, frame, spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(left)
 
 
+def test_stages_with_null_and_repeated_ids(frame, spark, tmp_path):
+    from codeloom.llm import stages
+
+    leak = prose(60, 500)
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    secret = "password: hunter2hunter2"
+    docs = frame([f"a {secret} b", f"one two {secret}", f"{secret} c", f"x {leak}", f"y {leak}", "clean", None], [None, 5, 5, None, 5, 5, None])
+    left = stages.benchmark_decontamination(spark, docs, str(tmp_path))
+    marked = stages.secret_redaction(spark, left, str(tmp_path))
+    assert marked.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in marked.collect()), key=str)
+    want = [(None, "a [REDACTED] b"), (5, "one two [REDACTED]"), (5, "[REDACTED] c"), (5, "clean"), (None, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_gear_hash_depends_on_its_window_only():
     data = np.frombuffer(prose(100, 3).encode(), dtype=np.uint8)
     shifted = np.concatenate([np.frombuffer(b"zz" + uuid.uuid4().bytes, dtype=np.uint8), data])
