@@ -140,8 +140,49 @@ SELECT doc_id, m.n AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(roo
 FROM members m LEFT JOIN same ON same.s = k LEFT JOIN roots ON node = rep
 """
 
+SOURCE_AUDIT = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM given
+), terms AS (
+  SELECT row, lang, source,
+         translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM words
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), langs AS (
+  SELECT lang, count(k.term) AS v, coalesce(sum(k.n), 0) AS n
+  FROM (SELECT DISTINCT lang FROM given) LEFT JOIN kept k USING (lang) GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+  SELECT lang, source, coalesce(sum(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM given) LEFT JOIN counts c USING (lang, source) GROUP BY lang, source
+), shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (t.n + 5 * l.v) AS p,
+         1 + (1000000000 * (k.n + 5)::HUGEINT) // (l.n + 5 * l.v) AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+  FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM parts
+)
+SELECT lang, source, part, item, value, place::INTEGER AS rank FROM ranked WHERE part = 'pair' OR place <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY,
     "op7_license_scan": _licenses(),
+    "op11_source_audit": SOURCE_AUDIT,
     "op9_near_duplicates": NEAR_DUPLICATES,
 }

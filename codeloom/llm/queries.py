@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters, whole tables."""
+"""The registered queries of these operators: production parameters, whole tables."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from codeloom.llm import (
     packing,
     quality,
     secrets,
+    source_audit,
     token_counts,
     token_records,
 )
@@ -79,6 +80,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"), folder)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,5 +97,6 @@ QUERIES = {
         op8_substring_dedup,
         op9_near_duplicates,
         op10_lm_scoring,
+        op11_source_audit,
     )
-}
\ No newline at end of file
+}
