@@ -43,7 +43,7 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, folder: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint but stays columnar, so each consumer
@@ -53,7 +53,7 @@ def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder or work_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
