@@ -29,7 +29,7 @@ _WORDS = re.compile(
 )
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, others follow 255."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = (b for b in range(256) if b not in shown)
@@ -107,7 +107,7 @@ class Encoder:
         self._cut = cuts_at_spaces(description)
         special = [re.escape(a["content"]) for a in description.get("added_tokens", [])]
         self._special = re.compile("|".join(special) or r"(?!)")
-        letters, model = _byte_letters(), tokenizer.model
+        letters, model = byte_letters(), tokenizer.model
 
         def word(text: str) -> bytes:
             spelt = text.encode().decode("latin-1").translate(letters)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import (
+    alignment,
     chunk_dedup,
     decontaminate,
     language_model,
@@ -13,6 +14,7 @@ from codeloom.llm import (
     near_duplicates,
     packing,
     quality,
+    quality_model,
     secrets,
     source_audit,
     token_counts,
@@ -30,7 +32,7 @@ except ModuleNotFoundError:
 
 
 __all__ = ["QUERIES", "ORACLES", "BYTE_BPE", "tokenizer_path"]
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +86,17 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "pair-counts")
+    docs = table(spark, sf_dir, "documents")
+    return alignment.token_alignment(docs, tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE), folder)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_model.score_quality(docs, labels)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,5 +111,7 @@ QUERIES = {
         op9_near_duplicates,
         op10_lm_scoring,
         op11_source_audit,
+        op12_token_alignment,
+        op13_quality_classifier,
     )
 }
