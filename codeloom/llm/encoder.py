@@ -27,6 +27,7 @@ _WORDS = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r 0-9{_LETTERS}]+"
     r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
+_POINTS = ".,;:!?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -107,11 +108,18 @@ class Encoder:
         self._cut = cuts_at_spaces(description)
         special = [re.escape(a["content"]) for a in description.get("added_tokens", [])]
         self._special = re.compile("|".join(special) or r"(?!)")
+        # No special token looks like a word with points behind it.
+        self._plain = not any(a["content"].rstrip(_POINTS).isalpha() for a in description.get("added_tokens", []))
         letters, model = byte_letters(), tokenizer.model
 
+        space, tokenize = letters[0x20], model.tokenize
+
         def word(text: str) -> bytes:
-            spelt = text.encode().decode("latin-1").translate(letters)
-            return pack([token.id for token in model.tokenize(spelt)])
+            if text[0] == " " and text.isascii() and text[1:].isalpha():
+                spelt = space + text[1:]  # printable bytes stand for themselves
+            else:
+                spelt = text.encode().decode("latin-1").translate(letters)
+            return pack([token.id for token in tokenize(spelt)])
 
         self._words = _Memory(word)
         self._parts = _Memory(self._part)
@@ -120,6 +128,10 @@ class Encoder:
         """Ids of a space and ``part``; None if there must be no cut before it."""
         if not part or part[0].isspace():
             return None
+        core = part.rstrip(_POINTS)
+        if self._plain and core.isalpha() and (core.isascii() or _KNOWN.fullmatch(core)):
+            ids = self._words[" " + core]
+            return ids if core == part else ids + self._words[part[len(core) :]]
         text = " " + part
         if self._special.search(part) or not (part.isascii() or _KNOWN.fullmatch(part)):
             return self._whole(text)
