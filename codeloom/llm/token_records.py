@@ -27,6 +27,7 @@ from codeloom.llm.encoder import WIDTH, crc, encoder, pack
 INDEX = "doc_id long, part int, file string, position long, n_bytes long, first long, n_tokens long"
 RECORDS = "doc_id long, part int, first long, n_tokens long, ids_crc32 long"
 _MASK = 0xA282EAD8
+READ = 4 << 20
 
 
 def masked(data: bytes) -> int:
@@ -107,6 +108,17 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [f[0] for f in fields])
 
 
+def _neighbours(names: list[str], position: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows whose records lie side by side in one file, ``READ`` bytes or one record at a time."""
+    low = 0
+    for i in range(1, len(names) + 1):
+        if i < len(names) and names[i] == names[low] and position[i] == position[i - 1] + size[i - 1]:
+            if position[i] + size[i] - position[low] <= READ:
+                continue
+        yield low, i
+        low = i
+
+
 def read_records(index: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
     """The records an index (or any part of it, in any order) names, read and checked."""
 
@@ -114,16 +126,24 @@ def read_records(index: DataFrame, tokenizer: str, folder: str, end_id: int) ->
         kind = "<u2" if max(encoder(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         open_name, source = None, None
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if row["file"] != open_name:
+            if not batch.num_rows:
+                continue
+            names, rows = batch.column(2).to_pylist(), []
+            position, size = (batch.column(c).to_numpy() for c in (3, 4))
+            for low, high in _neighbours(names, position, size):
+                if names[low] != open_name:
                     files, path = pafs.FileSystem.from_uri(folder)
-                    open_name, source = row["file"], files.open_input_file(f"{path}/{row['file']}")
-                source.seek(row["position"])
-                ids = np.frombuffer(unframe(source.read(row["n_bytes"])), kind).astype("<u4")
-                code = crc(ids.tobytes())
-                rows.append((row["doc_id"], row["part"], row["first"], len(ids), code))
-            yield _batch(rows, RECORDS)
+                    open_name, source = names[low], files.open_input_file(f"{path}/{names[low]}")
+                begin = int(position[low])
+                source.seek(begin)
+                held = memoryview(source.read(int(position[high - 1] + size[high - 1]) - begin))
+                ends = (position[low:high] + size[low:high] - begin).tolist()
+                for end, n in zip(ends, size[low:high].tolist(), strict=True):
+                    ids = np.frombuffer(unframe(held[end - n : end]), kind).astype("<u4")
+                    rows.append((len(ids), crc(ids.tobytes())))
+            tokens, codes = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+            columns = [batch.column(0), batch.column(1), batch.column(5), tokens, codes]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in RECORDS.split(", ")])
 
     return index.mapInArrow(read, RECORDS)
 
