@@ -11,35 +11,35 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_INTS = T.ArrayType(T.IntegerType())
+INTEGERS = T.ArrayType(T.IntegerType())
 
 
-def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)
     return values, offsets
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     base = offsets[0]
     return pa.ListArray.from_arrays(
         pa.array(offsets - base, pa.int32()), pa.array(values[base : offsets[-1]], pa.int32())
     )
 
 
-@F.arrow_udf(_INTS)
+@F.arrow_udf(INTEGERS)
 def running_before(counts: pa.Array) -> pa.Array:
     """For each element the sum of the elements before it, per row."""
-    values, offsets = _rows(counts)
+    values, offsets = rows(counts)
     before = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     lengths = np.diff(offsets)
     start = np.repeat(before[offsets[:-1]], lengths)
     out = np.zeros(len(values), dtype=np.int32)
     out[offsets[0] : offsets[-1]] = before[offsets[0] : offsets[-1]] - start
-    return _lists(out, offsets)
+    return lists(out, offsets)
 
 
-@F.arrow_udf(_INTS)
+@F.arrow_udf(INTEGERS)
 def closing_partner(steps: pa.Array) -> pa.Array:
     """For each +1 the index of its -1 (last index if never closed), else -1.
 
@@ -47,7 +47,7 @@ def closing_partner(steps: pa.Array) -> pa.Array:
     between them, so sorting the brackets by (row, depth, position) makes
     partners neighbours.
     """
-    values, offsets = _rows(steps)
+    values, offsets = rows(steps)
     at = np.flatnonzero(values)
     at = at[(at >= offsets[0]) & (at < offsets[-1])]
     row = np.searchsorted(offsets, at, side="right") - 1
@@ -60,7 +60,7 @@ def closing_partner(steps: pa.Array) -> pa.Array:
     partner = np.where(paired, np.append(at[1:], -1), offsets[row + 1] - 1) - offsets[row]
     out = np.full(len(values), -1, dtype=np.int32)
     out[at[opens]] = partner[opens]
-    return _lists(out, offsets)
+    return lists(out, offsets)
 
 
 _SPANS = T.ArrayType(

@@ -1,9 +1,10 @@
 """Java: class and method blocks with dependency metadata.
 
-One regular expression cuts the file into tokens in which a whole
-declaration header (modifiers, annotations, type, name, parameters) is a
-single token; brace pairing then gives each declaration its end. All loops
-are possessive, so matching is linear and does not recurse.
+Brackets are paired first and those inside others replaced, so that nesting of
+any depth is one level to the patterns. One regular expression then cuts the file
+into tokens in which a whole declaration header (modifiers, annotations, type,
+name, parameters) is a single token; brace pairing gives each declaration its
+end. All loops are possessive, so matching is linear and does not recurse.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import brackets as B
+from codeloom.functions.brackets import bracket_marks
 from codeloom.functions.nesting import closing_partner, running_before
 from codeloom.functions.text import (
     bind,
@@ -35,25 +38,72 @@ GAP = rf"(?:\s|{COMMENT})"
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _WORD_END = r"(?![\p{L}\p{N}_$])"
 
-# Levels of brackets followed in a header, and in the annotations of type arguments. The
-# pattern's length, and the time to compile it in each task, grow with them.
-DEPTH, DEPTH_IN_TYPES = 8, 2
+# --- brackets of any depth ----------------------------------------------------
+# Before a file is cut, brackets that lie inside others are replaced by characters of
+# their own, one for one, so that a pattern needs to know one level only. Unicode sets
+# these characters (noncharacters) aside for use inside programs.
+MARKS = "".join(map(chr, range(0xFDD1, 0xFDD9)))  # for marks 1 to 8 of functions/brackets
+_BRACKETS = "((((()<>"
+_OUTER = f"(?:[({MARKS[:2]}])"  # an opening parenthesis that lies in no other
+_ANY = f"(?:[({MARKS[:5]}])"
+_BEFORE_MEMBER = f"[{MARKS[0]}{MARKS[3]}]"  # its partner is followed by a member call
+_NO_HEADER = f"[({MARKS[0]}{MARKS[2]}{MARKS[3]}]"  # its partner is not followed by a body
+_ROUND = f"(){MARKS[:6]}"
+
+PARENS = rf"{_OUTER}(?:[^(){MARKS[:2]}\"'/]|{STRING}|{COMMENT}|/)*+\)"
+_QUALIFIED = rf"@(?!interface{_WORD_END}){NAME}(?:\.{NAME})*+"
+ANNOTATION = rf"{_QUALIFIED}(?:\s*+{PARENS})?+"
+ANGLES = rf"<(?:[^<>{_ROUND}{{}};\"'/@]|{COMMENT}|{ANNOTATION})*+>"
 
+_PIECE = r"(?:[^()<>{};\"'/@-]|-(?!>))++"
+_MARKED = rf"{COMMENT}|{STRING}|{_QUALIFIED}\s*+(?=\()|->|[()<>{{}};]|{_PIECE}|(?s:.)"
 
-def _nested(open_: str, close: str, inner: str, depth: int) -> str:
-    """Balanced brackets down to a fixed depth, as one linear pattern."""
-    body = rf"(?:{inner})*+"
-    for _ in range(depth):
-        body = rf"(?:{inner}|{open_}{body}{close})*+"
-    return rf"{open_}{body}{close}"
 
+def _codes(toks: Column) -> Column:
+    """Codes of the pieces of a text, for :func:`bracket_marks`."""
+
+    def follows(t: Column, before: Column) -> Column:
+        return (
+            F.when(t.rlike(r"\A\s++\z"), B.SPACE)
+            .when(before.isin(")", ">") & t.rlike(rf"\A\s*+\.\s*+{NAME}\s*+\z"), B.MEMBER_NAME)
+            .when((before == ")") & t.rlike(r"\A\s*+\.\s*+\z"), B.MEMBER_DOT)
+            .when((before == ">") & t.rlike(rf"\A\s*+{NAME}\s*+\z"), B.NAME)
+            .when((before.isin(")", ">") | before.startswith("/")) & t.rlike(rf"\A\s*+throws{_WORD_END}"), B.THROWS)
+            .otherwise(B.OTHER)
+        )
+
+    def code(t: Column, before: Column) -> Column:
+        bracket = F.instr(F.lit("()<>{};"), t)
+        return (
+            F.when(bracket > 0, bracket)
+            .when(t.startswith("//") | t.startswith("/*"), B.SPACE)
+            .when(F.substring(t, 1, 1).isin('"', "'", "/"), B.BARRED)
+            .when(t.startswith("@"), F.when(t == "@", B.OTHER).otherwise(B.ANNOTATION))
+            .otherwise(follows(t, before))
+        )
+
+    return F.transform(toks, lambda t, i: code(t, F.coalesce(F.get(toks, i - 1), F.lit(""))))
+
+
+def with_marks(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add column ``name``: ``text`` with the brackets inside others replaced; :func:`plain` undoes it."""
+    cut = df.select("*", tokens(text, _MARKED).alias("__pieces"))
+    told = cut.select("*", bracket_marks(_codes(F.col("__pieces"))).alias("__told"))
+    mark = lambda m: F.substring(F.lit(MARKS), m, F.lit(1))
+    joined = F.array_join(F.zip_with("__pieces", "__told", lambda t, m: F.when(m > 0, mark(m)).otherwise(t)), "")
+    return told.select("*", joined.alias(name)).drop("__pieces", "__told")
+
+
+def plain(text: Column) -> Column:
+    """Brackets again where :func:`with_marks` put other characters."""
+    for mark, bracket in zip(MARKS, _BRACKETS, strict=True):
+        text = F.replace(text, F.lit(mark), F.lit(bracket))
+    return text
+
+
+def plain_list(texts: Column) -> Column:
+    return F.transform(texts, plain)
 
-_IN_PARENS = rf"[^()\"'/]|{STRING}|{COMMENT}|/"
-PARENS = _nested(r"\(", r"\)", _IN_PARENS, DEPTH)
-_QUALIFIED = rf"@(?!interface{_WORD_END}){NAME}(?:\.{NAME})*+"
-ANNOTATION = rf"{_QUALIFIED}(?:\s*+{PARENS})?+"
-_IN_TYPES = rf"{_QUALIFIED}(?:\s*+{_nested(r'\(', r'\)', _IN_PARENS, DEPTH_IN_TYPES)})?+"
-ANGLES = _nested("<", ">", rf"[^<>(){{}};\"'/@]|{COMMENT}|{_IN_TYPES}", DEPTH)
 
 # Fixed values of the Java language.
 MODIFIER = (
@@ -80,7 +130,7 @@ METHOD = (
     rf"(?!{RESERVED}){NAME}{GAP}*+{PARENS}{GAP}*+(?:\[\s*+\]{GAP}*+)*+"
     rf"(?:throws{_WORD_END}(?:[^{{}};\"'/]|{COMMENT})*+)?+"
 )
-CLASS = rf"{MODIFIERS}class\s{GAP}*+{NAME}(?:[^{{}};\"'/@()]|{COMMENT}|{ANNOTATION})*+"
+CLASS = rf"{MODIFIERS}class\s{GAP}*+{NAME}(?:[^{{}};\"'/@{_ROUND}]|{COMMENT}|{ANNOTATION})*+"
 ANNOTATION_TYPE = rf"{MODIFIERS}@interface{_WORD_END}(?:[^{{}};\"'/])*+"
 FIELD = rf"{MODIFIERS}{TYPE}{GAP}*+(?!{RESERVED}){NAME}(?=\s*+(?:\[\s*+\]\s*+)*+[=;,])"
 IMPORT = rf"import\s(?:[\p{{L}}\p{{N}}_$.*]|{GAP})++;"
@@ -90,21 +140,15 @@ LEXER = (
     rf"|(?=@|{MODIFIER}){FIELD}|[{{}};:]|[^{{}};:\"'/]++|(?s:.)"
 )
 
-_TO_CLOSE = PARENS.removeprefix(r"\(")
-
-# Invocations, read left to right; only group 1 is a call (its text ends in "(").
-_CHAIN = (
-    rf"(?:{STRING}\s*+\.\s*+)?+(?:{NAME}(?:\[[^\[\]()]*+\])*+\s*+\.\s*+(?:{ANGLES}\s*+)?+)*{NAME}\s*+\("
-)
-_MEMBER = rf"\s*+\.\s*+(?:{ANGLES}\s*+)?+{NAME}\s*+\("
+# Invocations, read left to right; only group 1 is a call (its text ends in a parenthesis).
+_LINK = rf"{NAME}(?:\[[^\[\]{_ROUND}]*+\])*+\s*+\.\s*+(?:{ANGLES}\s*+)?+"
+_CHAIN = rf"(?:{STRING}\s*+\.\s*+)?+(?:{_LINK})*{NAME}\s*+"
 _CREATED = rf"new\s++{NAME}(?:\s*+\.\s*+{NAME})*+(?:\s*+{ANGLES})?+"
 CALLS = (
-    rf"{COMMENT}|@{NAME}(?:\.{NAME})*+|record\s++{NAME}\s*+\(|(?:this|super)\s*+\("
+    rf"{COMMENT}|@{NAME}(?:\.{NAME})*+|record\s++{NAME}\s*+{_ANY}|(?:this|super)\s*+{_ANY}"
     rf"|(?!new{_WORD_END}){RESERVED}(?!\s*+\.)"
-    rf"|({_CREATED}\s*+\((?={_TO_CLOSE}{_MEMBER})"
-    rf"|(?!new{_WORD_END}){_CHAIN}(?!{_TO_CLOSE}{GAP}*+(?:throws[^{{}};]*+)?+\{{)"
-    rf"|\((?={_TO_CLOSE}{_MEMBER}))"
-    rf"|{_CREATED}|{STRING}|\.\s*+(?:{ANGLES}\s*+)?+{NAME}(?:\s*+\()?+|{NAME}"
+    rf"|({_CREATED}\s*+{_BEFORE_MEMBER}|(?!new{_WORD_END}){_CHAIN}{_NO_HEADER}|{_BEFORE_MEMBER})"
+    rf"|{_CREATED}|{STRING}|\.\s*+(?:{ANGLES}\s*+)?+{NAME}(?:\s*+{_ANY})?+|{NAME}"
 )
 
 
@@ -141,7 +185,7 @@ def java_class_meta(header: Column) -> dict[str, Column]:
 def java_annotations(header: Column) -> Column:
     """Annotations among the modifiers of a declaration, in order."""
     modifiers = F.regexp_extract(header, rf"\A{MODIFIERS}", 0)
-    return none_if_empty(F.regexp_extract_all(modifiers, F.lit(ANNOTATION), F.lit(0)))
+    return none_if_empty(plain_list(F.regexp_extract_all(modifiers, F.lit(ANNOTATION), F.lit(0))))
 
 
 def java_signature(header: Column) -> Column:
@@ -152,24 +196,30 @@ def java_signature(header: Column) -> Column:
     return F.split(F.regexp_replace(header, pattern, "$1\u0001$2\u0001$3"), "\u0001")
 
 
-def java_method_meta(signature: Column) -> dict[str, Column]:
-    """Name, return type and parameter types of a method signature.
+def java_parameters(signature: Column) -> Column:
+    """What stands between the parentheses of a method signature."""
+    inside = F.get(signature, F.lit(2))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def java_method_meta(signature: Column, listed: Column) -> dict[str, Column]:
+    """Name, return type and parameter types of a method signature and its parameters.
 
     Qualified types are no plain, generic or array types and are left out;
     so are primitive and variable-arity parameters.
     """
-    return_type, name, inside = (F.get(signature, F.lit(n)) for n in range(3))
+    return_type, name = (F.get(signature, F.lit(n)) for n in range(2))
     one = (
         rf"(?<![\p{{L}}\p{{N}}_$.@])(?:(?:final{_WORD_END}|{ANNOTATION})\s*+)*+({TYPE})\s*+(?!this{_WORD_END})"
-        rf"{NAME}\s*+(?:\[\s*+\]\s*+)*+(?=[,)])"
+        rf"{NAME}\s*+(?:\[\s*+\]\s*+)*+(?=,|\z)"
     )
-    typed = F.regexp_extract_all(inside, F.lit(one), F.lit(1))
+    typed = F.regexp_extract_all(listed, F.lit(one), F.lit(1))
     qualified = rf"\A{NAME}(?:\s*+\.\s*+{NAME})++\z"
     params = F.filter(typed, lambda t: ~t.isin(PRIMITIVES) & ~t.rlike(qualified))
     return {
         "method_name": name,
-        "return_type": F.when(~return_type.rlike(qualified), return_type),
-        "param_types": none_if_empty(params),
+        "return_type": F.when(~return_type.rlike(qualified), plain(return_type)),
+        "param_types": none_if_empty(plain_list(params)),
     }
 
 
@@ -178,12 +228,12 @@ def java_calls(body: Column) -> Column:
     found = F.regexp_extract_all(body, F.lit(CALLS), F.lit(1))
     called = F.filter(found, lambda c: c != "")
     return none_if_empty(
-        F.array_distinct(F.transform(called, lambda c: strip(F.regexp_replace(c, r"\(\z", ""))))
+        F.array_distinct(F.transform(called, lambda c: plain(strip(F.regexp_replace(c, rf"{_ANY}\z", "")))))
     )
 
 
 def _is_method(token: Column) -> Column:
-    return token.contains("(") & token.rlike(rf"\A{METHOD}\z")
+    return token.rlike(_OUTER) & token.rlike(rf"\A{METHOD}\z")
 
 
 def _directly_in(inner: Column, outer: Column) -> Column:
@@ -263,7 +313,8 @@ def java_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
     keep = carried(files)
     toks = F.col("__toks")
     step = F.transform(toks, lambda t: F.when(t == "{", 1).when(t == "}", -1).otherwise(0))
-    cut = files.select(*keep, tokens(F.col("text"), LEXER).alias("__toks")).select(
+    marked = with_marks(files.select(*keep, "text"), F.col("text"), "__text").drop("text")
+    cut = marked.select(*keep, tokens(F.col("__text"), LEXER).alias("__toks")).select(
         *keep,
         "__toks",
         closing_partner(step).alias("__partner"),
@@ -283,7 +334,12 @@ def java_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
         "__signature",
         F.when(F.col("__span.kind") == "method_declaration", java_signature(F.col("__header"))),
     )
-    kind, content, header = F.col("__span.kind"), F.col("__span.content"), F.col("__header")
+    # Parentheses of annotations lie inside those of the list, but are outer ones within it.
+    listed = java_parameters(F.col("__signature"))
+    annotated = listed.contains("@")
+    rows = with_marks(rows, plain(F.when(annotated, listed)), "__again")
+    listed = F.when(annotated, F.col("__again")).otherwise(listed)
+    kind, content, header = F.col("__span.kind"), plain(F.col("__span.content")), F.col("__header")
     is_class, is_method = kind == "class_declaration", kind == "method_declaration"
     start = F.col("__span.start_line")
     fields = F.transform(F.col("__span.fields"), lambda f: strip(_without_comments(f)))
@@ -300,7 +356,7 @@ def java_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
         injects=F.when(is_class, none_if_empty(java_injects(fields))),
         calls=F.when(is_method, java_calls(F.col("__span.body"))),
         **{k: F.when(is_class, v) for k, v in java_class_meta(header).items()},
-        **{k: F.when(is_method, v) for k, v in java_method_meta(F.col("__signature")).items()},
+        **{k: F.when(is_method, v) for k, v in java_method_meta(F.col("__signature"), listed).items()},
     )
 
 
@@ -318,6 +374,6 @@ def java_injects(fields: Column) -> Column:
         plain_or_generic = ~kind.isin(PRIMITIVES) & ~kind.rlike(
             rf"\]\z|\A{NAME}(?:\s*+\.\s*+{NAME})++\z"
         )
-        return F.when(annotated & plain_or_generic, kind)
+        return F.when(annotated & plain_or_generic, plain(kind))
 
     return F.filter(F.transform(fields, injected), lambda t: t.isNotNull())

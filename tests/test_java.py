@@ -109,3 +109,48 @@ def test_deep_headers_are_declarations(blocks):
     assert [r.get("method_name") or r["class_name"] for r in blocks(java_blocks, {"K.java": source})] == [
         "K", "sized", "annotated", "generic",
     ]
+
+
+def nested(n, open_, close, core="1"):
+    return open_ * n + core + close * n
+
+
+def test_headers_of_any_depth(blocks):
+    deep = "@A(x = " + nested(60, "@B(y = ", ")") + ")"
+    generic = nested(60, "List<", ">", "String")
+    inside = "List<@P(a=@Q(b=@R(c=@S(d=1)))) String>"
+    source = f"""{deep} @Z(1)
+class C<T extends {generic}> implements I, J<{generic}>, K {{
+  {deep} {generic} one({generic} p, {deep} final Q<R> q) {{ return a(b(c(d(e({nested(70, "(", ")")}))))); }}
+  {inside} two();
+  @Inject({nested(40, "(", ")")}) Provider<{generic}> held;
+  void three({deep} int a, {deep} Foo b) throws E {{ new Q(f({nested(30, "g(", ")", "")})) {{ void four(@N(h(1)) X x) {{ k(); }} }}; }}
+}}
+"""
+    rows = blocks(java_blocks, {"A.java": source})
+    named = by_name(rows)
+    assert list(named) == ["C", "one", "two", "three", "four"]
+    assert named["C"]["annotations"] == [deep, "@Z(1)"] and named["C"]["implements"] == ["I", "K"]
+    assert named["C"]["injects"] == [f"Provider<{generic}>"]
+    assert named["one"]["annotations"] == [deep] and named["one"]["return_type"] == generic
+    assert named["one"]["param_types"] == [generic, "Q<R>"]
+    assert named["one"]["calls"] == ["a", "b", "c", "d", "e"]
+    assert named["two"]["return_type"] == inside and named["two"]["content"] == f"{inside} two();"
+    assert named["three"]["param_types"] == ["Foo"] and named["three"]["calls"] == ["f", "g", "k"]
+    assert named["four"]["param_types"] == ["X"]
+    assert "".join(r["content"] for r in rows if r["node_type"] == "class_declaration") in source
+
+
+def test_calls_followed_by_members_at_any_depth(blocks):
+    arg = nested(40, "h(", ")", "")
+    source = f"class C {{ void m() {{ new B({arg}).go(); (({arg})).run(); x.y({arg}).z(); v.<T>w({arg}); new N({arg}); }} }}"
+    calls = by_name(blocks(java_blocks, {"A.java": source}))["m"]["calls"]
+    assert calls == ["new B", "h", "", "x.y", "v.<T>w"]
+
+
+def test_unclosed_brackets_spoil_their_block_only(blocks):
+    source = "class C { void a() { f(g(1; } @A(@B(1)) void b(@D(@E(2)) P p) { h(); } int c() { return x < y; } List<Set<Q>> d() { } }"
+    named = by_name(blocks(java_blocks, {"A.java": source}))
+    assert list(named) == ["C", "a", "b", "c", "d"]
+    assert named["b"]["annotations"] == ["@A(@B(1))"] and named["b"]["param_types"] == ["P"]
+    assert named["d"]["return_type"] == "List<Set<Q>>"
