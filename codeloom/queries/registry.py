@@ -412,6 +412,7 @@ def _assemble_metadata(spark, sf_dir):
 
 _JOBS = {
     "java": java_blocks,
+    "deep": java_blocks,
     "jsx": jsx_blocks,
     "cfml": lambda files: cfml_blocks(files, "sybase"),
     "sql": lambda files: sql_blocks(files, "oracle"),
@@ -460,6 +461,11 @@ def _register_extraction() -> None:
             3: f"'in' method_name, 'void' return_type, {null_list} param_types",
         }, ["method_name", "return_type", "param_types"]),
         ("java_calls", "java", {1: "'s.go,log.info' calls", 3: "'x.a' calls"}, ["calls"]),
+        ("java_deep_headers", "deep", {
+            0: f"{null_list} annotations, {null_list} return_type, {null_list} param_types, {null_list} calls",
+            1: f"{V.DEEP_ANNOTATION} annotations, {V.DEEP_TYPE} return_type, {V.DEEP_PARAMETER} param_types, "
+            f"case when {V.DEEP} = 0 then 'f' else 'f,g' end calls",
+        }, ["start_line", "end_line", "content", "annotations", "return_type", "param_types", "calls"]),
         ("jsx_meta", "jsx", {
             n: "concat('import { useA', c_custkey % 3, ' } from ''./h', c_custkey % 3, ''';') imports, "
             + ("concat('Comp', c_custkey)" if n == 0 else null_list) + " component_name"

@@ -56,6 +56,22 @@ JAVA_BLOCKS = [
     ("method_declaration", "java", 11, 11, "'void in() { x.a().b(); }'"),
 ]
 
+# Headers whose brackets are nested as deep as the key says.
+DEEP = "cast(p_partkey % 40 as int)"
+DEEP_PATH = "concat('deep/D', p_partkey, '.java')"
+DEEP_ANNOTATION = f"concat('@P(x = ', repeat('@Q(a=', {DEEP}), '1', repeat(')', {DEEP}), ')')"
+DEEP_TYPE = f"concat(repeat('List<', {DEEP}), 'T', p_partkey % 5, repeat('>', {DEEP}))"
+DEEP_PARAMETER = f"concat(repeat('Map<K, ', {DEEP}), 'V', p_partkey % 3, repeat('>', {DEEP}))"
+DEEP_METHOD = (
+    f"concat({DEEP_ANNOTATION}, ' public ', {DEEP_TYPE}, ' run(', {DEEP_ANNOTATION}, ' ', {DEEP_PARAMETER}, "
+    f"' p) {{ f(', repeat('g(', {DEEP}), repeat(')', {DEEP}), ').h(); }}')"
+)
+DEEP_CLASS = f"concat('class D', p_partkey, ' {{', {{NL}}, '  ', {DEEP_METHOD}, {{NL}}, '}}')"
+DEEP_BLOCKS = [
+    ("class_declaration", "java", 1, 3, DEEP_CLASS),
+    ("method_declaration", "java", 2, 2, DEEP_METHOD),
+]
+
 JSX_PATH = "concat('web/Comp', c_custkey, case when c_custkey % 2 = 0 then '.jsx' else '.tsx' end)"
 JSX_FUNCTION = (
     "concat('function Comp', c_custkey, '() {', {NL}, '  const [a, b] = useState(0); useA', "
@@ -123,6 +139,7 @@ SIBLING_BLOCKS = [
 # family -> (table, path, text, blocks)
 CORPORA = {
     "java": ("part", JAVA_PATH, JAVA_TEXT, JAVA_BLOCKS),
+    "deep": ("part", DEEP_PATH, DEEP_CLASS, DEEP_BLOCKS),
     "jsx": ("customer", JSX_PATH, JSX_TEXT, JSX_BLOCKS),
     "cfml": ("supplier", CFML_PATH, CFML_TEXT, CFML_BLOCKS),
     "sql": ("orders", SQL_PATH, SQL_TEXT, SQL_BLOCKS),
@@ -130,6 +147,7 @@ CORPORA = {
 }
 CORPUS_KEYS = {
     "java": ["p_partkey"],
+    "deep": ["p_partkey"],
     "jsx": ["c_custkey"],
     "cfml": ["s_suppkey"],
     "sql": ["o_orderkey", "o_orderstatus"],
