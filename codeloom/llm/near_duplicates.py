@@ -8,16 +8,15 @@ the full sets decide. Documents with equal sets are one class throughout.
 A list of at most ``SHORT`` classes gives all its pairs. Longer lists come from
 content that very many classes share. With more rare values than a similar class
 can lack, a class shares some with it and is found in the short lists; all others
-go on in long lists: each is compared with two classes of each list, and after that only with members of its lists that are still in another component.
+go on in long lists: each is compared with two classes of each list. Those whose lists
+are still of several components after that meet by the rarest values of their whole
+sets, so that texts which share a template, but not enough, never meet at all.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +28,7 @@ SKETCH = 64  # values of a sketch
 RETAINED = 48  # of these, values that lead inverted lists
 SHORT = 32
 MISS = 1e-7  # chance that a pair at the similarity wanted lacks more than _lacking
-BLOCK = 128  # sets compared with as many others at a time
-BROADCAST_IDS = 4_000_000  # ids of 8 bytes that may travel to all tasks
+BLOCK = 128  # members of a list that one task compares with all others
 ESTIMATE = 0.55  # lowest estimate that goes to the full sets, over five deviations off
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -156,61 +154,61 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * common >= percent * union).select("a", "b")
 
 
-def _linked_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a long list that are in different components.
+def _leading(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``v, rep, n, g, first``: the rarest values of each whole set, as many as decide.
 
-    ``rest(v, rep, g, main)``; of two such members one at least is outside the
-    list's ``main`` component. Blocks of these meet blocks of all members, each
-    with their full sets, and only links come out. A pair is compared in the
-    smallest list that both are in.
+    Of two sets similar enough the larger lacks few of its values in the smaller,
+    so both have a common value among these few rarest ones of each. ``first``
+    marks those that decide against partners which are as large or larger: such
+    a partner shares more, so fewer values do. Values of one set only are the
+    rarest of all and lead nothing.
     """
-    lists = rest.groupBy("rep").agg(F.collect_set("v").alias("vs"))  # at most RETAINED
-    size = rest.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
-    member = F.struct("rep", "g", "vs", "s")
-    full = rest.join(size, "v").join(lists, "rep").join(sets, "rep").select("v", block, "g", "main", member.alias("m"))
-    grouped = lambda rows, name: rows.groupBy("v", "block").agg(F.collect_list("m").alias(name))
-    strays = grouped(full.filter("g <> main"), "x").drop("block")
-    pairs = strays.join(grouped(full, "y").drop("block"), "v").select("v", "x", "y")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                found += _block_links(
-                    batch[0][i].as_py(), batch[1].slice(i, 1).flatten(), batch[2].slice(i, 1).flatten(), percent
-                )
-            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
-
-    return pairs.mapInArrow(compare, "a long, b long").distinct()
-
-
-def _block_links(v: int, x: pa.StructArray, y: pa.StructArray, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs of two blocks of sets, by one product of their incidence matrices."""
-    sizes = [np.diff(side.field("s").offsets.to_numpy()) for side in (x, y)]
-    values = np.concatenate([side.field("s").flatten().to_numpy() for side in (x, y)])
-    distinct, column = np.unique(values, return_inverse=True)
-    common = np.zeros((len(x), len(y)), dtype=np.float32)
-    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
-    cut = len(rows[0])
-    for low in range(0, len(distinct), 50_000):  # so many columns at a time
-        parts = []
-        for row, own, side in ((rows[0], column[:cut], x), (rows[1], column[cut:], y)):
-            here = (own >= low) & (own < low + 50_000)
-            part = np.zeros((len(side), min(50_000, len(distinct) - low)), dtype=np.float32)
-            part[row[here], own[here] - low] = 1
-            parts.append(part)
-        common += parts[0] @ parts[1].T
-    union = sizes[0][:, None] + sizes[1][None, :] - common
-    ids = [side.field("rep").to_pylist() for side in (x, y)]
-    groups = [side.field("g").to_pylist() for side in (x, y)]
-    lists = [side.field("vs").to_pylist() for side in (x, y)]
-    found = []
-    for i, j in np.argwhere(100 * common >= percent * union).tolist():
-        if groups[0][i] != groups[1][j] and v == min({*lists[0][i]} & {*lists[1][j]}):
-            found.append((min(ids[0][i], ids[1][j]), max(ids[0][i], ids[1][j])))
-    return found
+    full = rest.select("rep", "g").distinct().join(sets, "rep")
+    values = full.select("rep", "g", F.size("s").alias("n"), F.explode("s").alias("v"))
+    lengths = values.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = (
+        values.join(lengths, "v").groupBy("rep", "g", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"))
+    )
+    n, own = F.col("n"), F.col("n") - F.size("values")
+    decide = n - F.ceil(n * percent / 100) + 1 - own
+    decide_first = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1 - own
+    slack = 1  # a value more than needed, whatever the divisions round to
+    kept = F.slice("values", F.lit(1), F.greatest(decide + slack, F.lit(0)).cast("int"))
+    placed = shared.withColumn("limit", decide_first + slack).select(
+        "rep", "g", "n", "limit", F.posexplode(kept).alias("at", "value")
+    )
+    return placed.select("value.v", "rep", "n", "g", (F.col("at") < F.col("limit")).alias("first"))
+
+
+def _open_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a leading value and may be similar.
+
+    In each list the members of its largest component meet only the others.
+    These are dealt in blocks of ``BLOCK``, each of which meets all members.
+    """
+    leading = stage(_leading(rest, sets, percent), "leading")
+    per_group = leading.groupBy("v", "g").agg(F.count("*").alias("members"))
+    lists = per_group.groupBy("v").agg(
+        F.max(F.struct("members", "g")).alias("largest"), F.sum("members").alias("c"), F.count("*").alias("groups")
+    )
+    strays = F.col("c") - F.col("largest.members")
+    blocks = F.ceil(strays / BLOCK).cast("int")
+    split = lists.filter("groups > 1").select("v", F.col("largest.g").alias("main"), blocks.alias("blocks"))
+    members = leading.join(split, "v")
+    member = F.struct("rep", "n", "g", "first")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+    left = members.filter("g <> main").select("v", block, member.alias("x"))
+    right = members.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), member.alias("y"))
+    pairs = left.join(right, ["v", "block"]).filter("x.g <> y.g")
+    smaller = F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")
+    decided = F.when(smaller, F.col("x.first")).otherwise(F.col("y.first"))
+    named = pairs.filter(decided).select("x.rep", F.col("x.n").alias("na"), F.col("y.rep").alias("other"), F.col("y.n").alias("nb"))
+    return (
+        named.filter(_sizes_allow(percent))
+        .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+        .distinct()
+    )
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -255,12 +253,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = stage(first.unionByName(spokes).distinct(), "first")
 
-    # Full sets of the classes any later comparison needs, read from their texts once. Texts
-    # need no shuffle as long as the ids wanted are few enough to be sent to every task.
+    # Full sets of the classes any later comparison needs, read from their texts once.
     needed = near.select("a").union(near.select("b")).union(common.select("rep")).toDF("doc_id")
-    needed = stage(needed.distinct(), "needed")
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
+    needed = stage(needed.distinct(), "needed")  # sent to every task only if Spark finds it small
     sets = stage(
         texts.join(needed, "doc_id")
         .select(F.col("doc_id").alias("rep"), shingles(F.col("text"), size).alias("s")),
@@ -285,8 +280,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         F.max(F.struct("members", "g"))["g"].alias("main"), F.count("*").alias("groups")
     )
     rest = placed.join(largest.filter("groups > 1"), "v")
-    late = _linked(open_pairs, sets, percent).unionByName(_linked_in_blocks(rest, sets, percent))
-    final = components(found.unionByName(late))
+    late = open_pairs.unionByName(_plausible(_open_pairs(rest, sets, percent), classes)).distinct()
+    late = stage(_linked(late, sets, percent), "late")
+    # The first components are nodes now, joined by the late links between their members.
+    between = late.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    joined_groups = components(between.select(group("a").alias("a"), group("b").alias("b")))
+    whole = groups.join(joined_groups.toDF("component", "root"), "component", "left")
+    final = whole.select("node", F.coalesce("root", "component").alias("component")).unionByName(
+        joined_groups.join(groups, "node", "left_anti")
+    )
 
     members = (
         classes.join(final.toDF("rep", "component"), "rep", "left")

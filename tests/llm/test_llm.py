@@ -324,6 +324,37 @@ def test_near_duplicates_of_a_template_equal_brute_force(frame):
     assert [(rows[i]["n_shingles"], rows[i]["component_id"]) for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_near_duplicates_around_the_bound_equal_brute_force(frame, spark, monkeypatch, broadcast):
+    """Template texts of similarity 0.60 to 0.85, whether or not Spark sends ids to all tasks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        texts = []
+        for family in range(2):
+            template = prose(150, 70 + family).split()
+            for i in range(90):
+                rng = random.Random(1000 * family + i)
+                words = [f"own{family}x{i}x{j}" for j in range(rng.randint(8, 44))]
+                shared = [f"some{family}x{rng.randrange(6)}y{j}" for j in range(rng.choice([0, 0, 10]))]
+                texts.append(" ".join([*template, *shared, *words]))
+        rows = {r["doc_id"]: r for r in near_duplicates.near_duplicates(frame(texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = near_by_force(texts)
+    assert [(rows[i]["n_shingles"], rows[i]["component_id"]) for i in range(len(texts))] == want
+
+
+def test_texts_of_a_template_that_are_not_alike_never_meet(frame, spark):
+    """Pairs grow with the texts, not with their square."""
+    template = prose(163, 60).split()
+    sets = frame([" ".join([*template, *[f"own{i}x{j}" for j in range(45)]]) for i in range(400)])
+    sets = sets.select(F.col("doc_id").alias("rep"), near_duplicates.shingles(F.col("text"), 4).alias("s"))
+    rest = sets.select("rep", F.col("rep").alias("g"))
+    assert near_duplicates._open_pairs(rest, sets, 80).count() == 0
+
+
 def test_near_duplicates_odd_rows(odd):
     rows = near_duplicates.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) + 2
