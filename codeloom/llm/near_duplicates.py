@@ -155,7 +155,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _leading(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``v, rep, n, g, first``: the rarest values of each whole set, as many as decide.
+    """``v, rep, n, g, at, first``: the rarest values of each whole set, as many as decide.
 
     Of two sets similar enough the larger lacks few of its values in the smaller,
     so both have a common value among these few rarest ones of each. ``first``
@@ -175,10 +175,11 @@ def _leading(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     decide_first = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1 - own
     slack = 1  # a value more than needed, whatever the divisions round to
     kept = F.slice("values", F.lit(1), F.greatest(decide + slack, F.lit(0)).cast("int"))
-    placed = shared.withColumn("limit", decide_first + slack).select(
-        "rep", "g", "n", "limit", F.posexplode(kept).alias("at", "value")
+    placed = shared.withColumns({"limit": decide_first + slack, "own": own}).select(
+        "rep", "g", "n", "own", "limit", F.posexplode(kept).alias("rank", "value")
     )
-    return placed.select("value.v", "rep", "n", "g", (F.col("at") < F.col("limit")).alias("first"))
+    at, first = F.col("own") + F.col("rank"), F.col("rank") < F.col("limit")
+    return placed.select("value.v", "rep", "n", "g", at.alias("at"), first.alias("first"))
 
 
 def _open_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,14 +197,20 @@ def _open_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(strays / BLOCK).cast("int")
     split = lists.filter("groups > 1").select("v", F.col("largest.g").alias("main"), blocks.alias("blocks"))
     members = leading.join(split, "v")
-    member = F.struct("rep", "n", "g", "first")
+    member = F.struct("rep", "n", "g", "at", "first")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     left = members.filter("g <> main").select("v", block, member.alias("x"))
-    right = members.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), member.alias("y"))
-    pairs = left.join(right, ["v", "block"]).filter("x.g <> y.g")
+    right = members.select(
+        F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), member.alias("y")
+    )
     smaller = F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")
     decided = F.when(smaller, F.col("x.first")).otherwise(F.col("y.first"))
-    named = pairs.filter(decided).select("x.rep", F.col("x.n").alias("na"), F.col("y.rep").alias("other"), F.col("y.n").alias("nb"))
+    # If this is the first value both have, they share no more than what is left of either.
+    left_over = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = (100 + percent) * left_over >= percent * (F.col("x.n") + F.col("y.n"))
+    met = (F.col("v") == F.col("w")) & (F.col("block") == F.col("part")) & (F.col("x.g") != F.col("y.g"))
+    pairs = left.join(right, met & decided & enough)
+    named = pairs.select("x.rep", F.col("x.n").alias("na"), F.col("y.rep").alias("other"), F.col("y.n").alias("nb"))
     return (
         named.filter(_sizes_allow(percent))
         .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
