@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.files import assemble_metadata
+
 # Longest list of names that becomes a pushed-down filter instead of a join.
 INLINE_NAMES = 200
 
@@ -16,11 +18,15 @@ def _in_order(rows: DataFrame, *leading: str) -> DataFrame:
     return rows.orderBy(*leading, F.col("start_line").cast("int"), *ties)
 
 
-def get_file_blocks(index: DataFrame, file_path: str) -> DataFrame:
-    """All blocks of one file by start line; an unknown path gives none."""
+def get_file_blocks(index: DataFrame, file_path: str, metadata: bool = False) -> DataFrame:
+    """All blocks of one file by start line; an unknown path gives none.
+
+    With ``metadata`` each block has its JSON document in a further column.
+    """
     if not file_path:
-        raise ValueError("file_path cannot be empty")
-    return _in_order(index.drop("embedding").where(F.col("file_path") == file_path))
+        raise ValueError("blocks are looked up by the path of their file, which is missing")
+    rows = index.drop("embedding").where(F.col("file_path") == file_path)
+    return _in_order(rows.withColumn("metadata", assemble_metadata()) if metadata else rows)
 
 
 def list_indexed_files(index: DataFrame) -> DataFrame:

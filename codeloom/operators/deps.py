@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ _KEYS = ["id", "file_path", "start_line", "ordinal"]
 ORDER = ["level", "via", "file_path", "start_line", "ordinal", "id"]
 _LINKS = ["injects", "implements", "extends", "calls_components"]
 
+SLIM = [*_KEYS, *[by for by, _ in FOLLOWED], *_LINKS]
+
 
 def _references(layer: DataFrame) -> DataFrame:
     """Distinct (via, name) pairs a layer of blocks refers to."""
@@ -37,8 +40,8 @@ def _references(layer: DataFrame) -> DataFrame:
     return layer.select(F.explode(F.concat(*pairs)).alias("ref")).select("ref.via", "ref.name").distinct()
 
 
-def _named(slim: DataFrame) -> DataFrame:
-    """Index rows once per name they answer to."""
+def named_rows(slim: DataFrame, *more: str) -> DataFrame:
+    """Index rows once per name they answer to: keys, links, ``via`` and ``name``."""
     answers = F.filter(
         F.array(
             *[
@@ -48,8 +51,8 @@ def _named(slim: DataFrame) -> DataFrame:
         ),
         lambda a: a["name"].isNotNull(),
     )
-    return slim.select(*_KEYS, *_LINKS, F.explode(answers).alias("answer")).select(
-        *_KEYS, *_LINKS, "answer.via", "answer.name"
+    return slim.select(*_KEYS, *_LINKS, *more, F.explode(answers).alias("answer")).select(
+        *_KEYS, *_LINKS, *more, "answer.via", "answer.name"
     )
 
 
@@ -60,13 +63,20 @@ def reach(index: DataFrame, seeds: DataFrame, depth: int) -> DataFrame | None:
     not grow and contents are never read. A name held by very many blocks only
     lengthens the probe side of its join.
     """
-    slim = index.select(*_KEYS, *[by for by, _ in FOLLOWED], *_LINKS)
-    named = _named(slim)
+    slim = index.select(*SLIM)
+    named = named_rows(slim)
     layer = stage(slim.join(seeds.select("id").distinct(), "id", "left_semi"), "seeds")
+    return _levels(layer, lambda wanted: named, depth)
+
+
+def _levels(
+    layer: DataFrame, names: Callable[[DataFrame], DataFrame], depth: int
+) -> DataFrame | None:
     seen = layer.select("id")
     levels: list[DataFrame] = []
     for level in range(1, depth + 1):
-        hits = named.join(_references(layer), ["via", "name"], "left_semi")
+        wanted = _references(layer)
+        hits = names(wanted).join(wanted, ["via", "name"], "left_semi")
         # A row found both ways counts as found by class.
         once = hits.groupBy("id").agg(
             F.min("via").alias("via"), *[F.first(c).alias(c) for c in _KEYS[1:] + _LINKS]
@@ -79,6 +89,18 @@ def reach(index: DataFrame, seeds: DataFrame, depth: int) -> DataFrame | None:
     return reduce(DataFrame.unionByName, levels) if levels else None
 
 
+def reach_stored(
+    names: Callable[[DataFrame], DataFrame], seeds: DataFrame, depth: int
+) -> DataFrame | None:
+    """:func:`reach` over a stored table of names; no level reads the index.
+
+    ``seeds`` are whole rows, so what they refer to is known. ``names`` gives
+    the stored rows that may answer to the (via, name) pairs it is given.
+    """
+    layer = stage(seeds.select(*_KEYS, *_LINKS), "seeds")
+    return _levels(layer, names, depth)
+
+
 def expand_dependencies(index: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """Blocks reached from ``seeds`` in at most ``depth`` levels, seeds left out.
 

@@ -23,7 +23,7 @@ from codeloom.operators.extract import (
 from codeloom.schema import BLOCKS, FILE_OUTCOMES, conform
 from codeloom.session import stage, staging_area
 from codeloom.sources.block_index import BUCKETS, index_exists, read_index, write_blocks
-from codeloom.sources.files import check_root, discover_files, fingerprint, read_files, read_text
+from codeloom.sources.files import check_root, fingerprint, list_files, read_files, read_text
 
 
 @dataclass
@@ -118,20 +118,38 @@ def _index_files(
     keep: Callable[[DataFrame, str], DataFrame],
 ) -> DataFrame:
     """Run all steps up to the commit; returns the facts outcomes are made of."""
-    listed = keep(discover_files(spark, root), "files")
-    fresh, known = listed, None
+    found = keep(list_files(spark, root), "files")
+    unlisted = found.where(F.col("error").isNotNull()).select("file_path", F.col("error").alias("unlisted"))
+    listed = found.where(F.col("error").isNull()).drop("error")
+    # Hash first and drop the bytes: unchanged files and copies are never shuffled, cut or staged.
+    hashed = keep(
+        fingerprint(read_files(listed, root)).select("file_path", "file_sha256", "error"), "hashes"
+    )
+    fresh, known = hashed.where(F.col("error").isNull()), None
     if index_exists(spark, index_path):
-        # Hash first and drop the bytes: unchanged files are never shuffled or cut.
-        hashed = keep(
-            fingerprint(read_files(listed, root)).select("file_path", "file_sha256"), "hashes"
-        )
-        survivors = keep(
-            steps.skip_indexed(hashed, read_index(spark, index_path)).select("file_path"), "fresh"
-        )
-        fresh = listed.join(survivors, "file_path", "left_semi")
-        known = hashed.join(survivors, "file_path", "left_anti").select("file_path")
+        survivors = keep(steps.skip_indexed(fresh, read_index(spark, index_path)).select("file_path"), "fresh")
+        known = fresh.join(survivors, "file_path", "left_anti").select("file_path")
+        fresh = fresh.join(survivors, "file_path", "left_semi")
+
+    # One file of each content and family is cut, and another only if that one cannot be read now.
+    copies = keep(steps.route(fresh.drop("error")).select("file_path", "file_sha256", "family"), "copies")
+    cut, tried = None, None
+    while True:
+        left = copies if tried is None else copies.join(tried, "file_path", "left_anti")
+        if cut is not None:
+            settled = cut.where(F.col("error").isNull()).select("file_sha256", "family").distinct()
+            left = left.join(settled, ["file_sha256", "family"], "left_anti")
+        elected = keep(left.groupBy("file_sha256", "family").agg(F.min("file_path").alias("file_path")), "elected")
+        if cut is not None and elected.isEmpty():
+            break
+        paths = listed.join(elected.select("file_path"), "file_path", "left_semi")
+        more = keep(_read_and_extract(paths, root, sql_dialect), "blocks")
+        cut = more if cut is None else cut.unionByName(more)
+        names = elected.select("file_path")
+        tried = names if tried is None else tried.unionByName(names)
+        if more.where(F.col("error").isNotNull()).isEmpty():
+            break
 
-    cut = keep(_read_and_extract(fresh, root, sql_dialect), "blocks")
     per_file = cut.groupBy("file_path").agg(
         F.first("file_sha256", ignorenulls=True).alias("file_sha256"),
         F.first("family").alias("family"),
@@ -150,13 +168,23 @@ def _index_files(
         spark, index_path, vectors.join(accepted, "file_path", "left_semi"), buckets
     )
 
+    # A copy that was not cut has as many blocks as the file cut for it.
+    counted = per_file.where(F.col("error").isNull()).groupBy("file_sha256", "family").agg(F.max("blocks").alias("blocks"))
+    alike = copies.join(counted, ["file_sha256", "family"], "left").select("file_path", F.col("blocks").alias("alike"))
+    unread = hashed.where(F.col("error").isNotNull()).select("file_path", F.col("error").alias("unread"))
     facts = (
-        listed.select("file_path")
+        listed.select("file_path", F.lit(None).cast("string").alias("unlisted"))
+        .unionByName(unlisted)
         .join(per_file, "file_path", "left")
+        .join(alike, "file_path", "left")
+        .join(unread, "file_path", "left")
         .join(embedded, "file_path", "left")
-        .withColumn("family", steps.language_family(F.col("file_path")))
+        .withColumn("blocks", F.coalesce("blocks", "alike"))
+        # A directory that could not be listed failed; it is no file without a parser.
+        .withColumn("family", F.when(F.col("unlisted").isNotNull(), "directory").otherwise(steps.language_family(F.col("file_path"))))
         .withColumn("winner", F.col("vectors").isNotNull())
-        .withColumn("error", F.coalesce("error", "embed_error"))
+        .withColumn("error", F.coalesce("unlisted", "unread", "error", "embed_error"))
+        .drop("unlisted", "unread", "alike")
     )
     if known is None:
         facts = facts.withColumn("known", F.lit(False))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.deps import ORDER, reach
+from codeloom.operators.deps import ORDER, reach, reach_stored
 from codeloom.operators.embed import embed_query
+from codeloom.operators.files import assemble_metadata
 from codeloom.operators.search import metadata_filter, search
 from codeloom.session import stage
+from codeloom.sources.block_index import has_names, read_index, read_names, read_rows
 
 
 MAX_LIMIT, MAX_DEPTH = 50, 3
@@ -45,6 +48,30 @@ def search_code(
     return ranked_with_dependencies(index, vector, limit, language, node_type, depth)
 
 
+def search_stored(
+    spark: SparkSession,
+    path: str,
+    query: str,
+    embedder: Callable[[Column], Column],
+    limit: int = 10,
+    language: str | None = None,
+    node_type: str | None = None,
+    expand_dependencies: bool = False,
+    dependency_depth: int = 1,
+    metadata: bool = False,
+) -> DataFrame:
+    """:func:`search_code` over the index at ``path``, whose stored names the expansion reads.
+
+    With ``metadata`` each result has its JSON document in a further column.
+    """
+    check_search(query, limit, dependency_depth)
+    vector = embed_query(spark, query, embedder)
+    depth = dependency_depth if expand_dependencies else 0
+    stored = path if has_names(spark, path) else None
+    found = ranked_with_dependencies(read_index(spark, path), vector, limit, language, node_type, depth, stored)
+    return found.withColumn("metadata", assemble_metadata()) if metadata else found
+
+
 def ranked_with_dependencies(
     index: DataFrame,
     vector: Sequence[float],
@@ -52,10 +79,13 @@ def ranked_with_dependencies(
     language: str | None = None,
     node_type: str | None = None,
     depth: int = 0,
+    stored: str | None = None,
 ) -> DataFrame:
     """Primary results by score, then their dependencies without one.
 
-    ``rank`` keeps the order; ``is_dependency`` tells the two apart.
+    ``rank`` keeps the order; ``is_dependency`` tells the two apart. With
+    ``stored``, the place of the index, dependencies are followed in its table of
+    names and only their own rows are read.
     """
     spark = index.sparkSession
     # At most 50 rows: held as data, so ranking and expansion see the same ones.
@@ -66,12 +96,16 @@ def ranked_with_dependencies(
     ranked = primary.withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn(
         "is_dependency", F.lit(False)
     )
-    reached = reach(index, primary, depth) if depth and rows else None
+    reached = None
+    if depth and rows:
+        names = partial(read_names, spark, stored)
+        reached = reach_stored(names, primary, depth) if stored else reach(index, primary, depth)
     if reached is None:
         return ranked.orderBy("rank")
     numbers = _numbered(reached).select("id", (F.col("rank") + len(rows)).alias("rank"))
+    whole = read_rows(spark, stored, reached) if stored else index
     deps = (
-        index.drop("embedding")
+        whole.drop("embedding")
         .join(numbers, "id")
         .withColumn("score", F.lit(None).cast("double"))
         .withColumn("is_dependency", F.lit(True))

@@ -5,6 +5,10 @@ buckets it touches into a new folder and then publishes a small manifest that
 names, for each bucket, the folder holding its current rows. Publishing is
 one atomic rename: readers see the old or the new state, and a failed write
 leaves the old one.
+
+Beside each folder of rows lies one of names: a slim row for each name a block
+answers to, with what the block refers to, by bucket of the name. It is written and
+published with its rows, and expansions read it instead of them.
 """
 
 from __future__ import annotations
@@ -15,12 +19,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators.deps import SLIM, named_rows
 from codeloom.schema import BLOCK_INDEX, conform
 
 # Buckets of a new index; size it so that a bucket holds about a gigabyte.
 BUCKETS = 256
-
-
+# Buckets by name, within each of these, of the table of names.
+NAME_BUCKETS = 16
+_NAMES = (
+    "id string, file_path string, start_line int, ordinal int, injects array<string>, implements array<string>, "
+    "extends string, calls_components array<string>, via int, name string"
+)
 
 def bucket_of(path: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
@@ -97,6 +106,14 @@ def _commit(rows: DataFrame | None, path: str, state: dict, touched: list[int],
             .option("parquet.bloom.filter.enabled#component_name", "true")
             .parquet(f"{path}/{folder}")
         )
+        (
+            named_rows(rows.select(*SLIM, "bucket"), "bucket")
+            .withColumn("name_bucket", name_bucket(F.col("name")))
+            .hint("rebalance", F.col("bucket"))
+            .sortWithinPartitions("bucket", "name_bucket", "name")
+            .write.partitionBy("bucket", "name_bucket")
+            .parquet(f"{path}/{_names_of(folder)}")
+        )
         fs, where = _fs(spark, f"{path}/{folder}")
         for status in fs.listStatus(where):
             name = status.getPath().getName()
@@ -109,6 +126,56 @@ def _commit(rows: DataFrame | None, path: str, state: dict, touched: list[int],
     )
 
 
+def _names_of(folder: str) -> str:
+    return folder.replace("data/", "names/", 1)
+
+
+def name_bucket(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(NAME_BUCKETS)).cast("int")
+
+
+def read_names(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Stored name rows that may answer to ``wanted(via, name)``: those of the names' buckets."""
+    folders = _manifest(spark, path)["folders"]
+    numbers = [r[0] for r in wanted.select(name_bucket(F.col("name"))).distinct().collect()]  # NAME_BUCKETS at most
+    places = []
+    for folder in sorted(set(folders.values())):
+        fs, every = _fs(spark, f"{path}/{_names_of(folder)}/bucket=*/name_bucket=*")
+        for status in fs.globStatus(every) or []:
+            place = status.getPath()
+            home, number = (p.getName().split("=")[1] for p in (place.getParent(), place))
+            if folders.get(home) == folder and int(number) in numbers:
+                places.append(place.toString())
+    if not places:
+        return spark.createDataFrame([], _NAMES)
+    return spark.read.schema(_NAMES).parquet(*places)
+
+
+def has_names(spark: SparkSession, path: str) -> bool:
+    """Whether every folder of rows has one of names; an index written before names were kept has none."""
+    folders = set(_manifest(spark, path)["folders"].values())
+    return bool(folders) and all(_fs(spark, path)[0].exists(_fs(spark, f"{path}/{_names_of(f)}")[1]) for f in folders)
+
+
+# Rows whose paths and ids reach the scan as filters.
+INLINE_ROWS = 200
+
+
+def read_rows(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The current rows named by ``keys(file_path, id)``, which should be staged.
+
+    Only the buckets of these files are read; the paths and ids of a few rows are
+    pushed into the scan as well.
+    """
+    state = _manifest(spark, path)
+    homes = keys.select(bucket_of(F.col("file_path"), state["buckets"])).distinct().collect()  # one row per bucket
+    rows = _read(spark, path, state, [str(r[0]) for r in homes])
+    few = keys.select("file_path", "id").limit(INLINE_ROWS + 1).collect()
+    if len(few) <= INLINE_ROWS:
+        return rows.where(F.col("file_path").isin([r[0] for r in few]) & F.col("id").isin([r[1] for r in few]))
+    return rows.join(keys.select("file_path", "id"), ["file_path", "id"], "left_semi").select(rows.columns)
+
+
 def write_blocks(
     spark: SparkSession, path: str, new_blocks: DataFrame, buckets: int = BUCKETS
 ) -> None:

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.functions.text import suffix
 from codeloom.session import stage
@@ -17,25 +17,17 @@ from codeloom.session import stage
 # Fixed value: the extensions that are indexed.
 SUPPORTED_EXTENSIONS = [".java", ".jsx", ".tsx", ".html", ".cfm", ".cfc", ".sql"]
 
-_ENTRY = T.StructType(
-    [
-        T.StructField("file_path", T.StringType(), False),
-        T.StructField("is_dir", T.BooleanType(), False),
-        T.StructField("length", T.LongType(), False),
-    ]
-)
-_CONTENT = T.StructType(
-    [
-        T.StructField("file_path", T.StringType(), False),
-        T.StructField("content", T.BinaryType(), True),
-        T.StructField("error", T.StringType(), True),
-    ]
-)
+_ENTRY = "file_path string, is_dir boolean, length long, error string"
+_CONTENT = "file_path string, content binary, error string"
 # Directories one task lists before it hands the rest back for redistribution.
 DIRECTORIES_PER_TASK = 2000
 # Bytes of file content per Arrow batch, and per task, while reading.
 BATCH_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 256 * 1024 * 1024
+# A larger file cannot be one value of a row.
+LARGEST = (1 << 31) - (1 << 16)
+# Rows of a listing, or of contents, per Arrow batch.
+ROWS = 10_000
 
 
 def mounted_path(root: str) -> str | None:
@@ -54,93 +46,176 @@ def check_root(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk the given directories; unvisited ones beyond the budget come back as rows."""
-    schema = pa.schema([("file_path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64())])
-    pending = [d for batch in batches for d in batch.column(0).to_pylist()]
-    budget = DIRECTORIES_PER_TASK
-    rows: list[tuple[str, bool, int]] = []
-    while pending and budget > 0:
-        budget -= 1
-        try:
-            with os.scandir(pending.pop()) as entries:
-                for entry in entries:
-                    if entry.is_dir(follow_symlinks=False):
-                        pending.append(entry.path)
-                    elif entry.is_file():
-                        rows.append((entry.path, False, entry.stat().st_size))
-        except PermissionError:
-            continue
-        if len(rows) >= 10000:
-            yield _batch(rows, schema)
-            rows = []
-    rows += [(d, True, 0) for d in pending]
-    if rows:
-        yield _batch(rows, schema)
+class _Mount:
+    """Listing and reading on a mounted file system; entries come one by one."""
+
+    def entries(self, folder: str) -> Iterator[tuple[str, bool, int]]:
+        with os.scandir(folder) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.path, True, 0
+                elif entry.is_file():
+                    yield entry.path, False, entry.stat().st_size
+
+    def size(self, path: str) -> int:
+        return os.stat(path).st_size
+
+    def read(self, path: str) -> bytes:
+        with open(path, "rb") as handle:
+            return handle.read()
+
+
+class _Store:
+    """The same on any other store that pyarrow has a handle for; paths are addresses below ``root``."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+        self.files, self.base = pafs.FileSystem.from_uri(self.root)
+
+    def _inside(self, address: str) -> str:
+        return self.base + address[len(self.root) :]
+
+    def entries(self, folder: str) -> Iterator[tuple[str, bool, int]]:
+        for info in self.files.get_file_info(pafs.FileSelector(self._inside(folder))):
+            address = self.root + info.path[len(self.base) :]
+            if info.type == pafs.FileType.Directory:
+                yield address, True, 0
+            elif info.type == pafs.FileType.File:
+                yield address, False, info.size or 0
+
+    def size(self, path: str) -> int:
+        info = self.files.get_file_info(self._inside(path))
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        return info.size or 0
+
+    def read(self, path: str) -> bytes:
+        with self.files.open_input_stream(self._inside(path)) as handle:
+            return handle.read()
+
+
+def _has_handle(root: str) -> bool:
+    try:
+        pafs.FileSystem.from_uri(root.rstrip("/"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
+        return False
+    return True
+
+
+def _message(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}"
+
+
+def _lister(root: str | None):
+    """Kernel: walks the given directories; unvisited ones beyond the budget come back as rows.
+
+    A directory that cannot be listed is one row with an error; what was found
+    in it before stays. Rows leave in batches also inside a huge directory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _Mount() if root is None else _Store(root)
+        pending = [d for batch in batches for d in batch.column(0).to_pylist()]
+        budget = DIRECTORIES_PER_TASK
+        rows: list[tuple[str, bool, int, str | None]] = []
+        while pending and budget > 0:
+            budget -= 1
+            folder = pending.pop()
+            try:
+                for path, is_dir, size in store.entries(folder):
+                    if is_dir:
+                        pending.append(path)
+                    else:
+                        rows.append((path, False, size, None))
+                    if len(rows) >= ROWS:
+                        yield _batch(rows, _ENTRY)
+                        rows = []
+            except OSError as problem:
+                rows.append((folder, False, 0, _message(problem)))
+        rows += [(d, True, 0, None) for d in pending]
+        for low in range(0, len(rows), ROWS):
+            yield _batch(rows[low : low + ROWS], _ENTRY)
+
+    return run
 
 
 def supported(path: Column) -> Column:
     return suffix(path).isin(SUPPORTED_EXTENSIONS)
 
 
-def discover_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root`` with a supported extension: file_path, length.
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """All files below ``root`` with a supported extension: file_path, length, error.
 
-    Hidden names count. On a mounted file system directories are listed by
-    tasks, round by round, so one huge subtree spreads over the cluster. Other
-    file systems go through Spark's own listing, which skips names that start
-    with ``_`` or ``.``.
+    Hidden names count. Directories are listed by tasks, round by round, so one
+    huge subtree spreads over the cluster; a directory that cannot be listed is
+    one row with an error. Stores that are not mounted are listed through a
+    handle of pyarrow; only an address it has no handle for goes through Spark's
+    own listing, which skips names that start with ``_`` or ``.``.
     """
     path = mounted_path(root)
-    if path is None:
+    if path is None and not _has_handle(root):
         listed = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .load(root)
-            .select(F.col("path").alias("file_path"), "length")
+            .select(F.col("path").alias("file_path"), "length", F.lit(None).cast("string").alias("error"))
         )
         return listed.where(supported(F.col("file_path")))
     slots = spark.sparkContext.defaultParallelism
-    frontier = spark.createDataFrame([(path,)], "file_path string")
+    frontier = spark.createDataFrame([(root.rstrip("/") if path is None else path,)], "file_path string")
+    kernel = _lister(root if path is None else None)
     rounds = []
     while True:
-        listing = stage(
-            frontier.repartition(slots).mapInArrow(_list_directories, _ENTRY), "listing"
-        )
-        rounds.append(listing.where(~F.col("is_dir")).select("file_path", "length"))
+        listing = stage(frontier.repartition(slots).mapInArrow(kernel, _ENTRY), "listing")
+        rounds.append(listing.where(~F.col("is_dir")).select("file_path", "length", "error"))
         frontier = listing.where("is_dir").select("file_path")
         if frontier.isEmpty():
             break
     files = rounds[0]
     for more in rounds[1:]:
         files = files.unionByName(more)
-    return files.where(supported(F.col("file_path")))
+    return files.where(supported(F.col("file_path")) | F.col("error").isNotNull())
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), schema)]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-
-def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("file_path", pa.string()), ("content", pa.binary()), ("error", pa.string())]
-    )
-    rows: list[tuple[str, bytes | None, str | None]] = []
-    size = 0
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            try:
-                with open(path, "rb") as handle:
-                    rows.append((path, handle.read(), None))
-                size += len(rows[-1][1])
-            except OSError as problem:
-                rows.append((path, None, f"{type(problem).__name__}: {problem}"))
-            if size >= BATCH_BYTES or len(rows) >= 10000:
-                yield _batch(rows, schema)
-                rows, size = [], 0
-    if rows:
-        yield _batch(rows, schema)
+def discover_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files of :func:`list_files` without its errors: file_path, length."""
+    return list_files(spark, root).where(F.col("error").isNull()).drop("error")
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    arrays = [pa.array(values, kinds[kind]) for values, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
+def _reader(root: str | None):
+    """Kernel: the bytes of each path, or why it could not be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _Mount() if root is None else _Store(root)
+        rows: list[tuple[str, bytes | None, str | None]] = []
+        held = 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    size = store.size(path)
+                    if size > LARGEST:
+                        raise OSError(f"{size} bytes are more than a row can hold")
+                    if held and held + size > BATCH_BYTES:
+                        yield _batch(rows, _CONTENT)
+                        rows, held = [], 0
+                    rows.append((path, store.read(path), None))
+                    held += size
+                except OSError as problem:
+                    rows.append((path, None, _message(problem)))
+                if len(rows) >= ROWS:
+                    yield _batch(rows, _CONTENT)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, _CONTENT)
+
+    return run
 
 
 def read_files(files: DataFrame, root: str, total_bytes: int | None = None) -> DataFrame:
@@ -150,7 +225,8 @@ def read_files(files: DataFrame, root: str, total_bytes: int | None = None) -> D
     unless the caller knows it.
     """
     spark = files.sparkSession
-    if mounted_path(root) is None:
+    mounted = mounted_path(root) is not None
+    if not mounted and not _has_handle(root):
         contents = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
@@ -161,7 +237,9 @@ def read_files(files: DataFrame, root: str, total_bytes: int | None = None) -> D
     if total_bytes is None:
         total_bytes = files.agg(F.sum("length")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-total_bytes // TASK_BYTES))
-    return files.select("file_path").repartition(int(tasks)).mapInArrow(_read_contents, _CONTENT)
+    return files.select("file_path").repartition(int(tasks)).mapInArrow(
+        _reader(None if mounted else root), _CONTENT
+    )
 
 
 def read_text(files: DataFrame) -> DataFrame:

@@ -153,3 +153,47 @@ def test_a_second_writer_is_refused(spark, tmp_path):
     block_index._publish(spark, str(tmp_path / "i"), state)
     with pytest.raises(RuntimeError):
         block_index._publish(spark, str(tmp_path / "i"), state)
+
+
+def test_a_store_is_listed_and_read_like_a_mount(spark, tree, monkeypatch):
+    from codeloom.sources import files
+
+    mounted = {(r["file_path"], r["length"]) for r in discover_files(spark, tree).collect()}
+    contents = {r["file_path"]: bytes(r["content"]) for r in read_files(discover_files(spark, tree), tree).collect()}
+    root = "file://" + tree
+    monkeypatch.setattr(files, "mounted_path", lambda root: None)
+    monkeypatch.setattr(files, "DIRECTORIES_PER_TASK", 2)
+    monkeypatch.setattr(files, "ROWS", 3)
+    listed = discover_files(spark, root)
+    assert {(r["file_path"].removeprefix("file://"), r["length"]) for r in listed.collect()} == mounted
+    read = {r["file_path"].removeprefix("file://"): bytes(r["content"]) for r in read_files(listed, root).collect()}
+    assert read == contents
+    gone = spark.createDataFrame([(root + "/gone.sql", 3)], "file_path string, length bigint")
+    assert "FileNotFoundError" in read_files(gone, root).first()["error"]
+    missing = files.list_files(spark, root + "/none").collect()
+    assert [(r["file_path"], r["error"] is None) for r in missing] == [(root + "/none", False)]
+
+
+def test_a_directory_that_cannot_be_listed_is_one_error(spark, tree, tmp_path, monkeypatch):
+    from codeloom.plans import ingest as plan
+    from codeloom.sources import files
+
+    rows = files.list_files(spark, tree + "/none").collect()
+    assert len(rows) == 1 and "FileNotFoundError" in rows[0]["error"]
+    lost = spark.createDataFrame([(tree + "/lost", 0, "PermissionError: no")], "file_path string, length bigint, error string")
+    listing = files.list_files
+    monkeypatch.setattr(plan, "list_files", lambda spark, root: listing(spark, root).unionByName(lost))
+    job = ingest(spark, tree, str(tmp_path / "index"), hashed_words(16), buckets=2)
+    outcomes = {r["file_path"]: r for r in job.outcomes.collect()}
+    row = outcomes[tree + "/lost"]
+    assert (row["status"], row["reason"], row["error"]) == ("failed", "error", "PermissionError: no")
+    assert job.metrics.first()["files_failed"] == 1 and len(outcomes) == 9
+
+
+def test_a_file_too_large_for_a_row_is_one_error(spark, tree):
+    huge = tree + "/huge.sql"
+    with open(huge, "wb") as handle:
+        handle.truncate((1 << 31) + 10)  # a hole, no data
+    listed = discover_files(spark, tree).where("file_path like '%.sql'")
+    rows = {r["file_path"]: r for r in read_files(listed, tree, 1000).select("file_path", "error").collect()}
+    assert "2147483658 bytes" in rows[huge]["error"] and rows[tree + "/.git/x.sql"]["error"] is None
