@@ -226,3 +226,123 @@ def test_search_ranks_without_contents_and_fetches_by_id(spark, graph, tmp_path)
     hits = ranking.collect()
     plan = _fetched(index, hits)._jdf.queryExecution().executedPlan().toString()
     assert "In(id" in plan and "embedding" not in plan
+
+
+def test_index_by_cells_reaches_the_recall(spark, tmp_path, monkeypatch):
+    """Recall of the ten nearest over all queries with an id divisible by 50, against all rows."""
+    from codeloom.operators import vector_index as cells
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    path = str(tmp_path / "cells")
+    cells.write_vector_index(rows, path)
+    held = rows.collect()
+    ids = np.array([r["id"] for r in held])
+    vectors = np.array([r["embedding"] for r in held], dtype=np.float64)
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    got = {}
+    for r in cells.index_search_batch(spark, path, queries, 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    shares = []
+    for query in ids[ids % 50 == 0].tolist():
+        alike = vectors @ vectors[np.flatnonzero(ids == query)[0]]
+        exact = ids[np.lexsort((ids, -np.round(alike, 12)))[:10]].tolist()
+        found = [i for _, i, _ in sorted(got[query])]
+        assert len(found) == 10 and found[0] == query
+        shares.append(len(set(found) & set(exact)) / 10)
+    asked, whole = [], cells.read_rows
+    monkeypatch.setattr(cells, "read_rows", lambda spark, path, which=None: asked.append(which) or whole(spark, path, which))
+    sizes = {r["cell"]: r["n_rows"] for r in spark.read.parquet(f"{path}/cells").collect()}
+    read = []
+    for number in (0, 350, 1050):
+        one = cells.index_search(spark, path, vectors[ids.tolist().index(number)].tolist(), 10)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [cell#" in plan
+        assert {r["id"] for r in one.collect()} == {i for _, i, _ in got[number]}
+        read.append(sum(sizes[c] for c in asked[-1]) / sum(sizes.values()))
+    share = np.mean(read)
+    print(f"recall@10 {np.mean(shares):.3f}, rows read {share:.3f} of all, cells {len(sizes)}")
+    assert np.mean(shares) >= 0.9 and share < 0.5 and "TakeOrderedAndProject" in plan
+
+
+def test_index_by_cells_of_odd_rows(spark, tmp_path):
+    from codeloom.operators import vector_index as cells
+
+    rng = np.random.default_rng(3)
+    data = [(i, rng.standard_normal(4).tolist(), "en" if i % 3 else "de", "x") for i in range(200)]
+    data += [(200, None, "en", "x"), (201, [0.0] * 4, "en", "x"), (202, data[7][1], "en", "x")]
+    index = spark.createDataFrame(data, "id bigint, embedding array<float>, language string, node_type string")
+    path = str(tmp_path / "cells")
+    cells.write_vector_index(index, path, cells=12)
+    assert cells.read_rows(spark, path).count() == 203
+    query = data[7][1]
+    hits = cells.index_search(spark, path, query, 5).collect()
+    assert [r["id"] for r in hits[:2]] == [7, 202]
+    exact = [r["id"] for r in near.search(index, query, 50, "de").collect()]
+    some = [r["id"] for r in cells.index_search(spark, path, query, 50, language="de").collect()]
+    assert len(set(some) & set(exact)) >= 45
+    # More than there is, and queries without a direction, are searched exactly.
+    assert [r["id"] for r in cells.index_search(spark, path, query, 300).collect()] == [r["id"] for r in near.search(index, query, 300).collect()]
+    assert cells.index_search(spark, path, [0.0] * 4, 3).count() == 3
+    empty = str(tmp_path / "empty")
+    cells.write_vector_index(index.where("id < 0"), empty)
+    assert cells.index_search(spark, empty, query, 3).count() == 0
+
+
+def test_expected_hits_are_those_of_even_directions():
+    from codeloom.operators.vector_index import expected_hits
+
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((20000, 32))
+    rows /= np.sqrt((rows**2).sum(axis=1))[:, None]
+    centre, query = rows[0], rows[1]
+    angle = np.arccos(np.clip(rows @ centre, -1, 1))
+    found = (np.arccos(np.clip(rows @ query, -1, 1)) < 1.3).sum()
+    apart = float(np.arccos(centre @ query))
+    got = expected_hits(apart, 1.3, [(a, 1) for a in angle.tolist()], 32)
+    assert 0.7 < got / found < 1.4
+
+
+def test_stored_names_expand_like_the_rows(spark, tmp_path):
+    from functools import partial
+
+    from codeloom.operators.deps import reach, reach_stored
+    from codeloom.plans.search_code import search_stored
+    from codeloom.session import stage
+    from codeloom.sources import block_index
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        name = lambda: f"N{rng.integers(0, 120)}"  # noqa: B023, E731
+        rows.append((f"f{i % 40}.java", i, "class_declaration", "java", f"text {i}", i, i, "h", [name()], name() if i % 2 else None, f"N{i % 150}" if i % 3 else None, f"K{i % 9}" if i % 4 == 0 else None, [f"K{rng.integers(0, 9)}"] if i % 5 == 0 else None))
+    frame = spark.createDataFrame(
+        rows,
+        "file_path string, ordinal int, node_type string, language string, content string, start_line int, end_line int, "
+        "file_sha256 string, injects array<string>, extends string, class_name string, component_name string, calls_components array<string>",
+    )
+    path = str(tmp_path / "index")
+    blocks = embed_blocks(conform(frame, BLOCK_INDEX).drop("embedding", "id"), hashed_words(16)).drop("embed_error")
+    blocks = stage(blocks, "blocks")
+    block_index.write_blocks(spark, path, blocks, buckets=4)
+    # A second write replaces files and their names.
+    block_index.write_blocks(spark, path, blocks.where("file_path in ('f1.java', 'f2.java')").where("ordinal < 100"), buckets=4)
+    index = block_index.read_index(spark, path)
+    assert index.count() == 290 and block_index.has_names(spark, path)
+    seeds = index.where("file_path = 'f3.java'")
+    for depth in (1, 2, 3):
+        want = {tuple(r) for r in reach(index, seeds, depth).collect()}
+        got = reach_stored(partial(block_index.read_names, spark, path), seeds, depth)
+        assert {tuple(r) for r in got.collect()} == want
+    wanted = spark.createDataFrame([(0, "N7")], "via int, name string")
+    number = wanted.select(block_index.name_bucket(F.col("name"))).first()[0]
+    read = block_index.read_names(spark, path, wanted).inputFiles()
+    assert read and all("/names/" in f and f"/name_bucket={number}/" in f for f in read)
+    keys = stage(got.select("file_path", "id").limit(3), "keys")
+    fetched = block_index.read_rows(spark, path, keys)
+    assert fetched.count() == 3 and "In(file_path" in fetched._jdf.queryExecution().executedPlan().toString()
+    plain_rows = search_code(index, "text 5", hashed_words(16), limit=4, expand_dependencies=True, dependency_depth=2).collect()
+    stored = search_stored(spark, path, "text 5", hashed_words(16), limit=4, expand_dependencies=True, dependency_depth=2, metadata=True)
+    stored_rows = stored.collect()
+    assert [(r["rank"], r["id"], r["is_dependency"]) for r in stored_rows] == [(r["rank"], r["id"], r["is_dependency"]) for r in plain_rows]
+    assert '"node_type":"class_declaration"' in stored_rows[0]["metadata"]
