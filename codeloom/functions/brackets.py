@@ -53,7 +53,7 @@ def _inside(outer: np.ndarray, level: np.ndarray, at: np.ndarray, opens: np.ndar
     return _fill(groups, np.concatenate([at, at[inner]]), begins)[:n]
 
 
-def _pair(group: np.ndarray, at: np.ndarray, step: np.ndarray) -> np.ndarray:
+def pair(group: np.ndarray, at: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Partner (a place in the arrays, -1 for none) of each +1 and -1 within its group."""
     order = np.lexsort((at, group))
     level = np.empty(len(at), dtype=np.int64)
@@ -96,7 +96,7 @@ def marks(code: np.ndarray, row: np.ndarray) -> np.ndarray:
     # Parentheses, and those inside others or anywhere inside an annotation.
     is_round = np.flatnonzero((kind == OPEN) | (kind == CLOSE))
     step = np.where(kind[is_round] == OPEN, 1, -1)
-    partner = _pair(block[is_round], at[is_round], step)
+    partner = pair(block[is_round], at[is_round], step)
     around = _covered(block[is_round], at[is_round], partner, step)
     annotation = (step > 0) & (partner >= 0) & (code[np.maximum(at[is_round] - 1, 0)] == ANNOTATION) & (at[is_round] > 0)
     closes = partner[annotation]
@@ -118,7 +118,7 @@ def marks(code: np.ndarray, row: np.ndarray) -> np.ndarray:
     segment = _fill([place], at, ~clear)
     is_angle = np.flatnonzero((kind == LESS) | (kind == MORE))
     turn = np.where(kind[is_angle] == LESS, 1, -1)
-    mate = _pair(segment[is_angle], at[is_angle], turn)
+    mate = pair(segment[is_angle], at[is_angle], turn)
     nested = (mate >= 0) & (_covered(segment[is_angle], at[is_angle], mate, turn) > 0)
     out[at[is_angle[nested]]] = np.where(turn[nested] > 0, INNER_LESS, INNER_MORE)
     end_of = np.full(len(code) + 1, len(code), dtype=np.int64)

@@ -63,6 +63,33 @@ def closing_partner(steps: pa.Array) -> pa.Array:
     return lists(out, offsets)
 
 
+@F.arrow_udf(INTEGERS)
+def next_known(numbers: pa.Array) -> pa.Array:
+    """For each element the first one at or after it that is not negative, else -1."""
+    values, offsets = rows(numbers)
+    low, high = offsets[0], offsets[-1]
+    known = values[low:high] >= 0
+    place = np.where(known, np.arange(high - low), high - low)
+    place = np.minimum.accumulate(place[::-1])[::-1]
+    end = np.repeat(offsets[1:] - low, np.diff(offsets))
+    out = np.full(len(values), -1, dtype=np.int32)
+    found = place < end
+    out[low:high][found] = values[low:high][place[found]]
+    return lists(out, offsets)
+
+
+@F.arrow_udf(INTEGERS)
+def last_marked(flags: pa.Array) -> pa.Array:
+    """For each element the index of the last positive one up to it, else -1."""
+    values, offsets = rows(flags)
+    low, high = offsets[0], offsets[-1]
+    begin = np.repeat(offsets[:-1] - low, np.diff(offsets))
+    place = np.maximum.accumulate(np.where(values[low:high] > 0, np.arange(high - low), -1))
+    out = np.full(len(values), -1, dtype=np.int32)
+    out[low:high] = np.where(place >= begin, place - begin, -1)
+    return lists(out, offsets)
+
+
 _SPANS = T.ArrayType(
     T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.nesting import last_marked, next_known
 from codeloom.functions.text import join_slice, none_if_blank, none_if_empty, stem, strip
 from codeloom.operators.extract.common import carried, explode_spans, finish
 from codeloom.operators.extract.sql import sql_tables
@@ -73,57 +74,24 @@ def _tag_lines(lines: Column) -> Column:
     return F.filter(F.transform(lines, look), any_tag)
 
 
-def _pair_tags(marks: Column) -> Column:
-    """Walk the tag lines upwards, remembering the nearest closing line of each tag."""
-    nearest = [F.lit(None).cast("int").alias(t) for t in TAGS]
-    none = F.array().cast("array<struct<tag:string,first:int,last:int>>")
-
-    def step(state: Column, mark: Column) -> Column:
-        closing = {
-            t: F.when(mark[f"close_{t}"], mark["row"]).otherwise(state[t]) for t in TAGS
-        }
-        here = F.filter(
-            F.array(
-                *[
-                    F.when(
-                        mark[f"open_{t}"],
-                        F.struct(
-                            F.lit(t).alias("tag"),
-                            mark["row"].alias("first"),
-                            F.coalesce(closing[t], mark["row"]).alias("last"),
-                        ),
-                    )
-                    for t in TAGS
-                ]
-            ),
-            lambda b: b.isNotNull(),
-        )
-        return F.struct(
-            *[closing[t].alias(t) for t in TAGS], F.concat(here, state["out"]).alias("out")
-        )
+def _opened(marks: Column, nearest: dict[str, Column]) -> Column:
+    """Blocks in order of their lines: each opening tag with the nearest closing line, or its own."""
 
-    return F.aggregate(
-        F.reverse(marks), F.struct(*nearest, none.alias("out")), step, lambda state: state["out"]
-    )
-
-
-def _with_scope(blocks: Column, file_stem: Column) -> Column:
-    """Give each block the name of the last component before it, else the file stem."""
-    none = F.array().cast(
-        "array<struct<tag:string,first:int,last:int,content:string,component:string>>"
-    )
+    def here(mark: Column, i: Column) -> Column:
+        def block(tag: str) -> Column:
+            end = F.get(nearest[tag], i)
+            return F.when(
+                mark[f"open_{tag}"],
+                F.struct(
+                    F.lit(tag).alias("tag"),
+                    mark["row"].alias("first"),
+                    F.when(end >= 0, end).otherwise(mark["row"]).alias("last"),
+                ),
+            )
 
-    def step(state: Column, block: Column) -> Column:
-        name = F.coalesce(block["named"], state["name"])
-        scoped = F.struct(
-            *[block[c].alias(c) for c in ("tag", "first", "last", "content")],
-            name.alias("component"),
-        )
-        return F.struct(name.alias("name"), F.concat(state["out"], F.array(scoped)).alias("out"))
+        return F.filter(F.array(*map(block, TAGS)), lambda b: b.isNotNull())
 
-    return F.aggregate(
-        blocks, F.struct(file_stem.alias("name"), none.alias("out")), step, lambda s: s["out"]
-    )
+    return F.flatten(F.transform(marks, here))
 
 
 def cfml_blocks(
@@ -146,12 +114,29 @@ def cfml_blocks(
             F.when(block["tag"] == "cfcomponent", own).alias("named"),
         )
 
-    found = (
+    marks, blocks = F.col("__marks"), F.col("__named")
+
+    def closing_rows(tag: str) -> Column:
+        return F.transform(marks, lambda m: F.when(m[f"close_{tag}"], m["row"]).otherwise(-1))
+
+    paired = (
         files.select(*keep, F.split("text", "\n").alias("__lines"))
         .withColumn("__marks", _tag_lines(lines))
-        .select(*keep, F.transform(_pair_tags(F.col("__marks")), named).alias("__named"))
-        .select(*keep, _with_scope(F.col("__named"), stem(F.col("file_path"))).alias("__blocks"))
+        .select(*keep, "__lines", "__marks", *[next_known(closing_rows(t)).alias(f"__next_{t}") for t in TAGS])
     )
+    opened = _opened(marks, {t: F.col(f"__next_{t}") for t in TAGS})
+    cut = paired.select(*keep, F.transform(opened, named).alias("__named"))
+    scoped = cut.select(
+        *keep, "__named", last_marked(F.transform(blocks, lambda b: b["named"].isNotNull().cast("int"))).alias("__scope")
+    )
+
+    def in_scope(block: Column, i: Column) -> Column:
+        """The block with the name of the last component up to it, else the file's stem."""
+        last = F.get("__scope", i)
+        component = F.when(last >= 0, F.get(blocks, last)["named"]).otherwise(stem(F.col("file_path")))
+        return F.struct(*[block[c].alias(c) for c in ("tag", "first", "last", "content")], component.alias("component"))
+
+    found = scoped.select(*keep, F.transform(blocks, in_scope).alias("__blocks"))
 
     def with_query(block: Column) -> Column:
         text = F.when(block["tag"] == "cfquery", strip(cfquery_text(block["content"])))

@@ -144,3 +144,59 @@ def test_query_closed_with_blanks_before_the_bracket(blocks):
 
     found = blocks(cfml_blocks, {"a.cfm": '<cfquery name="q">SELECT 1 FROM t</cfquery >'})
     assert [(b["node_type"], b["content"]) for b in found][1:] == [("sql_injection", "SELECT 1 FROM t")]
+
+
+def statements(blocks, text):
+    return [(r["content"], r["block_type"], r["start_line"], r["end_line"]) for r in blocks(sql_blocks, {"a.sql": text})]
+
+
+def test_bodies_and_separator_lines(blocks):
+    text = "CREATE PROCEDURE p AS BEGIN SELECT 1; SELECT 2; END;\nGO\nCREATE TABLE t (a INT);\n"
+    assert statements(blocks, text) == [
+        ("CREATE PROCEDURE p AS BEGIN SELECT 1; SELECT 2; END", "ddl_statement", 1, 1),
+        ("CREATE TABLE t (a INT)", "ddl_statement", 3, 3),
+    ]
+
+
+def test_oracle_routines(blocks):
+    routine = """CREATE OR REPLACE FUNCTION f(a INT) RETURN INT IS
+  n INT := 0; -- BEGIN; not a body
+  CURSOR c IS SELECT 1 FROM dual;
+BEGIN
+  IF a > 1 THEN n := 2; END IF;
+  LOOP n := CASE WHEN n > 3 THEN 1 ELSE 2 END; EXIT; END LOOP;
+  RETURN n;
+END f"""
+    block = "DECLARE\n  x INT;\nBEGIN\n  BEGIN x := 1; END;\nEND"
+    text = f"{routine};\n/\n{block};\n/\nSELECT 'GO\nGO' FROM t WHERE a / 2 > 1;\nDROP TABLE u"
+    assert [(c, k) for c, k, _, _ in statements(blocks, text)] == [
+        (routine, "ddl_statement"),
+        (block, "dml_statement"),
+        ("SELECT 'GO\nGO' FROM t WHERE a / 2 > 1", "dml_statement"),
+        ("DROP TABLE u", "ddl_statement"),
+    ]
+
+
+def test_statements_that_only_look_like_bodies(blocks):
+    text = "BEGIN TRAN; UPDATE a SET begin_at = 1; COMMIT;\nBEGIN; SELECT 1; END\nGO\nSELECT CASE WHEN x = 1 THEN 'END;' END, 2; select 3;\ngo 5\nCREATE PROC q AS SELECT 4; SELECT 5\nGO\nBEGIN SELECT 6; "
+    got = [c for c, _, _, _ in statements(blocks, text)]
+    assert got == [
+        "BEGIN TRAN", "UPDATE a SET begin_at = 1", "COMMIT", "BEGIN", "SELECT 1", "END",
+        "SELECT CASE WHEN x = 1 THEN 'END;' END, 2", "select 3", "CREATE PROC q AS SELECT 4", "SELECT 5", "BEGIN SELECT 6",
+    ]
+
+
+def test_cfml_of_many_functions_is_linear(blocks):
+    """Nearest closing lines and the last component, over a file a fold would walk for minutes."""
+    import time
+
+    n = 4000
+    body = "\n".join(f'<cffunction name="f{i}">\n<cfreturn {i}>\n</cffunction>' for i in range(n))
+    text = f'<cfcomponent displayname="K">\n{body}\n</cfcomponent>\n<cffunction name="open">'
+    started = time.time()
+    rows = blocks(cfml_blocks, {"x.cfc": text})
+    assert time.time() - started < 60
+    assert len(rows) == n + 2 and rows[0]["end_line"] == 3 * n + 2
+    assert (rows[5]["function_name"], rows[5]["start_line"], rows[5]["end_line"]) == ("f4", 14, 16)
+    assert rows[-1]["function_name"] == "open" and rows[-1]["end_line"] == rows[-1]["start_line"]
+    assert {r["component_name"] for r in rows} == {"K"}
