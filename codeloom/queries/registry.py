@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.vectors import cosine_distance
-from codeloom.operators import catalog, files as steps, search as near
-from codeloom.operators.deps import expand_dependencies
+from codeloom.operators import catalog, files as steps, search as near, vector_index
+from codeloom.operators.deps import expand_dependencies, reach_stored
 from codeloom.operators.embed import embed_blocks, embed_query, hashed_words
 from codeloom.operators.extract import (
     cfml_blocks,
@@ -727,6 +727,17 @@ def _ann_search(spark, sf_dir):
     return found.select("id", rounded(F.col("score")).alias("score"))
 
 
+@query("vector_index_search")
+def _vector_index_search(spark, sf_dir):
+    """The ten nearest of every row whose id is divisible by 50, from an index over all rows."""
+    vectors = V.table(spark, sf_dir, "embeddings")
+    path = _new_root(spark, "cells")
+    vector_index.write_vector_index(vectors.select(F.col("vec_id").alias("id"), "embedding"), path)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_index.index_search_batch(spark, path, queries, 10)
+    return found.select("query_id", "rank", "id", rounded(F.col("score")).alias("score"))
+
+
 # --- catalogue and dependencies -------------------------------------------------------
 
 
@@ -792,6 +803,27 @@ def _register_expansion() -> None:
 
 _register_expansion()
 
+
+@query(
+    "expand_stored",
+    f"""with recursive {_bfs_sql(V.DEPS_SQL, "select s_suppkey from supplier where s_nationkey = 7", 3)}
+ select id, cast(level as bigint) level, cast(via as bigint) via from found""",
+)
+def _expand_stored(spark, sf_dir):
+    """Three levels over the names stored with an index, whose rows no level reads."""
+    path = _new_root(spark, "index")
+    graph = V.deps(spark, sf_dir).withColumn("ordinal", F.col("id").cast("int"))
+    rows = graph.withColumns(
+        {"node_type": F.lit("class_declaration"), "language": F.lit("java"), "content": F.lit(""), "end_line": F.col("start_line"), "file_sha256": F.col("file_path")}
+    )
+    block_index.write_blocks(spark, path, rows.drop("id", "s_nationkey"), buckets=8)
+    seeds = block_index.read_index(spark, path, "n7")
+    found = reach_stored(partial(block_index.read_names, spark, path), seeds, 3)
+    if found is None:
+        return seeds.where(F.lit(False)).select(F.col("ordinal").alias("id"), F.lit(0).alias("level"), F.lit(0).alias("via"))
+    return found.select(F.col("ordinal").alias("id"), "level", "via")
+
+
 # Documents as blocks that name each other: every block is class C{id} and injects another.
 # ``{n}`` is the number of documents.
 _LINKED = {

@@ -15,7 +15,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLES)
+    # Cells are fitted, so this one has no SQL; test_search.py measures its recall.
+    assert set(registry.QUERIES) - {"vector_index_search"} == set(registry.ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
