@@ -16,13 +16,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_texts, stage, whole_texts
+from codeloom.llm.common import map_texts, stage, unused, whole_texts
 
 WINDOW = 16
 REACH = 16
 SPAN_CHARS = 96
 _GEAR = np.random.default_rng(8).integers(0, 1 << 16, 256, dtype=np.uint16)
-CHUNKS = "doc_id long, high long, low long, first int, last int"
+CHUNKS = "doc_id long, text_key long, high long, low long, first int, last int"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -50,14 +50,14 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids, counts, firsts, lasts, digests = [], [], [], [], []
+    which, counts, firsts, lasts, digests = [], [], [], [], []
     gap = bytes(WINDOW)
     raws = [text.as_py().encode() for text in batch[1]]
     data = np.frombuffer(gap + gap.join([*raws, b""]), dtype=np.uint8)
     ends = cuts(data)
     chars = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)  # characters up to each byte
     start = WINDOW
-    for doc_id, raw in zip(batch[0].to_pylist(), raws, strict=True):
+    for number, raw in enumerate(raws):
         stop = start + len(raw)
         if raw:
             inner = np.flatnonzero(ends[start : stop - 1]) + 1
@@ -68,15 +68,16 @@ def _chunks(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = chars[np.asarray(edges) + start - 1] - chars[start - 1]
             firsts.append(at[:-1])
             lasts.append(at[1:])
-            ids.append(doc_id)
+            which.append(number)
             counts.append(len(edges) - 1)
         start = stop + WINDOW
     halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-    rows = np.repeat(np.arange(len(ids)), counts)
+    rows = pa.array(np.repeat(np.array(which, dtype=np.int64), counts))
     none = np.zeros(0, dtype=np.int32)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids, pa.int64()).take(pa.array(rows)),
+            batch[0].take(rows),
+            batch[2].take(rows),
             pa.array(np.ascontiguousarray(halves[:, 0]), pa.int64()),
             pa.array(np.ascontiguousarray(halves[:, 1]), pa.int64()),
             pa.array(np.concatenate([none, *firsts]), pa.int32()),
@@ -87,32 +88,35 @@ def _chunks(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, high, low`` (digest), ``first, last`` (code points) of every chunk."""
-    return map_texts(whole_texts(docs), _chunks, CHUNKS)
+    """``doc_id, text_key, high, low`` (digest), ``first, last`` (code points) of every chunk.
+
+    ``text_key`` is a hash of the whole text: different texts may share a ``doc_id``, or have none.
+    """
+    return map_texts(whole_texts(docs).withColumn("text_key", F.xxhash64("text")), _chunks, CHUNKS)
 
 
 def repeated_spans(docs: DataFrame, least: int = SPAN_CHARS) -> DataFrame:
-    """``doc_id, first, last, first_doc_id, first_at, n_chunks, copies, kept``.
+    """``doc_id, text_key, first, last, first_doc_id, first_at, n_chunks, copies, kept``.
 
     One row per maximal run of chunks that occur at least twice, of ``least``
-    characters or more. The occurrence with the smallest (doc_id, first) of a
+    characters or more. The occurrence with the smallest (doc_id, text_key, first) of a
     chunk is the one to keep; a run is broken where kept and repeated chunks
     meet. ``first_doc_id, first_at`` name the kept occurrence of the run's
     first chunk, ``copies`` the most occurrences of any of its chunks. Null and
-    empty texts have no chunks; rows without ``doc_id`` count as copies that
-    come first. Repeated rows are copies of each other with equal spans, kept
-    as one. An empty table gives no rows.
+    empty texts have no chunks; rows without ``doc_id`` come first. Texts that
+    share a ``doc_id`` are apart, each by its ``text_key``; rows equal in both are
+    one occurrence with one set of spans. An empty table gives no rows.
     """
     all_chunks = chunks(docs)
-    place = F.struct("doc_id", "first")
+    place = F.struct("doc_id", "text_key", "first")
     counted = all_chunks.groupBy("high", "low").agg(
         F.count("*").alias("copies"), F.min(place).alias("owner")
     )
     shared = stage(counted.filter("copies > 1"), "chunks")
     found = all_chunks.join(shared, ["high", "low"])
-    owned = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("first") == F.col("owner.first"))
+    owned = place.eqNullSafe(F.col("owner"))
     marked = found.withColumn("kept", owned)
-    along = Window.partitionBy("doc_id").orderBy("first", "last")
+    along = Window.partitionBy("doc_id", "text_key").orderBy("first", "last")
     previous = F.lag("last").over(along)
     same = (F.col("first") <= previous) & (F.col("kept") == F.lag("kept").over(along))
     runs = marked.withColumn("new", F.when(same, 0).otherwise(1)).withColumn(
@@ -123,7 +127,7 @@ def repeated_spans(docs: DataFrame, least: int = SPAN_CHARS) -> DataFrame:
         return F.min_by(column, "first")
 
     return (
-        runs.groupBy("doc_id", "run")
+        runs.groupBy("doc_id", "text_key", "run")
         .agg(
             F.min("first").alias("first"),
             F.max("last").alias("last"),
@@ -139,24 +143,23 @@ def repeated_spans(docs: DataFrame, least: int = SPAN_CHARS) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, least: int = SPAN_CHARS) -> DataFrame:
-    """``docs`` with every repeated span but the kept one cut out of ``text``."""
-    spans = (
+    """``docs`` with every repeated span but the kept one cut out of ``text``.
+
+    All columns stay, whatever their names. Null and empty texts stay as they are,
+    and so do rows equal to one another, which are one occurrence; an empty table gives no rows.
+    """
+    spans, key, of, cut = (unused(docs, name) for name in ("spans", "text_key", "of_doc", "of_key"))
+    found = (
         repeated_spans(docs, least)
         .filter(~F.col("kept"))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_spans"))
-    )
-    edges = F.transform(
-        "_spans",
-        lambda s, i: F.substring(
-            "text",
-            F.coalesce(F.get("_spans", i - 1)["last"], F.lit(0)) + 1,
-            s["first"] - F.coalesce(F.get("_spans", i - 1)["last"], F.lit(0)),
-        ),
-    )
-    tail = F.substring("text", F.element_at("_spans", -1)["last"] + 1, F.length("text"))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        F.concat(F.array_join(edges, ""), tail)
+        .groupBy(F.col("doc_id").alias(of), F.col("text_key").alias(cut))
+        .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(spans))
     )
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["last"], F.lit(0))
+    edges = F.transform(spans, lambda s, i: F.substring("text", before(i) + 1, s["first"] - before(i)))
+    tail = F.substring("text", F.element_at(spans, -1)["last"] + 1, F.length("text"))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(edges, ""), tail))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(key) == F.col(cut))
+    joined = keyed.join(found, same, "left")
     return joined.withColumn("text", text).select(*docs.columns)

@@ -14,7 +14,7 @@ from codeloom.session import stage, work_dir
 SPACE = "\t\n\x0b\x0c\r "
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-__all__ = ["SPACE", "LOWER", "stage", "work_dir", "whole_texts", "table", "new_folder"]
+__all__ = ["SPACE", "LOWER", "stage", "work_dir", "whole_texts", "table", "new_folder", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front while ``docs`` has a column of that name."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import bind
-from codeloom.llm.common import SPACE
+from codeloom.llm.common import SPACE, unused
 
 SYMBOLS = "#*$%&|<>"
 
@@ -174,8 +174,8 @@ def compiled(
     return F.array_compact(F.array(*broken))
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """All columns of ``docs`` and a struct ``quality``.
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, name: str = "quality") -> DataFrame:
+    """All columns of ``docs`` and a struct ``name``.
 
     Its fields are the counts, the ratios, ``base_failed``, ``broken`` (names of
     rules) and ``kept``. A null or empty text has no words and fails the base
@@ -200,7 +200,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
             ),
         )
 
-    return docs.withColumn("quality", bind(_counts(text, lang), verdict))
+    return docs.withColumn(name, bind(_counts(text, lang), verdict))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -210,5 +210,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents no rule rejects, with their columns as they are."""
-    return judge(docs).filter(F.col("quality")["kept"]).drop("quality")
+    """The documents no rule rejects, with their columns as they are, whatever their names."""
+    name = unused(docs, "quality")
+    return judge(docs, name=name).filter(F.col(name)["kept"]).select(*docs.columns)

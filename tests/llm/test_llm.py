@@ -467,3 +467,67 @@ def test_gear_hash_depends_on_its_window_only():
 def test_arrow_batches_without_rows():
     empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], ["a", "b"])
     assert chunk_dedup._chunks(empty).num_rows == 0 and secrets._scan(empty).num_rows == 0
+
+
+CLASHES = ["_row", "row", "spans", "_spans", "_id", "quality", "text_key", "of_doc", "_quality", "sequence"]
+
+
+def test_columns_of_any_name_stay(frame, spark, tmp_path):
+    from codeloom.llm import stages
+
+    leak = prose(60, 500)
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    english = "the cat and the dog of it " + prose(80, 601) + " the end of that is in the book password: hunter2hunter2"
+    docs = frame([english, None, "x " + leak])
+    for n, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(n))
+    for function in (
+        stages.quality_rules,
+        stages.near_duplicate_removal,
+        stages.benchmark_decontamination,
+        stages.secret_redaction,
+        lambda spark, docs, sf_dir: chunk_dedup.remove_repeats(docs),
+    ):
+        after = function(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns
+        row = after.filter("doc_id = 0").first()
+        assert [row[name] for name in CLASHES] == list(range(len(CLASHES)))
+
+
+def test_repeats_of_texts_that_share_an_id(frame):
+    """Different texts with one id, or none, lose what repeats elsewhere and nothing of their own."""
+    passage = [prose(80, 800 + i) for i in range(3)]
+    own = [prose(70, 820 + i) for i in range(6)]
+    texts = [
+        f"{own[0]} {passage[0]} {own[1]}",
+        f"{own[2]} {passage[1]} {own[3]}",
+        f"{passage[0]} {own[4]}",
+        f"{own[5]} {passage[1]}",
+        f"{passage[2]} alone",
+        None,
+        f"{passage[2]} again",
+        f"{passage[2]} again",
+    ]
+    ids = [5, 5, 6, None, None, None, None, None]
+    left = chunk_dedup.remove_repeats(frame(texts, ids)).collect()
+    assert len(left) == len(texts)
+    kept = " ".join(r["text"] or "" for r in left)
+    for part in own:
+        assert kept.count(part) == 1
+    spans = chunk_dedup.repeated_spans(frame(texts, ids)).collect()
+    for r in spans:
+        holders = [t for t, i in zip(texts, ids, strict=True) if t and i == r["doc_id"]]
+        passages = [t[r["first"] : r["last"]] for t in holders]
+        everywhere = " ".join(t for t in texts if t)
+        assert any(len(p) >= chunk_dedup.SPAN_CHARS and everywhere.count(p) > 1 for p in passages)
+
+
+def test_a_very_long_text_passes_every_operator(frame):
+    """One text of 4 MB beside short ones."""
+    long = " ".join(prose(5000, 900 + i) for i in range(8)) * 17
+    docs = frame([long, prose(60, 1), None])
+    assert len(long) > 4_000_000
+    assert quality.quality_report(docs).count() == 3
+    assert chunk_dedup.repeated_spans(docs).filter("doc_id = 0").count() > 0
+    assert secrets.secret_report(docs).count() == 3
+    assert token_counts.count_tokens(docs, JSON, new_folder(docs.sparkSession, "cache")).count() == 3
