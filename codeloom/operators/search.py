@@ -6,16 +6,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.vectors import (
     CHUNK_NUMBERS,
+    as_matrix,
     distance_to,
     matrices,
     row_distances,
 )
+from codeloom.session import stage
 
 # Bytes of query vectors held by a task at a time in a batch search.
 QUERY_BYTES = 32 * 1024 * 1024
@@ -75,45 +79,67 @@ def _candidates(rows: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: in
     return q, r, np.concatenate(exact) if exact else np.zeros(0)
 
 
-def _partial_top(id_type: pa.DataType, qids: list, queries: np.ndarray, k: int):
-    """Task-side top-k: keeps k rows per query over all batches of the partition."""
+def _query_blocks(files: Sequence[str], size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and vectors of the staged queries, at most ``size`` at a time, always cut alike."""
+    for file in files:
+        store, path = pafs.FileSystem.from_uri(file)
+        with store.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(size):
+                if batch.num_rows:
+                    yield batch.column(0), as_matrix(batch.column(1))
+
+
+def _partial_top(id_type: pa.DataType, files: Sequence[str], size: int, k: int):
+    """Task-side top-k of all staged queries over the partition.
+
+    Rows come in chunks of bounded size, and each chunk meets the queries block by
+    block. Of a query a task holds its k best distances, 8 bytes each; what beats
+    them leaves the task at once, so its rows are at most k per query and chunk.
+    """
+
+    def order(row: tuple) -> tuple:
+        return row[0] is None, row[0] is not None and row[0] != row[0], row[0] or 0.0, row[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in qids]
-        bounds = np.full(len(qids), np.inf)
-        order = lambda r: (r[0] is None, r[0] is not None and r[0] != r[0], r[0] or 0.0, r[1])
+        best: dict[int, np.ndarray] = {}
 
-        def keep(q: int, found: list[tuple]) -> None:
-            best[q] = sorted(best[q] + found, key=order)[:k]
-            last = best[q][-1][0]
-            if len(best[q]) == k and last is not None and last == last:
-                bounds[q] = last
+        def meet(ids: pa.Array, rows: np.ndarray, unknown: list) -> Iterator[pa.RecordBatch]:
+            for number, (qids, queries) in enumerate(_query_blocks(files, size)):
+                held = best.setdefault(number, np.full((len(qids), k), np.inf))
+                bounds = held[:, -1]
+                found: dict[int, list[tuple]] = {}
+                # Few enough queries at a time that the distance matrix stays small.
+                width = max(1, CHUNK_NUMBERS // max(1, len(rows)))
+                for start in range(0, len(qids) if len(rows) else 0, width):
+                    part = slice(start, start + width)
+                    q, r, score = _candidates(rows, queries[part], bounds[part], k)
+                    names, scores = ids.take(pa.array(r, pa.int64())).to_pylist(), score.tolist()
+                    edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1)).tolist()
+                    for lo, hi in zip(edges, edges[1:], strict=False):
+                        found[start + int(q[lo])] = list(zip(scores[lo:hi], names[lo:hi], strict=True))
+                for open_ in np.flatnonzero(np.isinf(bounds)).tolist() if unknown else ():
+                    found[open_] = [*found.get(open_, []), *((None, i) for i in unknown)]
+                out = []
+                for at, hits in found.items():
+                    hits = sorted(hits, key=order)[:k]
+                    out += [(at, i, s) for s, i in hits]
+                    real = [s for s, _ in hits if s is not None and s == s]
+                    held[at] = np.sort(np.concatenate([held[at], real]))[:k]
+                if out:
+                    at, i, s = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [qids.take(pa.array(at)), pa.array(i, id_type), pa.array(s, pa.float64(), from_pandas=False)],
+                        ["query_id", "id", "score"],
+                    )
 
         for batch in batches:
             ids, vectors = batch.column(0), batch.column(1)
             present, known = ids.filter(vectors.is_valid()), vectors.drop_null()
             for first, rows in matrices(known):
-                # Few enough queries at a time that the distance matrix stays small.
-                width = max(1, CHUNK_NUMBERS // len(rows))
-                for start in range(0, len(qids), width):
-                    part = slice(start, start + width)
-                    q, r, score = _candidates(rows, queries[part], bounds[part], k)
-                    names = present.take(pa.array(first + r)).to_pylist()
-                    scores = score.tolist()
-                    edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1)).tolist()
-                    for lo, hi in zip(edges, edges[1:]):
-                        keep(start + int(q[lo]), list(zip(scores[lo:hi], names[lo:hi])))
+                yield from meet(present.slice(first, len(rows)), rows, [])
             if len(present) < len(ids):
-                unknown = [(None, i) for i in ids.filter(vectors.is_null()).to_pylist()]
-                for q in range(len(qids)):
-                    keep(q, unknown)
-        rows_out = [(qids[q], i, s) for q in range(len(qids)) for s, i in best[q]]
-        if rows_out:
-            q, i, s = zip(*rows_out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q), pa.array(i, id_type), pa.array(s, pa.float64(), from_pandas=False)],
-                ["query_id", "id", "score"],
-            )
+                unknown = sorted(ids.filter(vectors.is_null()).to_pylist())[:k]
+                yield from meet(present.slice(0, 0), np.zeros((0, 1)), unknown)
 
     return run
 
@@ -127,13 +153,11 @@ def search_batch(
 ) -> DataFrame:
     """Exact nearest blocks for many queries: query_id, rank, id, score.
 
-    Query vectors travel with the plan only up to QUERY_BYTES; more queries are
-    split by hash into groups of that size, each scanning the index once. Tasks
-    return k rows per query, so the final ranking shuffles no embeddings.
+    The queries are staged in the shared folder and read there by the tasks, so
+    they pass neither through the driver nor through the plan, and one scan of the
+    index serves any number of them. The final ranking shuffles no embeddings.
     """
     rows = metadata_filter(index, language, node_type).select("id", "embedding")
-    size = queries.agg(F.count("*"), F.sum(F.size("embedding") * 8 + 64)).first()
-    groups = max(1, -(-(size[1] or 0) // QUERY_BYTES))
     out_type = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -142,26 +166,13 @@ def search_batch(
         ]
     )
     id_type = pa.int64() if isinstance(index.schema["id"].dataType, T.LongType) else pa.string()
-    tops = []
-    for g in range(groups):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
-        held = part.select("query_id", "embedding").collect()  # QUERY_BYTES at most, by count above
-        if not held:
-            continue
-        matrix = np.array([r["embedding"] for r in held], dtype=np.float64)
-        tops.append(
-            rows.mapInArrow(_partial_top(id_type, [r["query_id"] for r in held], matrix, k), out_type)
-        )
-    if not tops:
-        return index.sparkSession.createDataFrame([], out_type).select(
-            "query_id", F.lit(0).alias("rank"), "id", "score"
-        )
-    merged = tops[0]
-    for top in tops[1:]:
-        merged = merged.unionByName(top)
+    staged = stage(queries.select("query_id", "embedding"), "queries")
+    width = staged.agg(F.max(F.size("embedding"))).first()[0] or 1
+    size = max(1, QUERY_BYTES // (8 * max(1, width)))
+    found = rows.mapInArrow(_partial_top(id_type, sorted(staged.inputFiles()), size, k), out_type)
     ranked = Window.partitionBy("query_id").orderBy(*best_first())
     return (
-        merged.withColumn("rank", F.row_number().over(ranked))
+        found.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "id", "score")
     )

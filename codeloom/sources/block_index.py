@@ -14,6 +14,7 @@ published with its rows, and expansions read it instead of them.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -207,3 +208,30 @@ def purge(spark: SparkSession, path: str, prefix: str | None = None) -> None:
     if touched:
         kept = _read(spark, path, state, [str(b) for b in touched]).where(~doomed)
         _commit(_with_bucket(kept, state), path, state, touched, spark)
+
+
+def rebucket(spark: SparkSession, path: str, buckets: int) -> None:
+    """Write all rows again in another number of buckets and publish that as one new state."""
+    state = _manifest(spark, path)
+    rows = _read(spark, path, state, list(state["folders"]))
+    empty = {**state, "buckets": buckets, "folders": {}}
+    _commit(_with_bucket(rows, empty), path, empty, [], spark)
+
+
+def remove_superseded(spark: SparkSession, path: str, older_than: float = 86_400) -> list[str]:
+    """Delete the folders no current state names, once they are ``older_than`` seconds old.
+
+    Younger ones may belong to a write that is not published yet, or be read by a
+    query that began before the last one. Returns the folders deleted.
+    """
+    used = set(_manifest(spark, path)["folders"].values())
+    used |= {_names_of(folder) for folder in used}
+    now, gone = time.time(), []
+    for kind in ("data", "names"):
+        fs, where = _fs(spark, f"{path}/{kind}")
+        for status in fs.listStatus(where) if fs.exists(where) else []:
+            folder = f"{kind}/{status.getPath().getName()}"
+            if folder not in used and now - status.getModificationTime() / 1000 >= older_than:
+                fs.delete(status.getPath(), True)
+                gone.append(folder)
+    return sorted(gone)

@@ -197,3 +197,17 @@ def test_a_file_too_large_for_a_row_is_one_error(spark, tree):
     listed = discover_files(spark, tree).where("file_path like '%.sql'")
     rows = {r["file_path"]: r for r in read_files(listed, tree, 1000).select("file_path", "error").collect()}
     assert "2147483658 bytes" in rows[huge]["error"] and rows[tree + "/.git/x.sql"]["error"] is None
+
+
+def test_buckets_change_and_superseded_folders_go(spark, tree, tmp_path):
+    target = str(tmp_path / "index")
+    ingest(spark, tree, target, hashed_words(16), buckets=4)
+    before = {r["id"] for r in read_index(spark, target).collect()}
+    block_index.rebucket(spark, target, 2)
+    assert {r["id"] for r in read_index(spark, target).collect()} == before
+    path = tree + "/a/A.java"
+    assert read_index(spark, target, path).count() == 2 and block_index.has_names(spark, target)
+    assert block_index.remove_superseded(spark, target) == []  # too young
+    gone = block_index.remove_superseded(spark, target, 0)
+    assert len(gone) == 2 and {g.split("/")[0] for g in gone} == {"data", "names"}
+    assert {r["id"] for r in read_index(spark, target).collect()} == before
