@@ -182,11 +182,13 @@ def _leading(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return placed.select("value.v", "rep", "n", "g", at.alias("at"), first.alias("first"))
 
 
-def _open_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a leading value and may be similar.
+def _open_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components, of sets that share a leading value.
 
     In each list the members of its largest component meet only the others.
-    These are dealt in blocks of ``BLOCK``, each of which meets all members.
+    These are dealt in blocks of ``BLOCK``, each of which meets all members. The
+    whole sets travel with the members and decide in the join, so that no pair
+    comes out of it but a link.
     """
     leading = stage(_leading(rest, sets, percent), "leading")
     per_group = leading.groupBy("v", "g").agg(F.count("*").alias("members"))
@@ -196,8 +198,8 @@ def _open_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     strays = F.col("c") - F.col("largest.members")
     blocks = F.ceil(strays / BLOCK).cast("int")
     split = lists.filter("groups > 1").select("v", F.col("largest.g").alias("main"), blocks.alias("blocks"))
-    members = leading.join(split, "v")
-    member = F.struct("rep", "n", "g", "at", "first")
+    members = leading.join(split, "v").join(sets, "rep")
+    member = F.struct("rep", "n", "g", "at", "first", "s")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     left = members.filter("g <> main").select("v", block, member.alias("x"))
     right = members.select(
@@ -209,13 +211,11 @@ def _open_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left_over = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     enough = (100 + percent) * left_over >= percent * (F.col("x.n") + F.col("y.n"))
     met = (F.col("v") == F.col("w")) & (F.col("block") == F.col("part")) & (F.col("x.g") != F.col("y.g"))
-    pairs = left.join(right, met & decided & enough)
-    named = pairs.select("x.rep", F.col("x.n").alias("na"), F.col("y.rep").alias("other"), F.col("y.n").alias("nb"))
-    return (
-        named.filter(_sizes_allow(percent))
-        .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-        .distinct()
-    )
+    common = F.size(F.array_intersect("x.s", "y.s"))
+    similar = (100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n"))
+    links = left.join(right, met & decided & enough & similar)
+    named = links.select(F.col("x.rep").alias("one"), F.col("y.rep").alias("other"))
+    return named.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -287,8 +287,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         F.max(F.struct("members", "g"))["g"].alias("main"), F.count("*").alias("groups")
     )
     rest = placed.join(largest.filter("groups > 1"), "v")
-    late = open_pairs.unionByName(_plausible(_open_pairs(rest, sets, percent), classes)).distinct()
-    late = stage(_linked(late, sets, percent), "late")
+    late = _linked(open_pairs, sets, percent).unionByName(_open_links(rest, sets, percent))
+    late = stage(late.distinct(), "late")
     # The first components are nodes now, joined by the late links between their members.
     between = late.join(known("a"), "a", "left").join(known("b"), "b", "left")
     joined_groups = components(between.select(group("a").alias("a"), group("b").alias("b")))
