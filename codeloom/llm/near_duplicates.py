@@ -198,7 +198,8 @@ def _open_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     strays = F.col("c") - F.col("largest.members")
     blocks = F.ceil(strays / BLOCK).cast("int")
     split = lists.filter("groups > 1").select("v", F.col("largest.g").alias("main"), blocks.alias("blocks"))
-    members = leading.join(split, "v").join(sets, "rep")
+    # Sets are wide, so none of these joins goes through the driver, however few they are.
+    members = leading.join(split, "v").join(sets.hint("merge"), "rep")
     member = F.struct("rep", "n", "g", "at", "first", "s")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     left = members.filter("g <> main").select("v", block, member.alias("x"))
@@ -213,7 +214,7 @@ def _open_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = (F.col("v") == F.col("w")) & (F.col("block") == F.col("part")) & (F.col("x.g") != F.col("y.g"))
     common = F.size(F.array_intersect("x.s", "y.s"))
     similar = (100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n"))
-    links = left.join(right, met & decided & enough & similar)
+    links = left.join(right.hint("merge"), met & decided & enough & similar)
     named = links.select(F.col("x.rep").alias("one"), F.col("y.rep").alias("other"))
     return named.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
 
