@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ FIT_BYTES = 64 << 20  # of vectors that centres are fitted on, at most; drawn by
 FIT_ROUNDS = 15
 MOST_CELLS, CENTRE_BYTES = 4096, 32 << 20  # bounds of what tasks and the driver hold of the centres
 GROWTH = 3  # times as many rows that a round may read as those before it
+PRODUCT_NUMBERS = 4_000_000  # of a product of rows and centres, held at a time
 NOWHERE = -1  # the cell of rows whose vector is missing or has no direction
 ANGLES = 16  # classes of a cell's angles between its rows and its centre
 RECALL = 0.9  # expected share of the true nearest rows; see the README for what is measured
@@ -49,10 +51,12 @@ def fit_centres(rows: np.ndarray, cells: int, seed: int = 42) -> np.ndarray:
     """Centres (unit rows) by Lloyd's rounds on unit ``rows``; an empty cell keeps its centre."""
     rng = np.random.default_rng(seed)
     centres = rows[rng.choice(len(rows), cells, replace=False)]
+    step = max(1, PRODUCT_NUMBERS // cells)
     for _ in range(FIT_ROUNDS):
-        nearest = np.argmax(rows @ centres.T, axis=1)
         sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, rows)
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            np.add.at(sums, np.argmax(some @ centres.T, axis=1), some)
         length = np.sqrt((sums * sums).sum(axis=1))
         moved = length > 0
         centres = np.where(moved[:, None], sums / np.maximum(length, 1e-300)[:, None], centres)
@@ -83,6 +87,7 @@ def _fit(index: DataFrame, cells: int | None) -> DataFrame:
         if not parts:
             return
         rows = np.concatenate(parts)
+        parts.clear()
         centres = fit_centres(rows, min(wanted, most, len(rows)))
         spread = effective_dimension(rows)
         yield pa.RecordBatch.from_arrays(
@@ -118,7 +123,7 @@ def write_vector_index(index: DataFrame, path: str, cells: int | None = None) ->
         angle = np.zeros(len(embedding))
         if len(matrix):
             rows, which = _directions(embedding)
-            step = max(1, 4_000_000 // len(matrix))
+            step = max(1, PRODUCT_NUMBERS // len(matrix))
             for low in range(0, len(rows), step):
                 alike = rows[low : low + step] @ matrix.T
                 best = alike.argmax(axis=1)
@@ -140,52 +145,84 @@ def write_vector_index(index: DataFrame, path: str, cells: int | None = None) ->
     told.join(centres, "cell", "left").coalesce(1).write.parquet(f"{path}/cells")
 
 
-def expected_hits(centre_angle: float, kth_angle: float, angles: Sequence[tuple[float, int]], dimension: float) -> float:
-    """Rows of a cell expected to lie nearer to the query than ``kth_angle``.
+@dataclass
+class Cells:
+    """What a search knows of the stored cells; ``owner`` is the place of the cell a class of angles is of."""
+
+    number: np.ndarray
+    n_rows: np.ndarray
+    dimension: np.ndarray
+    owner: np.ndarray
+    angle: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list) -> Cells:
+        classes = [a for row in rows for a in row["angles"]]
+        return cls(
+            np.array([row["cell"] for row in rows], dtype=np.int64),
+            np.array([row["n_rows"] for row in rows], dtype=np.int64),
+            np.array([row["dimension"] for row in rows], dtype=np.float64),
+            np.repeat(np.arange(len(rows)), [len(row["angles"]) for row in rows]),
+            np.array([a["angle"] for a in classes], dtype=np.float64),
+            np.array([a["n"] for a in classes], dtype=np.float64),
+        )
+
+
+def _nearer(
+    centre_angle: np.ndarray, kth_angle: float, angle: np.ndarray, count: np.ndarray, dimension: np.ndarray
+) -> np.ndarray:
+    """Rows of each class of angles expected to lie nearer to the query than ``kth_angle``.
 
     A row at angle r from the centre, in a direction that is even among
     ``dimension``, has a cosine to the query of cos(c) cos(r) + sin(c) sin(r) x, where
     x is close to normal with variance 1 / (dimension - 1).
     """
-    total = 0.0
-    for angle, n in angles:
-        reach = math.sin(centre_angle) * math.sin(angle)
-        short = math.cos(kth_angle) - math.cos(centre_angle) * math.cos(angle)
-        if reach <= 1e-12:
-            total += n if short <= 0 else 0
-            continue
-        x = short / reach
-        total += 0 if x >= 1 else n * 0.5 * math.erfc(x * math.sqrt((dimension - 1) / 2))
-    return total
+    reach = np.sin(centre_angle) * np.sin(angle)
+    short = math.cos(kth_angle) - np.cos(centre_angle) * np.cos(angle)
+    still = reach <= 1e-12
+    hits = np.where(still & (short <= 0), count, 0.0)
+    some = np.flatnonzero(~still & (short < reach))
+    x = short[some] / reach[some] * np.sqrt((dimension[some] - 1) / 2)
+    hits[some] = count[some] * 0.5 * np.fromiter(map(math.erfc, x.tolist()), np.float64, len(x))
+    return hits
 
 
-def next_cells(cells: list, centre_angle: np.ndarray, read: set[int], kth_angle: float, limit: int, recall: float) -> list[int]:
+def expected_hits(centre_angle: float, kth_angle: float, angles: Sequence[tuple[float, int]], dimension: float) -> float:
+    """Rows of a cell, given as classes of angles, expected to lie nearer to the query than ``kth_angle``."""
+    angle, count = np.array(angles, dtype=np.float64).reshape(-1, 2).T
+    return float(_nearer(np.full(len(angle), centre_angle), kth_angle, angle, count, np.full(len(angle), dimension)).sum())
+
+
+def next_cells(cells: Cells, centre_angle: np.ndarray, read: set[int], kth_angle: float, limit: int, recall: float) -> list[int]:
     """The cells to read next, most promising first; none if few enough hits are expected in the rest."""
-    yields = {
-        c["cell"]: (expected_hits(angle, kth_angle, [(a["angle"], a["n"]) for a in c["angles"]], c["dimension"]), c["n_rows"])
-        for c, angle in zip(cells, centre_angle.tolist(), strict=True)
-        if c["cell"] not in read
-    }
-    left, allowed = sum(y for y, _ in yields.values()), (1 - recall) * limit
-    rows = (GROWTH - 1) * sum(c["n_rows"] for c in cells if c["cell"] in read)
+    done = np.isin(cells.number, list(read))
+    rows = (GROWTH - 1) * int(cells.n_rows[done].sum())
+    use = np.flatnonzero(~done[cells.owner])
+    owner = cells.owner[use]
+    hits = _nearer(centre_angle[owner], kth_angle, cells.angle[use], cells.count[use], cells.dimension[owner])
+    yields = np.bincount(owner, hits, len(cells.number))
+    left, allowed = float(yields.sum()), (1 - recall) * limit
     chosen = []
-    for cell in sorted(yields, key=lambda c: (-yields[c][0] / yields[c][1], c)):
+    for at in np.lexsort((cells.number, -yields / cells.n_rows)).tolist():
         if left <= allowed or rows <= 0:
             break
-        chosen.append(cell)
-        left -= yields[cell][0]
-        rows -= yields[cell][1]
+        if done[at]:
+            continue
+        chosen.append(int(cells.number[at]))
+        left -= yields[at]
+        rows -= int(cells.n_rows[at])
     return chosen
 
 
-def first_cells(cells: list, centre_angle: np.ndarray, rows: int) -> list[int]:
+def first_cells(cells: Cells, centre_angle: np.ndarray, rows: int) -> list[int]:
     """The nearest cells that hold so many rows."""
     chosen = []
     for at in np.argsort(centre_angle, kind="stable").tolist():
         if rows <= 0:
             break
-        chosen.append(cells[at]["cell"])
-        rows -= cells[at]["n_rows"]
+        chosen.append(int(cells.number[at]))
+        rows -= int(cells.n_rows[at])
     return chosen
 
 
@@ -224,12 +261,12 @@ def index_search(
     table = spark.read.parquet(f"{path}/cells").where(F.col("cell") != NOWHERE)
     apart = distance_to(query)(F.col("centre"))
     # Numbers about MOST_CELLS cells at most; the centres themselves stay in tasks.
-    cells = table.select("cell", "n_rows", "angles", "dimension", _angle(apart).alias("centre_angle")).orderBy("cell").collect()
+    told = table.select("cell", "n_rows", "angles", "dimension", _angle(apart).alias("centre_angle")).orderBy("cell").collect()
     whole = metadata_filter(read_rows(spark, path), language, node_type)
     probe = np.asarray(query, dtype=np.float64)
-    if not cells or not np.isfinite(probe).all() or not probe.any():
+    if not told or not np.isfinite(probe).all() or not probe.any():
         return search(whole, query, limit)
-    angle = np.array([c["centre_angle"] for c in cells])
+    cells, angle = Cells.of(told), np.array([c["centre_angle"] for c in told])
     read: set[int] = set()
     new, hits = first_cells(cells, angle, 4 * limit), []
     while new:
@@ -238,7 +275,7 @@ def index_search(
         found = search(near.select("id", "embedding"), query, limit).collect()  # ``limit`` rows
         hits = sorted([*hits, *((r["score"], r["id"]) for r in found)])[:limit]
         if len(hits) < limit:
-            new = [c["cell"] for c in cells if c["cell"] not in read]
+            new = [c for c in cells.number.tolist() if c not in read]
         else:
             new = next_cells(cells, angle, read, math.acos(max(-1.0, min(1.0, 1 - hits[-1][0]))), limit, recall)
     if len(hits) < limit:
@@ -258,7 +295,8 @@ def index_search_batch(
     table = spark.read.parquet(f"{path}/cells").where(F.col("cell") != NOWHERE)
     told = table.select("cell", "n_rows", "angles", "dimension", "centre").orderBy("cell").collect()  # CENTRE_BYTES at most
     centres = np.array([c["centre"] for c in told], dtype=np.float64)
-    every = [c["cell"] for c in told]
+    cells = Cells.of(told)
+    every = cells.number.tolist()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells read so far, and those to read next, of each query."""
@@ -266,15 +304,15 @@ def index_search_batch(
             read, kth = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             new: list[list[int]] = [[] for _ in read]
             rows, which = _directions(batch.column(1))
-            for row, at in zip(rows if told else [], which.tolist(), strict=bool(told)):
+            for row, at in zip(rows if every else [], which.tolist(), strict=bool(every)):
                 angle = np.arccos(np.clip(centres @ row, -1, 1))
                 if not read[at]:
-                    new[at] = first_cells(told, angle, 4 * limit)
+                    new[at] = first_cells(cells, angle, 4 * limit)
                 elif kth[at] is None:  # fewer rows met than wanted
                     new[at] = [c for c in every if c not in set(read[at])]
                 else:
                     angle_of_kth = math.acos(max(-1.0, min(1.0, 1 - kth[at])))
-                    new[at] = next_cells(told, angle, set(read[at]), angle_of_kth, limit, recall)
+                    new[at] = next_cells(cells, angle, set(read[at]), angle_of_kth, limit, recall)
             both = [old + more for old, more in zip(read, new, strict=True)]
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(

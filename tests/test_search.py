@@ -346,3 +346,40 @@ def test_stored_names_expand_like_the_rows(spark, tmp_path):
     stored_rows = stored.collect()
     assert [(r["rank"], r["id"], r["is_dependency"]) for r in stored_rows] == [(r["rank"], r["id"], r["is_dependency"]) for r in plain_rows]
     assert '"node_type":"class_declaration"' in stored_rows[0]["metadata"]
+
+
+def test_centres_are_fitted_in_bounded_memory():
+    """No product of all rows and all centres is held, and blocks of rows give the same centres."""
+    import tracemalloc
+
+    from codeloom.operators import vector_index as cells
+
+    rows = np.random.default_rng(5).standard_normal((20_000, 8))
+    rows /= np.sqrt((rows**2).sum(axis=1))[:, None]
+    tracemalloc.start()
+    centres = cells.fit_centres(rows, 2000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centres.shape == (2000, 8) and np.allclose((centres**2).sum(axis=1), 1)
+    assert peak < 100 << 20  # all rows by all centres are 320 MB
+
+
+def test_next_cells_are_the_promising_ones():
+    from codeloom.operators.vector_index import Cells, expected_hits, first_cells, next_cells
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for cell in range(3, 63):
+        angles = [{"angle": float(a), "n": int(n)} for a, n in zip(rng.uniform(0, 1.5, 4), rng.integers(1, 9, 4), strict=True)]
+        rows.append({"cell": cell, "n_rows": sum(a["n"] for a in angles), "angles": angles, "dimension": 16.0})
+    cells, apart = Cells.of(rows), rng.uniform(0.2, 2.0, 60)
+    read = set(first_cells(cells, apart, 40))
+    chosen = next_cells(cells, apart, read, 1.1, 10, 0.9)
+    hits = {
+        r["cell"]: expected_hits(a, 1.1, [(c["angle"], c["n"]) for c in r["angles"]], 16.0)
+        for r, a in zip(rows, apart.tolist(), strict=True)
+        if r["cell"] not in read
+    }
+    size = {r["cell"]: r["n_rows"] for r in rows}
+    best = sorted(hits, key=lambda c: (-hits[c] / size[c], c))
+    assert chosen and chosen == best[: len(chosen)]
