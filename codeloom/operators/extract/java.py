@@ -33,8 +33,8 @@ from codeloom.operators.extract.common import (
 
 # --- lexical pieces ---------------------------------------------------------
 COMMENT = r"(?:/\*(?s:.*?)(?:\*/|\z)|//[^\n]*+)"
-STRING = r'(?:"""(?:[^"\\]|\\(?s:.)|"(?!""))*+"""|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)++\')'
-GAP = rf"(?:\s|{COMMENT})"
+STRING = r'(?:"""(?:[^"\\]++|\\(?s:.)|"(?!""))*+"""|"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)++\')'
+GAP = rf"(?:\s++|{COMMENT})"
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _WORD_END = r"(?![\p{L}\p{N}_$])"
 
@@ -44,18 +44,19 @@ _WORD_END = r"(?![\p{L}\p{N}_$])"
 # these characters (noncharacters) aside for use inside programs.
 MARKS = "".join(map(chr, range(0xFDD1, 0xFDD9)))  # for marks 1 to 8 of functions/brackets
 _BRACKETS = "((((()<>"
-_OUTER = f"(?:[({MARKS[:2]}])"  # an opening parenthesis that lies in no other
-_ANY = f"(?:[({MARKS[:5]}])"
+# Ranges, as single characters of a class beyond Latin-1 are tried one after the other.
+_OUTER = f"(?:[({MARKS[0]}-{MARKS[1]}])"  # an opening parenthesis that lies in no other
+_ANY = f"(?:[({MARKS[0]}-{MARKS[4]}])"
 _BEFORE_MEMBER = f"[{MARKS[0]}{MARKS[3]}]"  # its partner is followed by a member call
-_NO_HEADER = f"[({MARKS[0]}{MARKS[2]}{MARKS[3]}]"  # its partner is not followed by a body
-_ROUND = f"(){MARKS[:6]}"
+_NO_HEADER = f"[({MARKS[0]}{MARKS[2]}-{MARKS[3]}]"  # its partner is not followed by a body
+_ROUND = f"(){MARKS[0]}-{MARKS[5]}"
 
-PARENS = rf"{_OUTER}(?:[^(){MARKS[:2]}\"'/]|{STRING}|{COMMENT}|/)*+\)"
+PARENS = rf"{_OUTER}(?:[^(){MARKS[0]}-{MARKS[1]}\"'/]++|{STRING}|{COMMENT}|/)*+\)"
 _QUALIFIED = rf"@(?!interface{_WORD_END}){NAME}(?:\.{NAME})*+"
 ANNOTATION = rf"{_QUALIFIED}(?:\s*+{PARENS})?+"
-ANGLES = rf"<(?:[^<>{_ROUND}{{}};\"'/@]|{COMMENT}|{ANNOTATION})*+>"
+ANGLES = rf"<(?:[^<>{_ROUND}{{}};\"'/@]++|{COMMENT}|{ANNOTATION})*+>"
 
-_PIECE = r"(?:[^()<>{};\"'/@-]|-(?!>))++"
+_PIECE = r"(?:[^()<>{};\"'/@-]++|-(?!>))++"
 _MARKED = rf"{COMMENT}|{STRING}|{_QUALIFIED}\s*+(?=\()|->|[()<>{{}};]|{_PIECE}|(?s:.)"
 
 
@@ -128,12 +129,12 @@ TYPE = (
 METHOD = (
     rf"{MODIFIERS}(?:{ANGLES}{GAP}*+)?+(?:{ANNOTATION}{GAP}*+)*+{TYPE}{GAP}*+"
     rf"(?!{RESERVED}){NAME}{GAP}*+{PARENS}{GAP}*+(?:\[\s*+\]{GAP}*+)*+"
-    rf"(?:throws{_WORD_END}(?:[^{{}};\"'/]|{COMMENT})*+)?+"
+    rf"(?:throws{_WORD_END}(?:[^{{}};\"'/]++|{COMMENT})*+)?+"
 )
-CLASS = rf"{MODIFIERS}class\s{GAP}*+{NAME}(?:[^{{}};\"'/@{_ROUND}]|{COMMENT}|{ANNOTATION})*+"
-ANNOTATION_TYPE = rf"{MODIFIERS}@interface{_WORD_END}(?:[^{{}};\"'/])*+"
+CLASS = rf"{MODIFIERS}class\s{GAP}*+{NAME}(?:[^{{}};\"'/@{_ROUND}]++|{COMMENT}|{ANNOTATION})*+"
+ANNOTATION_TYPE = rf"{MODIFIERS}@interface{_WORD_END}[^{{}};\"'/]*+"
 FIELD = rf"{MODIFIERS}{TYPE}{GAP}*+(?!{RESERVED}){NAME}(?=\s*+(?:\[\s*+\]\s*+)*+[=;,])"
-IMPORT = rf"import\s(?:[\p{{L}}\p{{N}}_$.*]|{GAP})++;"
+IMPORT = rf"import\s(?:[\p{{L}}\p{{N}}_$.*]++|{GAP})++;"
 
 LEXER = (
     rf"{COMMENT}|{STRING}|\s++|{IMPORT}|{ANNOTATION_TYPE}(?=\{{)|{CLASS}(?=\{{)|{METHOD}(?=[{{;])"
@@ -350,7 +351,7 @@ def java_blocks(files: DataFrame, keep_empty: bool = False) -> DataFrame:
         language=F.when(kind.isNotNull(), F.lit("java")),
         content=content,
         start_line=start,
-        end_line=start + newlines(content),
+        end_line=start + newlines(F.col("__span.content")),
         imports=F.when(kind.isNotNull(), F.col("__imports")),
         annotations=java_annotations(header),
         injects=F.when(is_class, none_if_empty(java_injects(fields))),

@@ -154,3 +154,11 @@ def test_unclosed_brackets_spoil_their_block_only(blocks):
     assert list(named) == ["C", "a", "b", "c", "d"]
     assert named["b"]["annotations"] == ["@A(@B(1))"] and named["b"]["param_types"] == ["P"]
     assert named["d"]["return_type"] == "List<Set<Q>>"
+
+
+def test_patterns_name_marks_as_ranges():
+    """A class that lists characters beyond Latin-1 singly is several times slower on nested headers."""
+    from codeloom.operators.extract import java
+
+    for pattern in (java.LEXER, java.CALLS, java.METHOD, java.CLASS):
+        assert not any(a + b in pattern for a, b in zip(java.MARKS, java.MARKS[1:], strict=False))
