@@ -24,7 +24,7 @@ TABLE_PATTERN = r"(?iU)\b(?:FROM|JOIN|INTO|UPDATE)\s+([\w#]+)"
 
 _COMMENT = r"(?:--[^\n]*+|/\*(?s:.*?)(?:\*/|\z))"
 _QUOTED = r"""(?:'(?:[^']|'')*+'|"(?:[^"]|"")*+"|`[^`]*+`|\$(\w*+)\$(?s:.*?)\$\{tag}\$)"""
-_GAP = rf"(?:\s|{_COMMENT})"
+_GAP = rf"(?:\s++|{_COMMENT})"
 
 
 def _quoted(group: int) -> str:
@@ -53,7 +53,7 @@ PIECE = (
 )
 HAS_BODIES = rf"(?i)(?<![\w#@$])BEGIN{_WORD_END}|{_SEPARATOR}"
 
-STATEMENT = rf"(?:[^;'\"`$/-]|{_COMMENT}|{_quoted(1)}|['\"`$/-])++|;"
+STATEMENT = rf"(?:[^;'\"`$/-]++|{_COMMENT}|{_quoted(1)}|['\"`$/-])++|;"
 
 
 def classify_sql(statement: Column) -> Column:
@@ -133,7 +133,7 @@ def sql_blocks(
     rows = explode_spans(spans, "__spans", keep_empty)
     raw = F.col("__span.raw")
     lead = F.regexp_extract(raw, rf"\A{_GAP}*+", 0)
-    solid = rf"(?:[^\s'\"`$/-]|{_quoted(2)}|(?!{_COMMENT})['\"`$/-])"
+    solid = rf"(?:[^\s'\"`$/-]++|{_quoted(2)}|(?!{_COMMENT})['\"`$/-])"
     placed = rows.select(
         *keep,
         "ordinal",
