@@ -75,13 +75,17 @@ def layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def block_pools(w: Weights, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximum, sum and number of the filter answers in each block of all texts."""
     lengths = np.diff(offsets)
-    blocks, first = layout(lengths)
-    n = int(blocks.sum())
+    blocks, _ = layout(lengths)
+    # The last place of a text reads a stride further; without room for that a block is put behind.
+    more = lengths % BLOCK > BLOCK - STRIDE
+    stored = blocks + more
+    first = np.cumsum(stored) - stored
+    n = int(stored.sum())
     padded = np.full(n * BLOCK + STRIDE, PAD, dtype=np.int16)
     shift = first * BLOCK - offsets[:-1]
     padded[np.arange(len(data)) + np.repeat(shift, lengths)] = data
     # A place counts if it begins inside its text; an empty text has one place.
-    inside = np.clip(np.repeat(lengths, blocks) - (np.arange(n) - np.repeat(first, blocks)) * BLOCK, 0, BLOCK)
+    inside = np.clip(np.repeat(lengths, stored) - (np.arange(n) - np.repeat(first, stored)) * BLOCK, 0, BLOCK)
     places = -(-inside // STRIDE)
     highest = np.zeros((n, FILTERS), dtype=np.float32)
     summed = np.zeros((n, FILTERS), dtype=np.float32)
@@ -92,7 +96,9 @@ def block_pools(w: Weights, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
         answers = answers.reshape(high - low, _PLACES, FILTERS)
         answers = answers * (np.arange(_PLACES)[None, :, None] < places[low:high, None, None])
         highest[low:high], summed[low:high] = answers.max(axis=1), answers.sum(axis=1)
-    return highest, summed, places
+    own = np.ones(n, dtype=bool)
+    own[first[more] + blocks[more]] = False
+    return highest[own], summed[own], places[own]
 
 
 def chunk_blocks(blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
