@@ -27,9 +27,9 @@ from codeloom.llm.components import components
 SKETCH = 64  # values of a sketch
 RETAINED = 48  # of these, values that lead inverted lists
 SHORT = 32
-MISS = 1e-7  # chance that a pair at the similarity wanted lacks more than _lacking
+MISS = 1e-7  # chance that a pair at the similarity wanted lacks more than lacked
+WIDE = 256  # values of a sketch that leaves out pairs of the longest lists, 32 bits each
 BLOCK = 128  # members of a list that one task compares with all others
-ESTIMATE = 0.55  # lowest estimate that goes to the full sets, over five deviations off
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -70,50 +70,62 @@ def _sizes_allow(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def lacked(percent: int) -> int:
-    """Most of ``RETAINED`` values that a class similar enough lacks, but for ``MISS``.
+def lacked(percent: int, values: int) -> int:
+    """Most of a union's lowest ``values`` that similar sets do not share, but for ``MISS``.
 
-    The values that both retain include the shared ones of the union's lowest
-    ``RETAINED``, of which each is shared with a chance of ``percent`` at least.
-    Which of a class's values are rare plays no part: all that is lacked may be.
+    Each is shared with a chance of ``percent`` at least.
     """
     unlike, tail = 1 - percent / 100, 0.0
-    for m in range(RETAINED, 0, -1):
-        tail += math.comb(RETAINED, m) * unlike**m * (1 - unlike) ** (RETAINED - m)
+    for m in range(values, 0, -1):
+        tail += math.comb(values, m) * unlike**m * (1 - unlike) ** (values - m)
         if tail > MISS:
             return m
     return 0
 
 
 def _lacking(percent: int) -> Column:
-    """Most retained values of a class of ``n`` that a similar class does not retain."""
+    """Most retained values of a class of ``n`` that a similar class does not retain.
+
+    The values that both retain include the shared ones of the union's lowest
+    ``RETAINED``. Which of a class's values are rare plays no part: all that is
+    lacked may be.
+    """
     exact = F.col("n") - F.ceil(F.col("n") * percent / 100)  # both sets are retained whole
     whole = 100 * F.col("n") <= RETAINED * percent
-    return F.when(whole, exact).otherwise(lacked(percent)).cast("int")
+    return F.when(whole, exact).otherwise(lacked(percent, RETAINED)).cast("int")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """``v, rep, n, c, rare``: members of all lists of two or more classes.
+    """``rep, n, values, rare`` of each class in a list of two or more classes.
 
-    ``c`` is the list's length, ``rare`` the number of the class's retained
-    values that lead no long list.
+    ``values`` are the class's retained values that lead such lists, with the
+    list's length ``c``, the rarest first (at most ``RETAINED``); ``rare`` is the
+    number of its retained values that lead no long list.
     """
     entries = classes.select("rep", "n", F.explode(F.slice("sketch", 1, RETAINED)).alias("v"))
     lengths = entries.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = stage(entries.join(lengths, "v"), "lists")
-    common = shared.groupBy("rep").agg(F.count_if(F.col("c") > SHORT).alias("common"))
-    rare = F.least("n", F.lit(RETAINED)) - F.col("common")
-    return stage(shared.join(common, "rep").select("v", "rep", "n", "c", rare.alias("rare")), "lists")
+    values = F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values")
+    lists = entries.join(lengths, "v").groupBy("rep", "n").agg(values)
+    common = F.size(F.filter("values", lambda x: x["c"] > SHORT))
+    return stage(lists.withColumn("rare", F.least("n", F.lit(RETAINED)) - common), "lists")
 
 
 def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the short lists that share as many rare values as similar ones must."""
-    short = lists.filter(F.col("c") <= SHORT).withColumn("least", F.col("rare") - _lacking(percent))
-    a = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"))
-    b = short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"))
-    pairs = a.join(b, "v").filter((F.col("a") < F.col("b")) & _sizes_allow(percent))
-    overlaps = pairs.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("overlap"))
-    return overlaps.filter(F.col("overlap") >= F.greatest("la", "lb")).select("a", "b", "na", "nb")
+    """``a, b, least``: a row for each short list that a pair shares.
+
+    A similar pair shares ``least`` of them, as both lack few of their rare values.
+    """
+    short = F.explode(F.filter("values", lambda x: x["c"] <= SHORT)).alias("value")
+    least = F.col("rare") - _lacking(percent)
+    members = lists.select("rep", "n", least.alias("least"), short).groupBy("value.v").agg(
+        F.collect_list(F.struct("rep", "n", "least")).alias("all")  # at most SHORT
+    )
+    one = members.select("all", F.explode("all").alias("x"))
+    pairs = one.select("x", F.explode(F.filter("all", lambda y: y["rep"] > F.col("x.rep"))).alias("y"))
+    sized = pairs.withColumns({"na": F.col("x.n"), "nb": F.col("y.n")}).filter(_sizes_allow(percent))
+    return sized.select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.greatest("x.least", "y.least").alias("least")
+    )
 
 
 def _common_entries(lists: DataFrame, percent: int) -> DataFrame:
@@ -123,32 +135,60 @@ def _common_entries(lists: DataFrame, percent: int) -> DataFrame:
     similar class has one of these among its own rarest. Values that no other
     class has are the rarest of all and lead nothing.
     """
-    values = lists.filter(F.col("rare") <= _lacking(percent)).groupBy("rep", "n").agg(
-        F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"),  # at most RETAINED
-        F.avg("c").alias("mass"),
-    )
     own = F.least("n", F.lit(RETAINED)) - F.size("values")
-    wanted = _lacking(percent) + 1 - own
+    wanted = F.greatest(_lacking(percent) + 1 - own, F.lit(0))
+    mass = F.aggregate("values", F.lit(0).cast("long"), lambda sum, x: sum + x["c"]) / F.size("values")
     return (
-        values.select("rep", "n", "mass", F.inline(F.slice("values", F.lit(1), wanted)))
+        lists.filter(F.col("rare") <= _lacking(percent))
+        .select("rep", "n", mass.alias("mass"), F.inline(F.slice("values", F.lit(1), wanted)))
         .filter(F.col("c") > SHORT)
         .select("v", "rep", "n", "mass")
     )
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _spokes(common: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the members of each long list with two of them.
+
+    These are the one whose values are the most common of all, as copies differ
+    least from their original, and one by chance.
+    """
+    end = [F.col("rep").alias("b"), F.col("n").alias("nb")]
+    typical = F.max(F.struct("mass", (-F.col("rep")).alias("order"), *end))
+    drawn = F.min(F.struct(F.xxhash64("rep", "v").alias("draw"), *end))
+    heads = common.groupBy("v").agg(typical.alias("typical"), drawn.alias("drawn"))
+    ends = F.array(*[F.struct(f"{head}.b", f"{head}.nb") for head in ("typical", "drawn")])
+    met = common.join(heads, "v").select(F.col("rep").alias("a"), F.col("n").alias("na"), F.inline(ends))
+    return met.filter((F.col("a") != F.col("b")) & _sizes_allow(percent)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    )
+
+
+def _alike(one: str, other: str, values: int, percent: int, slack: int = 0) -> Column:
+    """Whether the sketch of the union, of ``values``, does not rule the similarity out.
+
+    ``slack`` of the shared values may have been lost, as values got too short.
+    """
+    union = F.slice(F.sort_array(F.array_union(one, other)), 1, values)
+    both = F.array_intersect(one, other)
+
+    def close(union: Column) -> Column:
+        size, shared = F.size(union), F.size(F.array_intersect(union, both)) + slack
+        whole = 100 * shared >= percent * size  # a smaller union is in the sketches as a whole
+        return F.when(size < values, whole).otherwise(size - shared <= lacked(percent, values))
+
+    return bind(union, close)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union's sketch does not rule the similarity out."""
     sketches = classes.select("rep", "sketch")
     joined = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
-    both = F.array_intersect("sa", "sb")
-    estimate = bind(union, lambda u: F.size(F.array_intersect(u, both)) / F.size(u))
-    return joined.filter(estimate >= ESTIMATE).select("a", "b")
+    return joined.filter(_alike("sa", "sb", SKETCH, percent)).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    joined = pairs.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return joined.filter(100 * common >= percent * union).select("a", "b")
@@ -187,8 +227,8 @@ def _open_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     In each list the members of its largest component meet only the others.
     These are dealt in blocks of ``BLOCK``, each of which meets all members. The
-    whole sets travel with the members and decide in the join, so that no pair
-    comes out of it but a link.
+    sketches travel with the members and leave out, in the join, the pairs that
+    cannot be similar; whole sets, far wider, decide the others.
     """
     leading = stage(_leading(rest, sets, percent), "leading")
     per_group = leading.groupBy("v", "g").agg(F.count("*").alias("members"))
@@ -198,9 +238,10 @@ def _open_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     strays = F.col("c") - F.col("largest.members")
     blocks = F.ceil(strays / BLOCK).cast("int")
     split = lists.filter("groups > 1").select("v", F.col("largest.g").alias("main"), blocks.alias("blocks"))
-    # Sets are wide, so none of these joins goes through the driver, however few they are.
-    members = leading.join(split, "v").join(sets.hint("merge"), "rep")
-    member = F.struct("rep", "n", "g", "at", "first", "s")
+    high = F.transform(F.slice("s", 1, WIDE), lambda v: F.shiftright(v, 32).cast("int"))  # in the same order
+    sketches = sets.select("rep", high.alias("sketch"))
+    members = leading.join(split, "v").join(sketches.hint("merge"), "rep")
+    member = F.struct("rep", "n", "g", "at", "first", "sketch")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     left = members.filter("g <> main").select("v", block, member.alias("x"))
     right = members.select(
@@ -212,11 +253,10 @@ def _open_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left_over = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     enough = (100 + percent) * left_over >= percent * (F.col("x.n") + F.col("y.n"))
     met = (F.col("v") == F.col("w")) & (F.col("block") == F.col("part")) & (F.col("x.g") != F.col("y.g"))
-    common = F.size(F.array_intersect("x.s", "y.s"))
-    similar = (100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n"))
-    links = left.join(right.hint("merge"), met & decided & enough & similar)
-    named = links.select(F.col("x.rep").alias("one"), F.col("y.rep").alias("other"))
-    return named.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
+    alike = _alike("x.sketch", "y.sketch", WIDE, percent, slack=2)
+    pairs = left.join(right.hint("merge"), met & decided & enough & alike)
+    named = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return _linked(stage(named.distinct(), "open"), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -240,63 +280,33 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         "classes",
     )
     lists = _lists(classes)
-    near = stage(_plausible(_short_pairs(lists, percent), classes), "pairs")
     common = stage(_common_entries(lists, percent), "common")
+    met = (
+        _short_pairs(lists, percent).withColumn("spoke", F.lit(False))
+        .unionByName(_spokes(common, percent).withColumns({"least": F.lit(None), "spoke": F.lit(True)}))
+        .groupBy("a", "b").agg(F.count("least").alias("overlap"), F.max("least").alias("least"), F.max("spoke").alias("spoke"))
+        .filter("spoke or overlap >= least").select("a", "b")
+    )
+    pairs = stage(_plausible(met, classes, percent), "pairs")
 
-    # In each list two members are compared with all others: the one whose values are the
-    # most common of all, as copies differ least from their original, and one by chance.
-    end = [F.col("rep").alias("b"), F.col("n").alias("nb")]
-    typical = F.max(F.struct("mass", (-F.col("rep")).alias("order"), *end))
-    drawn = F.min(F.struct(F.xxhash64("rep", "v").alias("draw"), *end))
-    heads = common.groupBy("v").agg(typical.alias("typical"), drawn.alias("drawn"))
-    met = common.join(heads, "v").select("rep", "n", F.explode(F.array("typical.b", "drawn.b")).alias("b"), "typical", "drawn")
-    nb = F.when(F.col("b") == F.col("typical.b"), F.col("typical.nb")).otherwise(F.col("drawn.nb"))
-    spokes = (
-        met.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", nb.alias("nb"))
-        .filter((F.col("a") != F.col("b")) & _sizes_allow(percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    spokes = _plausible(spokes, classes)
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = stage(first.unionByName(spokes).distinct(), "first")
-
-    # Full sets of the classes any later comparison needs, read from their texts once.
-    needed = near.select("a").union(near.select("b")).union(common.select("rep")).toDF("doc_id")
+    # Full sets of the classes any comparison needs, read from their texts once.
+    needed = pairs.select("a").union(pairs.select("b")).union(common.select("rep")).toDF("doc_id")
     needed = stage(needed.distinct(), "needed")  # sent to every task only if Spark finds it small
     sets = stage(
         texts.join(needed, "doc_id")
         .select(F.col("doc_id").alias("rep"), shingles(F.col("text"), size).alias("s")),
         "sets",
     )
-    found = stage(_linked(first, sets, percent), "found")
-
-    groups = components(found)
-    known = lambda side: groups.toDF(side, f"g{side}")
-    group = lambda side: F.coalesce(f"g{side}", side)
-    open_pairs = stage(
-        near.join(known("a"), "a", "left").join(known("b"), "b", "left")
-        .filter(group("a") != group("b")).select("a", "b"),
-        "open",
-    )
-    placed = stage(
-        common.join(known("rep"), "rep", "left").select("v", "rep", "n", group("rep").alias("g")),
-        "placed",
-    )
-    per_group = placed.groupBy("v", "g").agg(F.count("*").alias("members"))
-    largest = per_group.groupBy("v").agg(
-        F.max(F.struct("members", "g"))["g"].alias("main"), F.count("*").alias("groups")
-    )
-    rest = placed.join(largest.filter("groups > 1"), "v")
-    late = _linked(open_pairs, sets, percent).unionByName(_open_links(rest, sets, percent))
-    late = stage(late.distinct(), "late")
-    # The first components are nodes now, joined by the late links between their members.
-    between = late.join(known("a"), "a", "left").join(known("b"), "b", "left")
-    joined_groups = components(between.select(group("a").alias("a"), group("b").alias("b")))
-    whole = groups.join(joined_groups.toDF("component", "root"), "component", "left")
-    final = whole.select("node", F.coalesce("root", "component").alias("component")).unionByName(
-        joined_groups.join(groups, "node", "left_anti")
-    )
+    groups = components(stage(_linked(pairs, sets, percent), "found"))
+
+    # Long lists of several components: their members go on by their whole sets.
+    placed = common.join(groups.toDF("rep", "g"), "rep", "left").select("v", "rep", F.coalesce("g", "rep").alias("g"))
+    placed = stage(placed, "placed")
+    mixed = placed.groupBy("v").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
+    rest = placed.join(mixed.select("v"), "v", "left_semi")
+    late = stage(_open_links(rest, sets, percent), "late")
+    stars = groups.filter("node <> component").toDF("a", "b")
+    final = groups if late.isEmpty() else components(stars.unionByName(late))
 
     members = (
         classes.join(final.toDF("rep", "component"), "rep", "left")

@@ -27,6 +27,7 @@ from codeloom.llm import (
     token_records,
 )
 from codeloom.llm.common import new_folder
+from codeloom.llm.components import components
 from codeloom.llm.encoder import encoder
 from codeloom.llm.queries import BYTE_BPE, tokenizer_path
 
@@ -356,6 +357,26 @@ def test_texts_of_a_template_that_are_not_alike_never_meet(frame, spark):
     assert near_duplicates._open_links(rest, sets, 80).count() == 0
 
 
+def test_components_of_chains_and_repeated_links(spark):
+    """One exchange for both steps of the small star; the last round leaves only stars."""
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (60, 55), (60, 55), (70, 70), (90, 80)]
+    found = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted([*((i, 1) for i in range(1, 41)), (50, 50), (55, 50), (60, 50), (80, 80), (90, 80)])
+
+
+def test_whole_sets_do_not_travel_with_the_members_of_long_lists(frame):
+    """Sketches leave out the pairs; whole sets are joined only with the pairs left."""
+    template = prose(900, 60).split()
+    sets = frame([" ".join([*template, *[f"own{i}x{j}" for j in range(40 + i % 3)]]) for i in range(40)])
+    sets = sets.select(F.col("doc_id").alias("rep"), near_duplicates.shingles(F.col("text"), 4).alias("s"))
+    wide = []
+    linked = near_duplicates._linked
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_duplicates, "_linked", lambda pairs, sets, percent: wide.append(pairs) or linked(pairs, sets, percent))
+        links = near_duplicates._open_links(sets.select("rep", F.col("rep").alias("g")), sets, 80)
+        assert links.count() == 40 * 39 // 2 and wide[0].columns == ["a", "b"]
+
+
 def test_near_duplicates_odd_rows(odd):
     rows = near_duplicates.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) + 2
