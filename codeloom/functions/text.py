@@ -37,7 +37,8 @@ def distinct_matches(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def none_if_empty(names: Column) -> Column:
-    return F.when(F.size(names) > 0, names)
+    # As a filter over one element, so that ``names`` is not worked out a second time.
+    return F.get(F.filter(F.array(names), lambda found: F.size(found) > 0), F.lit(0))
 
 
 def none_if_blank(text: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,34 +33,39 @@ WORD = r"[\p{L}\p{M}\p{N}_]+"
 def hashed_words(dimension: int = DIMENSION) -> ColumnEmbedder:
     """Deterministic embedder: counts of hashed words, scaled to unit length.
 
-    Words are cut and hashed in the JVM; the kernel only counts integers, for
-    a whole Arrow batch at once.
+    Words are cut in the JVM; the kernel hashes each distinct word of an Arrow
+    batch once and counts for the whole batch.
     """
 
-    def unit_counts(slots: pa.Array) -> np.ndarray:
-        rows = len(slots)
-        row = np.repeat(np.arange(rows), np.diff(slots.offsets.to_numpy()))
-        flat = slots.flatten().to_numpy(zero_copy_only=False)
+    def hashed(words: pa.Array) -> np.ndarray:
+        coded = words.dictionary_encode()
+        slots = [int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dimension for w in coded.dictionary.to_pylist()]
+        return np.array(slots, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def unit_counts(row: np.ndarray, flat: np.ndarray, rows: int) -> np.ndarray:
         matrix = np.bincount(row * dimension + flat, minlength=rows * dimension)
         matrix = matrix.reshape(rows, dimension).astype(np.float64)
         length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         return np.divide(matrix, length, out=matrix, where=length > 0).astype(np.float32)
 
     @F.arrow_udf(EMBEDDING)
-    def count(slots: pa.Array) -> pa.Array:
-        rows = len(slots)
-        parts = [unit_counts(slots.slice(i, 512)).ravel() for i in range(0, rows, 512)]
+    def count(words: pa.Array) -> pa.Array:
+        rows = len(words)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        slots = hashed(words.flatten())
+        parts = []
+        for low in range(0, rows, 512):
+            high = min(low + 512, rows)
+            row = np.repeat(np.arange(high - low), sizes[low:high])
+            parts.append(unit_counts(row, slots[ends[low] : ends[high]], high - low).ravel())
         return pa.ListArray.from_arrays(
             pa.array(np.arange(rows + 1) * dimension, pa.int32()),
             pa.array(np.concatenate(parts) if parts else np.zeros(0, np.float32)),
         )
 
     def embed(text: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-        slot = lambda w: F.pmod(
-            F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dimension)
-        ).cast("int")
-        return count(F.transform(words, slot))
+        return count(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
     return embed
 

@@ -234,7 +234,9 @@ def java_calls(body: Column) -> Column:
 
 
 def _is_method(token: Column) -> Column:
-    return token.rlike(_OUTER) & token.rlike(rf"\A{METHOD}\z")
+    # Most tokens hold no such parenthesis, which is found out without decoding them.
+    outer = token.contains("(") | token.contains(MARKS[0]) | token.contains(MARKS[1])
+    return outer & token.rlike(rf"\A{METHOD}\z")
 
 
 def _directly_in(inner: Column, outer: Column) -> Column:
@@ -249,8 +251,14 @@ def _directly_in(inner: Column, outer: Column) -> Column:
 def _declarations(toks: Column, partner: Column, depth: Column) -> Column:
     """Headers of classes, methods, annotation types and injected fields, in order."""
 
-    def look(t: Column, i: Column) -> Column:
+    # Most tokens are ruled out by what follows them, before anything is matched.
+    def candidate(t: Column, i: Column) -> Column:
         follower = F.get(toks, i + 1)
+        found = (F.octet_length(t) > 1) & (follower.isin("{", ";") | t.contains("@Inject"))
+        return F.when(found, F.struct(i.alias("i"), t.alias("t"), follower.alias("follower")))
+
+    def look(c: Column) -> Column:
+        t, i, follower = c["t"], c["i"], c["follower"]
         opens = follower == "{"
         kind = (
             F.when(opens & t.contains("class") & t.rlike(rf"\A{CLASS}\z"), "class_declaration")
@@ -266,7 +274,8 @@ def _declarations(toks: Column, partner: Column, depth: Column) -> Column:
             t.alias("header"),
         )
 
-    return F.filter(F.transform(toks, look), lambda d: d["kind"].isNotNull())
+    candidates = F.filter(F.transform(toks, candidate), lambda c: c.isNotNull())
+    return F.filter(F.transform(candidates, look), lambda d: d["kind"].isNotNull())
 
 
 def _block_spans(toks: Column, line: Column, decls: Column) -> Column:

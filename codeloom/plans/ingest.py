@@ -60,16 +60,16 @@ def extract_blocks(
 def _read_and_extract(files: DataFrame, root: str, sql_dialect: str) -> DataFrame:
     """Blocks of files on disk, one NULL block for a file without any.
 
-    Paths are split by family before their contents are read, so each file is
-    read once although every family is a job of its own.
+    ``files`` (file_path, family, length) should be staged: paths are split by family
+    before their contents are read, so each file is read once although every family is
+    a job of its own.
     """
-    routed = steps.route(files)
-    sizes = {r["family"]: r["bytes"] for r in routed.groupBy("family").agg(F.sum("length").alias("bytes")).collect()}
+    sizes = {r["family"]: r["bytes"] for r in files.groupBy("family").agg(F.sum("length").alias("bytes")).collect()}
     jobs = extraction_jobs(sql_dialect)
     names = [*[f.name for f in BLOCKS.fields], "file_sha256", "family", "error"]
     parts = []
     for family in [f for f in jobs if f in sizes]:
-        read = read_files(routed.where(F.col("family") == family), root, sizes[family])
+        read = read_files(files.where(F.col("family") == family), root, sizes[family])
         texts = read_text(fingerprint(read)).withColumn("family", F.lit(family))
         parts.append(jobs[family](texts, keep_empty=True).select(names))
     if not parts:
@@ -123,7 +123,10 @@ def _index_files(
     listed = found.where(F.col("error").isNull()).drop("error")
     # Hash first and drop the bytes: unchanged files and copies are never shuffled, cut or staged.
     hashed = keep(
-        fingerprint(read_files(listed, root)).select("file_path", "file_sha256", "error"), "hashes"
+        fingerprint(read_files(listed, root)).select(
+            "file_path", "file_sha256", F.length("content").cast("long").alias("length"), "error"
+        ),
+        "hashes",
     )
     fresh, known = hashed.where(F.col("error").isNull()), None
     if index_exists(spark, index_path):
@@ -132,40 +135,41 @@ def _index_files(
         fresh = fresh.join(survivors, "file_path", "left_semi")
 
     # One file of each content and family is cut, and another only if that one cannot be read now.
-    copies = keep(steps.route(fresh.drop("error")).select("file_path", "file_sha256", "family"), "copies")
+    copies = keep(steps.route(fresh.drop("error")).select("file_path", "file_sha256", "family", "length"), "copies")
     cut, tried = None, None
     while True:
         left = copies if tried is None else copies.join(tried, "file_path", "left_anti")
         if cut is not None:
             settled = cut.where(F.col("error").isNull()).select("file_sha256", "family").distinct()
             left = left.join(settled, ["file_sha256", "family"], "left_anti")
-        elected = keep(left.groupBy("file_sha256", "family").agg(F.min("file_path").alias("file_path")), "elected")
+        alone = left.groupBy("file_sha256", "family", "length").agg(F.min("file_path").alias("file_path"))
+        elected = keep(alone, "elected")
         if cut is not None and elected.isEmpty():
             break
-        paths = listed.join(elected.select("file_path"), "file_path", "left_semi")
-        more = keep(_read_and_extract(paths, root, sql_dialect), "blocks")
+        more = keep(_read_and_extract(elected, root, sql_dialect), "blocks")
         cut = more if cut is None else cut.unionByName(more)
         names = elected.select("file_path")
         tried = names if tried is None else tried.unionByName(names)
         if more.where(F.col("error").isNotNull()).isEmpty():
             break
 
-    per_file = cut.groupBy("file_path").agg(
-        F.first("file_sha256", ignorenulls=True).alias("file_sha256"),
-        F.first("family").alias("family"),
-        F.max("error").alias("error"),
-        F.count("node_type").alias("blocks"),
+    # All rows of a file carry its hash, family and error. Few files lose or fail, so blocks
+    # and vectors are joined with those and not with all others.
+    per_file = keep(
+        cut.groupBy("file_path", "file_sha256", "family", "error").agg(F.count("node_type").alias("blocks")), "per-file"
     )
-    winners = steps.dedupe_batch(per_file.where(F.col("error").isNull())).select("file_path")
-    blocks = cut.where(F.col("node_type").isNotNull()).join(winners, "file_path", "left_semi")
+    filled = per_file.where(F.col("error").isNull() & (F.col("blocks") > 0))
+    winners = steps.dedupe_batch(filled).select("file_path")
+    lost = keep(filled.join(winners, "file_path", "left_anti").select("file_path"), "lost")
+    blocks = cut.where(F.col("node_type").isNotNull() & F.col("error").isNull()).join(lost, "file_path", "left_anti")
     # Vectors may come from a paid service: computed once, then only read.
-    vectors = keep(embed_blocks(blocks, embedder or hashed_words()), "vectors")
-    embedded = vectors.groupBy("file_path").agg(
-        F.count("embedding").alias("vectors"), F.max("embed_error").alias("embed_error")
-    )
-    accepted = embedded.where(F.col("embed_error").isNull()).select("file_path")
+    vectors = embed_blocks(blocks, embedder or hashed_words())
+    vectors = keep(vectors.withColumn("has_vector", F.col("embedding").isNotNull()), "vectors")
+    embedded = vectors.groupBy("file_path").agg(F.count_if("has_vector").alias("vectors"))
+    refusals = vectors.where(F.col("embed_error").isNotNull())
+    refused = keep(refusals.groupBy("file_path").agg(F.max("embed_error").alias("embed_error")), "refused")
     write_blocks(
-        spark, index_path, vectors.join(accepted, "file_path", "left_semi"), buckets
+        spark, index_path, vectors.join(refused.select("file_path"), "file_path", "left_anti"), buckets
     )
 
     # A copy that was not cut has as many blocks as the file cut for it.
@@ -175,10 +179,11 @@ def _index_files(
     facts = (
         listed.select("file_path", F.lit(None).cast("string").alias("unlisted"))
         .unionByName(unlisted)
-        .join(per_file, "file_path", "left")
+        .join(per_file.drop("family"), "file_path", "left")
         .join(alike, "file_path", "left")
         .join(unread, "file_path", "left")
         .join(embedded, "file_path", "left")
+        .join(refused, "file_path", "left")
         .withColumn("blocks", F.coalesce("blocks", "alike"))
         # A directory that could not be listed failed; it is no file without a parser.
         .withColumn("family", F.when(F.col("unlisted").isNotNull(), "directory").otherwise(steps.language_family(F.col("file_path"))))

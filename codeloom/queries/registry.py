@@ -216,11 +216,14 @@ def _write_tree(texts: DataFrame, root: str) -> None:
     """Write (file_path, text) rows as files below ``root`` from the tasks."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
+        done, made = 0, set()
         for batch in batches:
             for path, text in zip(*(batch.column(n).to_pylist() for n in (0, 1))):
                 target = os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(target, "w", encoding="utf-8", newline="") as handle:
                     handle.write(text)
                 done += 1
@@ -298,7 +301,9 @@ def _ingest_job(spark, sf_dir):
         F.expr(V.PAGE_PATH).alias("file_path"), F.col("html").alias("text")
     )
     sources = [V.corpus(spark, sf_dir, f) for f in ("java", "jsx", "cfml")]
-    _write_tree(reduce(DataFrame.unionByName, sources, pages), root)
+    # Tasks wait for each other while they add files to one folder, so there are several.
+    spread_out = F.expr("concat('m', pmod(hash(file_path), 64), '/', file_path)")
+    _write_tree(reduce(DataFrame.unionByName, sources, pages).withColumn("file_path", spread_out), root)
     job = ingest(spark, root, target, hashed_words(64), buckets=8)
     listed = catalog.list_indexed_files(block_index.read_index(spark, target)).agg(
         F.count("*").alias("files_listed"), F.sum("block_count").alias("blocks_listed")

@@ -190,10 +190,11 @@ def write_blocks(
     touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # one row per bucket
     if not touched:
         return
-    old = _read(spark, path, state, [str(b) for b in touched])
-    replaced = fresh.select("file_path").distinct()
-    kept = _with_bucket(old.join(replaced, "file_path", "left_anti"), state)
-    _commit(kept.unionByName(fresh), path, state, touched, spark)
+    if state["folders"].keys() & {str(b) for b in touched}:
+        old = _read(spark, path, state, [str(b) for b in touched])
+        replaced = fresh.select("file_path").distinct()
+        fresh = _with_bucket(old.join(replaced, "file_path", "left_anti"), state).unionByName(fresh)
+    _commit(fresh, path, state, touched, spark)
 
 
 def purge(spark: SparkSession, path: str, prefix: str | None = None) -> None:

@@ -21,6 +21,9 @@ _ENTRY = "file_path string, is_dir boolean, length long, error string"
 _CONTENT = "file_path string, content binary, error string"
 # Directories one task lists before it hands the rest back for redistribution.
 DIRECTORIES_PER_TASK = 2000
+# Files one task lists before it hands the rest back, in the first round; later rounds list
+# four times as many each, so that few rounds reach any size.
+FILES_PER_TASK = 10_000
 # Bytes of file content per Arrow batch, and per task, while reading.
 BATCH_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 256 * 1024 * 1024
@@ -106,7 +109,7 @@ def _message(problem: Exception) -> str:
     return f"{type(problem).__name__}: {problem}"
 
 
-def _lister(root: str | None):
+def _lister(root: str | None, most: int):
     """Kernel: walks the given directories; unvisited ones beyond the budget come back as rows.
 
     A directory that cannot be listed is one row with an error; what was found
@@ -116,9 +119,9 @@ def _lister(root: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _Mount() if root is None else _Store(root)
         pending = [d for batch in batches for d in batch.column(0).to_pylist()]
-        budget = DIRECTORIES_PER_TASK
+        budget, files = DIRECTORIES_PER_TASK, 0
         rows: list[tuple[str, bool, int, str | None]] = []
-        while pending and budget > 0:
+        while pending and budget > 0 and files < most:
             budget -= 1
             folder = pending.pop()
             try:
@@ -127,6 +130,7 @@ def _lister(root: str | None):
                         pending.append(path)
                     else:
                         rows.append((path, False, size, None))
+                        files += 1
                     if len(rows) >= ROWS:
                         yield _batch(rows, _ENTRY)
                         rows = []
@@ -163,9 +167,9 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         return listed.where(supported(F.col("file_path")))
     slots = spark.sparkContext.defaultParallelism
     frontier = spark.createDataFrame([(root.rstrip("/") if path is None else path,)], "file_path string")
-    kernel = _lister(root if path is None else None)
     rounds = []
     while True:
+        kernel = _lister(root if path is None else None, FILES_PER_TASK * 4 ** len(rounds))
         listing = stage(frontier.repartition(slots).mapInArrow(kernel, _ENTRY), "listing")
         rounds.append(listing.where(~F.col("is_dir")).select("file_path", "length", "error"))
         frontier = listing.where("is_dir").select("file_path")
