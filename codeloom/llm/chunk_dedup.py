@@ -50,6 +50,10 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    if not batch.num_rows:
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        fields = [c.split() for c in CHUNKS.split(", ")]
+        return pa.RecordBatch.from_pylist([], pa.schema([(name, kinds[kind]) for name, kind in fields]))
     which, counts, firsts, lasts, digests = [], [], [], [], []
     gap = bytes(WINDOW)
     raws = [text.as_py().encode() for text in batch[1]]
