@@ -21,7 +21,7 @@ from codeloom.operators.extract import (
     sql_blocks,
 )
 from codeloom.schema import BLOCKS, FILE_OUTCOMES, conform
-from codeloom.session import stage, staging_area
+from codeloom.session import shuffles_freed, stage, staging_area
 from codeloom.sources.block_index import BUCKETS, index_exists, read_index, write_blocks
 from codeloom.sources.files import check_root, fingerprint, list_files, read_files, read_text
 
@@ -99,8 +99,9 @@ def ingest(
         outcomes = spark.createDataFrame([], FILE_OUTCOMES)
         return IngestJob("failed", outcomes, steps.job_metrics(outcomes))
 
-    # The large intermediate tables live in an area of this run; outcomes outlive it.
-    with staging_area(spark) as keep:
+    # The intermediate tables live in an area of this run, the large ones in areas of the steps
+    # that read them; outcomes outlive them all.
+    with staging_area(spark) as keep, shuffles_freed(spark):
         facts = _index_files(spark, root, index_path, embedder, sql_dialect, buckets, keep)
         outcomes = stage(conform(steps.file_outcomes(facts), FILE_OUTCOMES), "outcomes")
     return IngestJob(
@@ -108,6 +109,28 @@ def ingest(
     )
 
 
+def _cut(
+    copies: DataFrame, root: str, sql_dialect: str, keep: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
+    """Blocks of one file of each content and family; another is cut only if that one cannot be read now."""
+    cut, tried = None, None
+    while True:
+        left = copies if tried is None else copies.join(tried, "file_path", "left_anti")
+        if cut is not None:
+            settled = cut.where(F.col("error").isNull()).select("file_sha256", "family").distinct()
+            left = left.join(settled, ["file_sha256", "family"], "left_anti")
+        alone = left.groupBy("file_sha256", "family", "length").agg(F.min("file_path").alias("file_path"))
+        elected = keep(alone, "elected")
+        if cut is not None and elected.isEmpty():
+            return cut
+        more = keep(_read_and_extract(elected, root, sql_dialect), "blocks")
+        cut = more if cut is None else cut.unionByName(more)
+        names = elected.select("file_path")
+        tried = names if tried is None else tried.unionByName(names)
+        if more.where(F.col("error").isNotNull()).isEmpty():
+            return cut
+
+
 def _index_files(
     spark: SparkSession,
     root: str,
@@ -134,43 +157,33 @@ def _index_files(
         known = fresh.join(survivors, "file_path", "left_anti").select("file_path")
         fresh = fresh.join(survivors, "file_path", "left_semi")
 
-    # One file of each content and family is cut, and another only if that one cannot be read now.
-    copies = keep(steps.route(fresh.drop("error")).select("file_path", "file_sha256", "family", "length"), "copies")
-    cut, tried = None, None
-    while True:
-        left = copies if tried is None else copies.join(tried, "file_path", "left_anti")
-        if cut is not None:
-            settled = cut.where(F.col("error").isNull()).select("file_sha256", "family").distinct()
-            left = left.join(settled, ["file_sha256", "family"], "left_anti")
-        alone = left.groupBy("file_sha256", "family", "length").agg(F.min("file_path").alias("file_path"))
-        elected = keep(alone, "elected")
-        if cut is not None and elected.isEmpty():
-            break
-        more = keep(_read_and_extract(elected, root, sql_dialect), "blocks")
-        cut = more if cut is None else cut.unionByName(more)
-        names = elected.select("file_path")
-        tried = names if tried is None else tried.unionByName(names)
-        if more.where(F.col("error").isNotNull()).isEmpty():
-            break
-
-    # All rows of a file carry its hash, family and error. Few files lose or fail, so blocks
-    # and vectors are joined with those and not with all others.
-    per_file = keep(
-        cut.groupBy("file_path", "file_sha256", "family", "error").agg(F.count("node_type").alias("blocks")), "per-file"
-    )
-    filled = per_file.where(F.col("error").isNull() & (F.col("blocks") > 0))
-    winners = steps.dedupe_batch(filled).select("file_path")
-    lost = keep(filled.join(winners, "file_path", "left_anti").select("file_path"), "lost")
-    blocks = cut.where(F.col("node_type").isNotNull() & F.col("error").isNull()).join(lost, "file_path", "left_anti")
-    # Vectors may come from a paid service: computed once, then only read.
-    vectors = embed_blocks(blocks, embedder or hashed_words())
-    vectors = keep(vectors.withColumn("has_vector", F.col("embedding").isNotNull()), "vectors")
-    embedded = vectors.groupBy("file_path").agg(F.count_if("has_vector").alias("vectors"))
-    refusals = vectors.where(F.col("embed_error").isNotNull())
-    refused = keep(refusals.groupBy("file_path").agg(F.max("embed_error").alias("embed_error")), "refused")
-    write_blocks(
-        spark, index_path, vectors.join(refused.select("file_path"), "file_path", "left_anti"), buckets
-    )
+    copies = steps.route(fresh.drop("error")).select("file_path", "file_sha256", "family", "length")
+    if known is not None:
+        copies = keep(copies, "copies")
+    with staging_area(spark) as keep_vectors:
+        # Blocks are read for the last time when their vectors are made.
+        with staging_area(spark) as keep_blocks:
+            cut = _cut(copies, root, sql_dialect, keep_blocks)
+            # All rows of a file carry its hash, family and error. Few files lose or fail, so blocks
+            # and vectors are joined with those and not with all others.
+            per_file = keep(
+                cut.groupBy("file_path", "file_sha256", "family", "error").agg(F.count("node_type").alias("blocks")),
+                "per-file",
+            )
+            filled = per_file.where(F.col("error").isNull() & (F.col("blocks") > 0))
+            winners = steps.dedupe_batch(filled).select("file_path")
+            lost = keep_blocks(filled.join(winners, "file_path", "left_anti").select("file_path"), "lost")
+            blocks = cut.where(F.col("node_type").isNotNull() & F.col("error").isNull())
+            blocks = blocks.join(lost, "file_path", "left_anti")
+            # Vectors may come from a paid service: computed once, then only read.
+            vectors = embed_blocks(blocks, embedder or hashed_words())
+            vectors = keep_vectors(vectors.withColumn("has_vector", F.col("embedding").isNotNull()), "vectors")
+        embedded = keep(vectors.groupBy("file_path").agg(F.count_if("has_vector").alias("vectors")), "embedded")
+        refusals = vectors.where(F.col("embed_error").isNotNull())
+        refused = keep(refusals.groupBy("file_path").agg(F.max("embed_error").alias("embed_error")), "refused")
+        write_blocks(
+            spark, index_path, vectors.join(refused.select("file_path"), "file_path", "left_anti"), buckets
+        )
 
     # A copy that was not cut has as many blocks as the file cut for it.
     counted = per_file.where(F.col("error").isNull()).groupBy("file_sha256", "family").agg(F.max("blocks").alias("blocks"))

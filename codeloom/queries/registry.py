@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,7 @@ from codeloom.schema import BLOCK_INDEX, conform
 from codeloom.session import work_dir
 from codeloom.sources import block_index
 from codeloom.sources.files import (
+    PACKED,
     check_root,
     discover_files,
     fingerprint,
@@ -232,6 +236,41 @@ def _write_tree(texts: DataFrame, root: str) -> None:
     texts.select("file_path", "text").mapInArrow(write, "n bigint").agg(F.sum("n")).first()
 
 
+# Files in an archive.
+MEMBERS = 10_000
+
+
+def _write_archives(texts: DataFrame, root: str) -> None:
+    """Write (file_path, text) rows as files in zip archives below ``root`` from the tasks.
+
+    A file of its own takes a block of the disk, mostly 4 KB, however short it is.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(root, exist_ok=True)
+        part = TaskContext.get().partitionId()
+        draft, archive, held, done = f"{root}/.{uuid.uuid4().hex}", None, 0, 0
+
+        def finish() -> None:  # a second attempt of the task puts the same archive in the same place
+            archive.close()
+            os.replace(draft, f"{root}/{part:06d}-{done:012d}.zip")
+
+        for batch in batches:
+            for path, text in zip(*(batch.column(n).to_pylist() for n in (0, 1))):
+                if archive is None:
+                    archive = zipfile.ZipFile(draft, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+                archive.writestr(path, text)
+                held, done = held + 1, done + 1
+                if held == MEMBERS:
+                    finish()
+                    archive, held = None, 0
+        if archive is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array([done])], ["n"])
+
+    texts.select("file_path", "text").mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+
+
 def _new_root(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -301,10 +340,11 @@ def _ingest_job(spark, sf_dir):
         F.expr(V.PAGE_PATH).alias("file_path"), F.col("html").alias("text")
     )
     sources = [V.corpus(spark, sf_dir, f) for f in ("java", "jsx", "cfml")]
-    # Tasks wait for each other while they add files to one folder, so there are several.
-    spread_out = F.expr("concat('m', pmod(hash(file_path), 64), '/', file_path)")
-    _write_tree(reduce(DataFrame.unionByName, sources, pages).withColumn("file_path", spread_out), root)
-    job = ingest(spark, root, target, hashed_words(64), buckets=8)
+    try:
+        _write_archives(reduce(DataFrame.unionByName, sources, pages), root)
+        job = ingest(spark, PACKED + root, target, hashed_words(64), buckets=8)
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
     listed = catalog.list_indexed_files(block_index.read_index(spark, target)).agg(
         F.count("*").alias("files_listed"), F.sum("block_count").alias("blocks_listed")
     )

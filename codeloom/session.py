@@ -62,10 +62,34 @@ def staging_area(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], Dat
     """``stage`` into a new folder of the shared one that is gone after the block."""
     folder = f"{work_dir(spark)}/run-{uuid.uuid4().hex}"
     try:
-        yield lambda df, label: stage(df, label, folder)
+        yield lambda df, label: stage(df, label, folder, compression="zstd")
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this run with all that is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within the block a query's shuffle files go when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage, so a run of many
+    queries holds the shuffles of all of them at once.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -97,22 +97,27 @@ def _commit(rows: DataFrame | None, path: str, state: dict, touched: list[int],
     folders = {b: f for b, f in state["folders"].items() if int(b) not in set(touched)}
     if rows is not None:
         # Rebalancing splits a bucket that holds too much and merges small ones;
-        # sorting lets a lookup by file skip row groups.
+        # sorting lets a lookup by file skip row groups. Ids of new rows are made behind it:
+        # digests do not get smaller in a shuffle.
         (
             rows.hint("rebalance", F.col("bucket"))
+            .withColumn("id", F.coalesce("id", block_id()))
             .sortWithinPartitions("bucket", "file_path", "start_line", "ordinal")
             .write.partitionBy("bucket")
+            .option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#id", "true")
             .option("parquet.bloom.filter.enabled#class_name", "true")
             .option("parquet.bloom.filter.enabled#component_name", "true")
             .parquet(f"{path}/{folder}")
         )
+        slim = rows.withColumn("id", F.coalesce("id", block_id())).select(*SLIM, "bucket")
         (
-            named_rows(rows.select(*SLIM, "bucket"), "bucket")
+            named_rows(slim, "bucket")
             .withColumn("name_bucket", name_bucket(F.col("name")))
             .hint("rebalance", F.col("bucket"))
             .sortWithinPartitions("bucket", "name_bucket", "name")
             .write.partitionBy("bucket", "name_bucket")
+            .option("compression", "zstd")
             .parquet(f"{path}/{_names_of(folder)}")
         )
         fs, where = _fs(spark, f"{path}/{folder}")
@@ -186,7 +191,7 @@ def write_blocks(
     not in it, so its old rows stay.
     """
     state = _manifest(spark, path, buckets)
-    fresh = _with_bucket(conform(new_blocks.withColumn("id", block_id()), BLOCK_INDEX), state)
+    fresh = _with_bucket(conform(new_blocks.drop("id"), BLOCK_INDEX), state)
     touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # one row per bucket
     if not touched:
         return

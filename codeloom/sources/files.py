@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import zipfile
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ TASK_BYTES = 256 * 1024 * 1024
 LARGEST = (1 << 31) - (1 << 16)
 # Rows of a listing, or of contents, per Arrow batch.
 ROWS = 10_000
+# Address of a folder whose files lie in zip archives, which then count as folders.
+PACKED = "zip:"
 
 
 def mounted_path(root: str) -> str | None:
@@ -43,6 +48,7 @@ def mounted_path(root: str) -> str | None:
 
 def check_root(spark: SparkSession, root: str) -> bool:
     """Whether the repository path exists, on any file system Spark knows."""
+    root = root.removeprefix(PACKED)
     mounted = mounted_path(root)
     address = root if mounted is None else f"file:{os.path.abspath(mounted)}"
     path = spark._jvm.org.apache.hadoop.fs.Path(address)
@@ -67,6 +73,12 @@ class _Mount:
         with open(path, "rb") as handle:
             return handle.read()
 
+    def is_file(self, path: str) -> bool:
+        return os.path.isfile(path)
+
+    def open(self, path: str) -> BinaryIO:
+        return open(path, "rb")
+
 
 class _Store:
     """The same on any other store that pyarrow has a handle for; paths are addresses below ``root``."""
@@ -96,8 +108,90 @@ class _Store:
         with self.files.open_input_stream(self._inside(path)) as handle:
             return handle.read()
 
+    def is_file(self, path: str) -> bool:
+        return self.files.get_file_info(self._inside(path)).type == pafs.FileType.File
+
+    def open(self, path: str) -> BinaryIO:
+        return self.files.open_input_file(self._inside(path))
+
+
+class _Packed:
+    """The same for files in zip archives, which another store holds; an archive is a folder.
+
+    Its members' paths are the archive's, a slash and their names. The archive opened last stays
+    open, so what is read should come archive by archive.
+    """
+
+    def __init__(self, store: _Mount | _Store):
+        self.store = store
+        self.place: str | None = None
+        self.archive: zipfile.ZipFile | None = None
+
+    def _open(self, place: str) -> zipfile.ZipFile:
+        if place != self.place:
+            self.place = None
+            try:
+                self.archive = zipfile.ZipFile(self.store.open(place))
+            except (zipfile.BadZipFile, NotImplementedError, ValueError) as problem:
+                raise OSError(_message(problem)) from problem
+            self.place = place
+        return self.archive
+
+    def _member(self, path: str) -> tuple[str, str]:
+        """Path of the archive and the name in it."""
+        if self.place and path.startswith(self.place + "/"):
+            return self.place, path[len(self.place) + 1 :]
+        end = path.lower().find(".zip/")
+        while end >= 0:
+            if self.store.is_file(path[: end + 4]):
+                return path[: end + 4], path[end + 5 :]
+            end = path.lower().find(".zip/", end + 1)
+        raise FileNotFoundError(path)
+
+    def _info(self, path: str) -> tuple[zipfile.ZipFile, zipfile.ZipInfo]:
+        place, name = self._member(path)
+        archive = self._open(place)
+        try:
+            return archive, archive.getinfo(name)
+        except KeyError as problem:
+            raise FileNotFoundError(path) from problem
+
+    def entries(self, folder: str) -> Iterator[tuple[str, bool, int]]:
+        if folder.lower().endswith(".zip") and self.store.is_file(folder):
+            # A name that is in an archive twice is the file that was added last, as when it is read.
+            for name, info in {i.filename: i for i in self._open(folder).infolist()}.items():
+                if not info.is_dir():
+                    yield f"{folder}/{name}", False, info.file_size
+        else:
+            for path, is_dir, _ in self.store.entries(folder):
+                if is_dir or path.lower().endswith(".zip"):
+                    yield path, True, 0
+
+    def size(self, path: str) -> int:
+        return self._info(path)[1].file_size
+
+    def read(self, path: str) -> bytes:
+        archive, info = self._info(path)
+        try:
+            return archive.read(info)
+        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as problem:
+            raise OSError(_message(problem)) from problem
+
+
+def _handle(root: str | None) -> _Mount | _Store | _Packed:
+    """What lists and reads below ``root``, or on a mount if that is None."""
+    if root is None:
+        return _Mount()
+    if not root.startswith(PACKED):
+        return _Store(root)
+    inner = root.removeprefix(PACKED)
+    return _Packed(_Mount() if mounted_path(inner) is not None else _Store(inner))
+
 
 def _has_handle(root: str) -> bool:
+    root = root.removeprefix(PACKED)
+    if mounted_path(root) is not None:
+        return True
     try:
         pafs.FileSystem.from_uri(root.rstrip("/"))
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
@@ -117,7 +211,7 @@ def _lister(root: str | None, most: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _Mount() if root is None else _Store(root)
+        store = _handle(root)
         pending = [d for batch in batches for d in batch.column(0).to_pylist()]
         budget, files = DIRECTORIES_PER_TASK, 0
         rows: list[tuple[str, bool, int, str | None]] = []
@@ -154,7 +248,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     huge subtree spreads over the cluster; a directory that cannot be listed is
     one row with an error. Stores that are not mounted are listed through a
     handle of pyarrow; only an address it has no handle for goes through Spark's
-    own listing, which skips names that start with ``_`` or ``.``.
+    own listing, which skips names that start with ``_`` or ``.``. An address that
+    begins with ``zip:`` is a folder of zip archives at any depth, and the files are theirs.
     """
     path = mounted_path(root)
     if path is None and not _has_handle(root):
@@ -166,7 +261,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         )
         return listed.where(supported(F.col("file_path")))
     slots = spark.sparkContext.defaultParallelism
-    frontier = spark.createDataFrame([(root.rstrip("/") if path is None else path,)], "file_path string")
+    base = root.removeprefix(PACKED)
+    frontier = spark.createDataFrame([(mounted_path(base) or base.rstrip("/"),)], "file_path string")
     rounds = []
     while True:
         kernel = _lister(root if path is None else None, FILES_PER_TASK * 4 ** len(rounds))
@@ -197,7 +293,7 @@ def _reader(root: str | None):
     """Kernel: the bytes of each path, or why it could not be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _Mount() if root is None else _Store(root)
+        store = _handle(root)
         rows: list[tuple[str, bytes | None, str | None]] = []
         held = 0
         for batch in batches:
@@ -241,9 +337,12 @@ def read_files(files: DataFrame, root: str, total_bytes: int | None = None) -> D
     if total_bytes is None:
         total_bytes = files.agg(F.sum("length")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-total_bytes // TASK_BYTES))
-    return files.select("file_path").repartition(int(tasks)).mapInArrow(
-        _reader(None if mounted else root), _CONTENT
-    )
+    paths = files.select("file_path")
+    if root.startswith(PACKED):  # archive by archive, so that a task opens each once
+        paths = paths.repartitionByRange(int(tasks), "file_path").sortWithinPartitions("file_path")
+    else:
+        paths = paths.repartition(int(tasks))
+    return paths.mapInArrow(_reader(None if mounted else root), _CONTENT)
 
 
 def read_text(files: DataFrame) -> DataFrame:
