@@ -21,10 +21,18 @@ from codeloom.operators.extract import (
     sql_blocks,
 )
 from codeloom.schema import BLOCKS, FILE_OUTCOMES, conform
-from codeloom.session import shuffles_freed, stage, staging_area
-from codeloom.sources.block_index import BUCKETS, index_exists, read_index, write_blocks
+from codeloom.session import settings, stage, staging_area
+from codeloom.sources.block_index import BUCKETS, index_exists, part_of, parts_for, read_index, write_blocks
 from codeloom.sources.files import check_root, fingerprint, list_files, read_files, read_text
 
+SETTINGS = {
+    # A query's shuffle files go when it ends. Otherwise they stay until the driver happens to
+    # collect its garbage, and a run holds those of all its queries at once.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Staged rows take up to twenty times as much in memory.
+    "spark.sql.files.maxPartitionBytes": "16m",
+}
+
 
 @dataclass
 class IngestJob:
@@ -101,7 +109,7 @@ def ingest(
 
     # The intermediate tables live in an area of this run, the large ones in areas of the steps
     # that read them; outcomes outlive them all.
-    with staging_area(spark) as keep, shuffles_freed(spark):
+    with staging_area(spark) as keep, settings(spark, SETTINGS):
         facts = _index_files(spark, root, index_path, embedder, sql_dialect, buckets, keep)
         outcomes = stage(conform(steps.file_outcomes(facts), FILE_OUTCOMES), "outcomes")
     return IngestJob(
@@ -110,7 +118,7 @@ def ingest(
 
 
 def _cut(
-    copies: DataFrame, root: str, sql_dialect: str, keep: Callable[[DataFrame, str], DataFrame]
+    copies: DataFrame, root: str, sql_dialect: str, keep: Callable[..., DataFrame]
 ) -> DataFrame:
     """Blocks of one file of each content and family; another is cut only if that one cannot be read now."""
     cut, tried = None, None
@@ -138,7 +146,7 @@ def _index_files(
     embedder: Callable[[Column], Column] | None,
     sql_dialect: str,
     buckets: int,
-    keep: Callable[[DataFrame, str], DataFrame],
+    keep: Callable[..., DataFrame],
 ) -> DataFrame:
     """Run all steps up to the commit; returns the facts outcomes are made of."""
     found = keep(list_files(spark, root), "files")
@@ -177,12 +185,17 @@ def _index_files(
             blocks = blocks.join(lost, "file_path", "left_anti")
             # Vectors may come from a paid service: computed once, then only read.
             vectors = embed_blocks(blocks, embedder or hashed_words())
-            vectors = keep_vectors(vectors.withColumn("has_vector", F.col("embedding").isNotNull()), "vectors")
+            vectors = vectors.withColumn("has_vector", F.col("embedding").isNotNull())
+            # Many rows are written part by part, so that no shuffle holds them all.
+            parts = parts_for(filled.agg(F.sum("blocks")).first()[0] or 0, buckets)
+            if parts > 1:
+                vectors = vectors.withColumn("part", part_of(F.col("file_path"), parts))
+            vectors = keep_vectors(vectors, "vectors", partitionBy="part" if parts > 1 else None)
         embedded = keep(vectors.groupBy("file_path").agg(F.count_if("has_vector").alias("vectors")), "embedded")
         refusals = vectors.where(F.col("embed_error").isNotNull())
         refused = keep(refusals.groupBy("file_path").agg(F.max("embed_error").alias("embed_error")), "refused")
         write_blocks(
-            spark, index_path, vectors.join(refused.select("file_path"), "file_path", "left_anti"), buckets
+            spark, index_path, vectors.join(refused.select("file_path"), "file_path", "left_anti"), buckets, parts
         )
 
     # A copy that was not cut has as many blocks as the file cut for it.

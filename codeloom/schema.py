@@ -71,12 +71,13 @@ FILE_OUTCOMES = T.StructType(
 )
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the columns of ``schema`` in order; absent nullable ones become NULL."""
+def conform(df: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
+    """Select the columns of ``schema`` in order, then ``more``; absent nullable ones become NULL."""
     have = set(df.columns)
     return df.select(
         *[
             (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields
-        ]
+        ],
+        *more,
     )

@@ -43,7 +43,7 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def stage(df: DataFrame, label: str, folder: str | None = None, **options: str) -> DataFrame:
+def stage(df: DataFrame, label: str, folder: str | None = None, **options: str | None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint but stays columnar, so each consumer
@@ -58,11 +58,11 @@ def stage(df: DataFrame, label: str, folder: str | None = None, **options: str)
 
 
 @contextmanager
-def staging_area(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def staging_area(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """``stage`` into a new folder of the shared one that is gone after the block."""
     folder = f"{work_dir(spark)}/run-{uuid.uuid4().hex}"
     try:
-        yield lambda df, label: stage(df, label, folder, compression="zstd")
+        yield lambda df, label, **options: stage(df, label, folder, compression="zstd", **options)
     finally:
         remove(spark, folder)
 
@@ -74,22 +74,19 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within the block a query's shuffle files go when it ends.
-
-    Otherwise they stay until the driver happens to collect its garbage, so a run of many
-    queries holds the shuffles of all of them at once.
-    """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the time of the block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def spread(df: DataFrame) -> DataFrame:

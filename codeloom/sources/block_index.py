@@ -32,6 +32,23 @@ _NAMES = (
     "extends string, calls_components array<string>, via int, name string"
 )
 
+# Rows that a write of many shuffles at a time.
+ROWS_AT_ONCE = 8_000_000
+
+
+def parts_for(rows: int, buckets: int = BUCKETS) -> int:
+    """In how many parts to write so many rows: a power of two that divides the number of buckets."""
+    parts = 1
+    while rows > parts * ROWS_AT_ONCE and buckets % (2 * parts) == 0:
+        parts *= 2
+    return parts
+
+
+def part_of(path: Column, parts: int) -> Column:
+    """The part of a file's rows; a bucket is in one part if ``parts`` divides their number."""
+    return F.pmod(F.xxhash64(path), F.lit(parts)).cast("int")
+
+
 def bucket_of(path: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
@@ -92,34 +109,14 @@ def _read(spark: SparkSession, path: str, state: dict, buckets: list[str]) -> Da
     return spark.read.schema(BLOCK_INDEX).parquet(*places)
 
 
-def _commit(rows: DataFrame | None, path: str, state: dict, touched: list[int], spark: SparkSession) -> None:
+def _commit(
+    rows: DataFrame | None, path: str, state: dict, touched: list[int], spark: SparkSession, parts: int = 1
+) -> None:
     folder = f"data/{state['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
     folders = {b: f for b, f in state["folders"].items() if int(b) not in set(touched)}
     if rows is not None:
-        # Rebalancing splits a bucket that holds too much and merges small ones;
-        # sorting lets a lookup by file skip row groups. Ids of new rows are made behind it:
-        # digests do not get smaller in a shuffle.
-        (
-            rows.hint("rebalance", F.col("bucket"))
-            .withColumn("id", F.coalesce("id", block_id()))
-            .sortWithinPartitions("bucket", "file_path", "start_line", "ordinal")
-            .write.partitionBy("bucket")
-            .option("compression", "zstd")
-            .option("parquet.bloom.filter.enabled#id", "true")
-            .option("parquet.bloom.filter.enabled#class_name", "true")
-            .option("parquet.bloom.filter.enabled#component_name", "true")
-            .parquet(f"{path}/{folder}")
-        )
-        slim = rows.withColumn("id", F.coalesce("id", block_id())).select(*SLIM, "bucket")
-        (
-            named_rows(slim, "bucket")
-            .withColumn("name_bucket", name_bucket(F.col("name")))
-            .hint("rebalance", F.col("bucket"))
-            .sortWithinPartitions("bucket", "name_bucket", "name")
-            .write.partitionBy("bucket", "name_bucket")
-            .option("compression", "zstd")
-            .parquet(f"{path}/{_names_of(folder)}")
-        )
+        for part in range(parts):
+            _write_rows(rows if parts == 1 else rows.where(F.col("part") == part).drop("part"), path, folder)
         fs, where = _fs(spark, f"{path}/{folder}")
         for status in fs.listStatus(where):
             name = status.getPath().getName()
@@ -132,6 +129,37 @@ def _commit(rows: DataFrame | None, path: str, state: dict, touched: list[int],
     )
 
 
+def _write_rows(rows: DataFrame, path: str, folder: str) -> None:
+    """Add rows, and their names, to a folder that is not published yet."""
+    # Rebalancing splits a bucket that holds too much and merges small ones; sorting lets a
+    # lookup by file skip row groups. Ids of new rows are made behind it: digests do not get
+    # smaller in a shuffle. A bloom filter has a megabyte unless its size follows the values.
+    (
+        rows.hint("rebalance", F.col("bucket"))
+        .withColumn("id", F.coalesce("id", block_id()))
+        .sortWithinPartitions("bucket", "file_path", "start_line", "ordinal")
+        .write.mode("append")
+        .partitionBy("bucket")
+        .option("compression", "zstd")
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .option("parquet.bloom.filter.enabled#class_name", "true")
+        .option("parquet.bloom.filter.enabled#component_name", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .parquet(f"{path}/{folder}")
+    )
+    slim = rows.withColumn("id", F.coalesce("id", block_id())).select(*SLIM, "bucket")
+    (
+        named_rows(slim, "bucket")
+        .withColumn("name_bucket", name_bucket(F.col("name")))
+        .hint("rebalance", F.col("bucket"))
+        .sortWithinPartitions("bucket", "name_bucket", "name")
+        .write.mode("append")
+        .partitionBy("bucket", "name_bucket")
+        .option("compression", "zstd")
+        .parquet(f"{path}/{_names_of(folder)}")
+    )
+
+
 def _names_of(folder: str) -> str:
     return folder.replace("data/", "names/", 1)
 
@@ -183,23 +211,28 @@ def read_rows(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 
 def write_blocks(
-    spark: SparkSession, path: str, new_blocks: DataFrame, buckets: int = BUCKETS
+    spark: SparkSession, path: str, new_blocks: DataFrame, buckets: int = BUCKETS, parts: int = 1
 ) -> None:
     """Replace all rows of every file in ``new_blocks``; other files keep theirs.
 
     ``new_blocks`` should be staged: it is read twice. A file without blocks is
-    not in it, so its old rows stay.
+    not in it, so its old rows stay. With several ``parts`` the rows have theirs as
+    ``part`` (:func:`part_of`) and are shuffled one part after the other; staged
+    by it they are not read more often.
     """
     state = _manifest(spark, path, buckets)
-    fresh = _with_bucket(conform(new_blocks.drop("id"), BLOCK_INDEX), state)
+    more = ["part"] if parts > 1 else []
+    fresh = _with_bucket(conform(new_blocks.drop("id"), BLOCK_INDEX, *more), state)
     touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # one row per bucket
     if not touched:
         return
     if state["folders"].keys() & {str(b) for b in touched}:
         old = _read(spark, path, state, [str(b) for b in touched])
+        if more:
+            old = old.withColumn("part", part_of(F.col("file_path"), parts))
         replaced = fresh.select("file_path").distinct()
         fresh = _with_bucket(old.join(replaced, "file_path", "left_anti"), state).unionByName(fresh)
-    _commit(fresh, path, state, touched, spark)
+    _commit(fresh, path, state, touched, spark, parts)
 
 
 def purge(spark: SparkSession, path: str, prefix: str | None = None) -> None:

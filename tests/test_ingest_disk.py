@@ -8,7 +8,7 @@ from codeloom.operators.embed import hashed_words
 from codeloom.plans import ingest as plan
 from codeloom.plans.ingest import ingest
 from codeloom.queries import registry
-from codeloom.session import shuffles_freed, work_dir
+from codeloom.session import settings, work_dir
 from codeloom.sources import block_index, files
 from codeloom.sources.block_index import read_index
 from codeloom.sources.files import check_root, discover_files, list_files, read_files
@@ -123,7 +123,7 @@ def test_the_setting_of_the_session_comes_back(spark):
     for before in (None, "false"):
         if before is not None:
             spark.conf.set(name, before)
-        with pytest.raises(KeyError), shuffles_freed(spark):
+        with pytest.raises(KeyError), settings(spark, {name: "true"}):
             assert spark.conf.get(name) == "true"
             raise KeyError
         assert spark.conf.get(name) == "false"
@@ -148,6 +148,35 @@ def test_ids_are_made_behind_the_shuffle(spark, tmp_path, monkeypatch):
     assert [r[0] for r in again.collect()] == [first, second]
 
 
+def test_many_rows_are_shuffled_part_by_part(spark, tree, tmp_path, monkeypatch):  # noqa: F811
+    assert [block_index.parts_for(n * block_index.ROWS_AT_ONCE, 8) for n in (0, 1, 1.5, 3, 100)] == [1, 1, 2, 4, 8]
+    assert block_index.parts_for(10**12, 7) == 1
+    written, plans, write_rows = [], [], block_index._write_rows
+
+    def watched(rows, *others):
+        written.append({r["bucket"] for r in rows.select("bucket").collect()})
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write_rows(rows, *others)
+
+    whole, target = str(tmp_path / "whole"), str(tmp_path / "parts")
+    ingest(spark, tree, whole, hashed_words(16), buckets=8)
+    monkeypatch.setattr(block_index, "_write_rows", watched)
+    monkeypatch.setattr(block_index, "ROWS_AT_ONCE", 4)
+    metrics = ingest(spark, tree, target, hashed_words(16), buckets=8).metrics.first()
+    assert metrics["blocks_inserted"] == 10 and len(written) == 4  # of two buckets each
+    assert all("PartitionFilters: [isnotnull(part" in plan for plan in plans)
+    assert all(not a & b for a in written for b in written if a is not b)
+    assert read_index(spark, target).exceptAll(read_index(spark, whole)).isEmpty()
+    assert read_index(spark, target).count() == 10
+    # A second write in parts keeps the rows of other files and replaces those of its own.
+    write(tree, {f"n{i}.sql": f"select {i}" for i in range(12)} | {"C.java": "class C2 { }"})
+    ingest(spark, tree, target, hashed_words(16), buckets=8)
+    ingest(spark, tree, whole, hashed_words(16), buckets=8)
+    assert len(written) == 12 and read_index(spark, target).count() == read_index(spark, whole).count() >= 22
+    assert read_index(spark, target).exceptAll(read_index(spark, whole)).isEmpty()
+    assert block_index.has_names(spark, target)
+
+
 def test_the_job_does_not_hold_a_block_of_the_disk_for_each_file(spark, monkeypatch):
     held = []
 
